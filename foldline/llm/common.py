@@ -36,3 +36,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(column: str, modulus: int):
     """crc32 of the column's decimal text, modulo modulus; null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+class Memo(dict):
+    """A function's values by argument; emptied when it has grown to a number of entries."""
+
+    def __init__(self, function, limit: int = 400_000, longest: int = 64):
+        super().__init__()
+        self.function, self.limit, self.longest = function, limit, longest
+
+    def __missing__(self, key):
+        value = self.function(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
+        return value
+
+
+def pieces(batch, size: int = 500):
+    """Parts of an Arrow batch with a bounded number of rows."""
+    for at in range(0, len(batch), size):
+        yield batch.slice(at, size)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foldline.llm import bpe, chat, media, sharding, token_counts
+from foldline.llm import bpe, chat, media, quality, sharding, token_counts, toxicity
 
-OPERATORS = [(media, "op1"), (sharding, "op2"), (bpe, "op3"), (token_counts, "op4"), (chat, "op9")]
+OPERATORS = [(media, "op1"), (sharding, "op2"), (bpe, "op3"), (token_counts, "op4"), (quality, "op8"), (chat, "op9"), (toxicity, "op10")]
 
 
 def queries() -> dict:
