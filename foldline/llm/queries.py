@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foldline.llm import bpe, chat, jaccard, media, quality, sharding, token_counts, toxicity
+from foldline.llm import bpe, chat, decontamination, jaccard, media, quality, sharding, token_counts, toxicity
 
-OPERATORS = [(media, "op1"), (sharding, "op2"), (bpe, "op3"), (token_counts, "op4"), (jaccard, "op6"), (quality, "op8"), (chat, "op9"), (toxicity, "op10")]
+OPERATORS = [(media, "op1"), (sharding, "op2"), (bpe, "op3"), (token_counts, "op4"), (jaccard, "op6"), (decontamination, "op7"), (quality, "op8"), (chat, "op9"), (toxicity, "op10")]
 
 
 def queries() -> dict:
