@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,6 +148,19 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double")
 
 
+def scorer(spark: SparkSession, weights: np.ndarray):
+    """A function of a text column that gives its scores; for filters that keep all columns."""
+    shared = spark.sparkContext.broadcast(weights.astype(np.float32))
+
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        made, w = Features(), shared.value.astype(np.float64)
+        for t in texts:
+            rows = t.tolist()
+            yield pd.Series(np.concatenate([made.scores(rows[i : i + 500], w) for i in range(0, len(rows), 500)] or [np.zeros(0)]))
+
+    return F.pandas_udf(of, "double", F.PandasUDFType.SCALAR_ITER)
+
+
 def classify(documents: DataFrame, labels: DataFrame, label_col: str, modulus: int, held: int, fit_with, score_with, threshold: float) -> DataFrame:
     """(doc_id, held_out, score, predicted) of all documents; rows with crc32(doc_id) % modulus = held are not learnt from."""
     usable = labels.select("doc_id", F.col(label_col).alias("__label")).filter(crc_mod("doc_id", modulus) != held)

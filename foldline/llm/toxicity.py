@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,6 +184,25 @@ def fit(rows: DataFrame, id_col: str, text_col: str, label_col: str, sample: int
     return Model(terms, logistic(x[spread], q))
 
 
+def probabilities(votes: Votes, model: Model, texts: list[str | None]) -> np.ndarray:
+    if not model.terms:
+        return np.zeros(len(texts))
+    return 1 / (1 + np.exp(-np.clip(votes.features(texts) @ model.weights[:-1] + model.weights[-1], -30, 30)))
+
+
+def scorer(spark: SparkSession, model: Model):
+    """A function of a text column that gives its scores; for filters that keep all columns."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        votes = Votes(shared.value.terms)
+        for t in texts:
+            rows = t.tolist()
+            yield pd.Series(np.concatenate([probabilities(votes, shared.value, rows[i : i + 500]) for i in range(0, len(rows), 500)] or [np.zeros(0)]))
+
+    return F.pandas_udf(of, "double", F.PandasUDFType.SCALAR_ITER)
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -192,8 +212,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         votes = Votes(m.terms)
         for batch in batches:
             for part in pieces(batch):
-                x = votes.features(part.column(1).to_pylist())
-                p = 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30))) if m.terms else np.zeros(len(x))
+                p = probabilities(votes, m, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], [id_col, "score"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double")
