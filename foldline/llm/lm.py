@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from foldline.llm.common import Memo, crc_mod, pieces, stored, table
 
 NAME = "op5_context_mixing_lm"
-SYMBOLS, HOT, CLASSES, LONGEST = 4095, 1 << 17, 256, 64
+SYMBOLS, HOT, CLASSES, LONGEST = 2047, 1 << 17, 128, 64
 BITS, ORDERS, GATES, STEPS = 20, 3, 16, 64
 BLOCK = 1 << 15
 FIRST, BATCH = 20_000, 400_000  # decisions learnt from at once, at first and at most
@@ -112,20 +112,19 @@ class Mixer:
         total = c[:, 0] + c[:, 1]
         return np.log((c[:, 1] + np.float32(0.2)) / (c[:, 0] + np.float32(0.2))), ((total > 0).astype(np.uint8) + (total > 3) + (total > 30))
 
-    def parts(self, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs, gates and mixed log odds of decisions."""
-        x = np.stack([o[s] for o, s in zip(self.odds, slots)])
-        gate = self.seen[-2][slots[-2]] * np.uint8(4) + self.seen[-1][slots[-1]]
-        w = self.weights[gate]
-        return x, gate, np.clip((w * x.T).sum(1), -12, 12)
-
     def bits_cost(self, bits: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
         """Natural log of the probability of each decision's outcome."""
-        _, _, z = self.parts(slots)
+        gate = self.seen[-2].take(slots[-2]) * np.uint8(4) + self.seen[-1].take(slots[-1])
+        z = mixed_odds(self.weights, gate, [o.take(s) for o, s in zip(self.odds, slots)])
         p = 0.5 / (1 + np.exp(-z)) + 0.5 * self.refined[step(z)]
         return np.log(np.where(bits == 1, p, 1 - p))
 
 
+def mixed_odds(weights: np.ndarray, gate: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
+    """The predictors' log odds combined by the weights of each decision's gate."""
+    return np.clip(sum(weights[:, k].take(gate) * a for k, a in enumerate(x)), -12, 12)
+
+
 def step(z: np.ndarray) -> np.ndarray:
     return ((z + 12) * (STEPS / 24)).astype(np.int64).clip(0, STEPS - 1)
 
@@ -138,19 +137,19 @@ def learn(batches: Iterator[tuple[np.ndarray, np.ndarray]], decisions: Decisions
         bits, slots, _ = decisions.of(symbols, lengths)
         if not len(bits):
             continue
-        view = [Mixer.view(c[s]) for c, s in zip(counts, slots)]
-        x = np.stack([v[0] for v in view])
+        view = [Mixer.view(c.view(np.int64).ravel().take(s).view(np.int32).reshape(-1, 2)) for c, s in zip(counts, slots)]
+        x = [v[0] for v in view]
         gate = view[-2][1] * np.uint8(4) + view[-1][1]
-        z = np.clip((weights.astype(np.float32)[gate] * x.T).sum(1), -12, 12)
+        z = mixed_odds(weights.astype(np.float32), gate, x)
         error = bits - 1 / (1 + np.exp(-z))
         n = np.bincount(gate, minlength=GATES)
-        power = np.bincount(gate, (x * x).sum(0), GATES) + 1.0
+        power = np.bincount(gate, sum(a * a for a in x), GATES) + 1.0
         for k in range(ORDERS):
             weights[:, k] += rate * np.bincount(gate, error * x[k], GATES) / power * 4 * (n > 0)
         rate = max(0.05, rate * 0.97)
         hits += np.bincount(step(z) * 2 + bits, minlength=2 * STEPS).reshape(STEPS, 2)
         for c, s in zip(counts, slots):
-            c += np.bincount(s.astype(np.int64) * 2 + bits, minlength=2 << BITS).reshape(-1, 2).astype(np.int32)
+            np.add.at(c.reshape(-1), (s << np.uint32(1)) | bits, np.int32(1))
         total += len(bits)
     return counts, weights, hits, total
 
