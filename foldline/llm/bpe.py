@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ class ByteBPE:
 
     def __init__(self, data: bytes, pattern: str = public_tokenizers.PATTERN):
         import regex
-        from tokenizers import Tokenizer, models
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each core a task
 
@@ -57,7 +58,11 @@ class ByteBPE:
         spelled = {token: "".join(letters[b] for b in token) for token in self.ranks}
         merges = [tuple("".join(letters[b] for b in part) for part in self._parts(token, rank)) for token, rank in sorted(self.ranks.items(), key=lambda x: x[1]) if len(token) > 1]
         self.library = Tokenizer(models.BPE(vocab={spelled[t]: r for t, r in self.ranks.items()}, merges=merges))
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.exact = pre_tokenizers.Split(Regex(pattern), "isolated")
+        # Letters and numbers of a newer Unicode version than others' are cut by the library itself.
+        everything = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+        self.newer = frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", everything) if unicodedata.category(c) == "Cn")
         self.letters = dict(enumerate(letters))
         self.kept: dict[str, bytes] = {}
         self.kept_matches: dict[str, bytes] = {}
@@ -81,6 +86,12 @@ class ByteBPE:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def split(self, chunk: str) -> list[str]:
+        """The matches of the pattern, which cover a chunk."""
+        if chunk.isascii() or self.newer.isdisjoint(chunk):
+            return self.pattern.findall(chunk)
+        return [piece for piece, _ in self.exact.pre_tokenize_str(chunk)]
+
     def _match_ids(self, matches: list[str]) -> list[bytes]:
         """Packed ids of pre-tokens that are merged each by itself."""
         spelled = [m.encode().decode("latin-1").translate(self.letters) for m in matches]
