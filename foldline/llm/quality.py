@@ -115,10 +115,19 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
     return weight(np.arange(SLOTS + 32))
 
 
-def fit(rows: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> np.ndarray:
-    """Weights learnt from at most sample rows whose label is 0 or 1."""
-    few = rows.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
-    few = few.orderBy("h", "y", F.xxhash64("text")).limit(sample).withColumn("shard", F.pmod("h", F.lit(SHARDS)))
+def labelled(documents: DataFrame, labels: DataFrame, label_col: str, sample: int) -> DataFrame:
+    """(h, text, y) of the documents that at most sample labels of 0 or 1 are of; h is a hash of doc_id.
+
+    The sample is drawn from the labels, so that it can be broadcast and no text moves for the join.
+    """
+    few = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and __id is not null")
+    few = few.orderBy(F.xxhash64("__id"), "y").limit(sample)
+    return documents.select(F.col("doc_id").alias("__doc"), "text").join(F.broadcast(few), F.col("__doc") == F.col("__id")).select(F.xxhash64("__doc").alias("h"), "text", "y")
+
+
+def fit(documents: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE) -> np.ndarray:
+    """Weights learnt from documents (doc_id, text) with at most sample labels (doc_id, label_col)."""
+    few = labelled(documents, labels, label_col, sample).withColumn("shard", F.pmod("h", F.lit(SHARDS)))
 
     def run(group):
         made = Features()
@@ -128,7 +137,7 @@ def fit(rows: DataFrame, id_col: str, text_col: str, label_col: str, sample: int
         return pa.table({"slot": at, "w": w[at]})
 
     # A group is sample / SHARDS rows at most; the weights are a bounded vector.
-    found = few.groupBy("shard").applyInArrow(run, "slot long, w double")
+    found = few.repartition(SHARDS, "shard").groupBy("shard").applyInArrow(run, "slot long, w double")
     total = found.groupBy("slot").agg(F.sum(F.col("w")).alias("w")).toPandas()
     weights = np.zeros(SLOTS + 32)
     weights[total["slot"].to_numpy(np.int64)] = total["w"].to_numpy() / SHARDS
@@ -163,9 +172,8 @@ def scorer(spark: SparkSession, weights: np.ndarray):
 
 def classify(documents: DataFrame, labels: DataFrame, label_col: str, modulus: int, held: int, fit_with, score_with, threshold: float) -> DataFrame:
     """(doc_id, held_out, score, predicted) of all documents; rows with crc32(doc_id) % modulus = held are not learnt from."""
-    usable = labels.select("doc_id", F.col(label_col).alias("__label")).filter(crc_mod("doc_id", modulus) != held)
-    rows = documents.select("doc_id", "text").filter(crc_mod("doc_id", modulus) != held).join(usable, "doc_id")
-    scored = score_with(documents, fit_with(rows, "doc_id", "text", "__label"))
+    usable = labels.filter(crc_mod("doc_id", modulus) != held)
+    scored = score_with(documents, fit_with(documents, usable, label_col))
     return scored.select("doc_id", (crc_mod("doc_id", modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

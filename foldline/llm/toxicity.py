@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.llm.common import Memo, pieces, table
-from foldline.llm.quality import classify
+from foldline.llm.common import Memo, pieces, stored, table
+from foldline.llm.quality import classify, labelled
 
 NAME = "op10_toxicity"
 SAMPLE, VOTERS, CANDIDATES = 24_000, 200, 20_000
@@ -157,10 +157,9 @@ def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.3, rounds: int = 25)
     return w
 
 
-def fit(rows: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model:
-    """The voters' words and the classifier's weights, from at most sample rows whose label is 0 or 1."""
-    few = rows.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
-    few = few.orderBy("h", "y", F.xxhash64("text")).limit(sample).dropDuplicates(["text", "y"]).repartition(8, "h")
+def fit(documents: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE) -> Model:
+    """The voters' words and the classifier's weights, from documents (doc_id, text) with at most sample labels (doc_id, label_col)."""
+    few = stored(labelled(documents, labels, label_col, sample).dropDuplicates(["text", "y"]))
     terms = choose_terms(few)
     if not terms:
         return Model()
