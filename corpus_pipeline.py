@@ -14,36 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldline.llm import bpe, decontamination, jaccard, quality, toxicity
-from foldline.llm.common import crc_mod, stored, table
+from foldline.llm.common import broadcast_below, crc_mod, stored, table
 
 #: No SQL: learnt models and alignments aren't expressible.
 ORACLE_SQL = None
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int) -> DataFrame:
-    usable = labels.select("doc_id", F.col(column).alias("__label")).filter(crc_mod("doc_id", modulus) != held)
-    return docs.select("doc_id", "text").filter(crc_mod("doc_id", modulus) != held).join(usable, "doc_id")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(_labelled(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2), "doc_id", "text", "__label")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 4) != 2), "toxic")
     return docs.filter(toxicity.scorer(spark, model)("text") < 0.3)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    weights = quality.fit(_labelled(docs, table(spark, sf_dir, "labels"), "quality", 3, 1), "doc_id", "text", "__label")
+    weights = quality.fit(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1), "quality")
     return docs.filter(quality.scorer(spark, weights)("text") >= 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, Jaccard similarity of 0.8 or more."""
     classes = jaccard.jaccard_components(docs, 5, 8, 10)
-    return docs.join(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    copies = stored(classes.filter("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(broadcast_below(copies), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leaks = stored(decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(broadcast_below(leaks), "doc_id", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
