@@ -13,9 +13,9 @@ set aside, the short rest is merged with a heap, and each candidate met there is
 search in the long lists until T is reached or can't be. Exact sizes then decide.
 
 Large groups are cut down before that: first each block's pivot (the class that shares most
-slices) is searched among the block's classes, in chunks, which joins most near copies; only
-classes that are then still in another component than most of their block are searched against the
-whole block, again in chunks. Candidates known to be connected to the query are skipped, since
+slices) is searched among the block's classes, in chunks, which joins most near copies. Blocks that
+have classes in common form an area; only classes that are then still in another component than
+most of their area are searched against the whole area, again in chunks. Candidates known to be connected to the query are skipped, since
 components stay the same. So no pair list of a group is ever made, no group is held in one task, and no
 link between different components is lost.
 
@@ -247,11 +247,12 @@ def jaccard_components(documents: DataFrame, k: int, num: int, den: int) -> Data
     links = stored(search_blocks(rows.join(sets, "node").select("block", "chunk", "node", F.col("node").alias("component"), "query", (~F.col("query")).alias("indexed"), "shingles"), num, den))
     known = stored(near.join(components(links).select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
-    # Then, where a block still has several components, all classes outside its largest one.
-    placed = shared.join(known, "node")
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    open_keys = parts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"), F.sum("n").alias("size"), F.count("*").alias("parts")).filter("parts > 1")
-    rest = stored(placed.join(open_keys, "key").select(F.col("key").alias("block"), "node", "component", (F.col("component") != F.col("largest")).alias("query"), "size", _chunk("size", "node").alias("chunk")))
+    # Then, where classes that slices connect are still in several components, those outside the largest one.
+    areas = components(star.select(F.col("block").alias("a"), F.col("node").alias("b"))).select("node", F.col("component").alias("block"))
+    placed = stored(areas.join(known, "node"))
+    parts = placed.groupBy("block", "component").agg(F.count("*").alias("n"))
+    several = parts.groupBy("block").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"), F.sum("n").alias("size"), F.count("*").alias("parts")).filter("parts > 1")
+    rest = stored(placed.join(several, "block").select("block", "node", "component", (F.col("component") != F.col("largest")).alias("query"), "size", _chunk("size", "node").alias("chunk")))
     chunks = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("long") - 1)
     asked = rest.filter("query").select("block", "node", "component", F.explode(chunks).alias("chunk"))
     searched = rest.select("block", "node", "component", "chunk").withColumn("indexed", F.lit(True)).withColumn("query", F.lit(False)).unionByName(asked.withColumn("indexed", F.lit(False)).withColumn("query", F.lit(True)))
