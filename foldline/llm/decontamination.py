@@ -7,7 +7,7 @@ each n-gram occurs; of every SPAN n-grams in a row of an item the rarest one is
 item has one, however frequent a leaked item is. Passages are joined to items by the seeds; those
 that share enough n-grams with an item are aligned to it.
 
-An alignment scores 1 for equal words, -0.5 for different ones and -0.5 for a gap; a document is
+An alignment scores 1 for equal words, -0.5 for different ones and -1 for a gap of a word; a document is
 contaminated by an item if the best score is at least THRESHOLD times the item's number of words.
 
 The benchmark is handled in blocks of about BLOCK bytes, so what is broadcast has a bound.
@@ -34,7 +34,7 @@ from foldline.llm.common import Memo, pieces, stored, table
 
 NAME = "op7_benchmark_decontamination"
 N, SPAN, LEAST_GRAMS = 3, 4, 2
-MISMATCH, GAP, THRESHOLD = 0.5, 0.5, 0.5
+MISMATCH, GAP, THRESHOLD = 0.5, 1.0, 0.5
 BLOCK = 8 << 20
 WORD = re.compile(r"[^\W_]+")
 
