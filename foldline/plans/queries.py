@@ -13,8 +13,12 @@ from foldline.functions import geometry as G
 from foldline.operators import profile as P
 from foldline.operators.distance import crc64, sequence_distance
 from foldline.operators.helices import helix_marks, turn_flags
+from foldline.operators.msa import progressive
 from foldline.operators.range_join import within
+from foldline.operators.search import search, seg_mask
+from foldline.operators.sheets import bridges, ladders, sheets, surface
 from foldline.operators.store import get_or_create, updated
+from foldline.plans import output as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -193,6 +197,39 @@ def sequence_crc64(spark, d):
     return items(spark, d).select("id", crc64("seq").alias("crc"))
 
 
+@query()
+def seg_masked(spark, d):
+    """Items with low-complexity stretches masked."""
+    return items(spark, d).select("id", F.length("seq").alias("n"), seg_mask("seq").alias("masked"))
+
+
+@query()
+def databank_search(spark, d):
+    """Items searched in the items' databank."""
+    return search(items(spark, d), items(spark, d)).withColumn("expect", F.format_string("%.3e", "expect"))
+
+
+@query()
+def progressive_alignment(spark, d):
+    """Items of one remainder by 20 aligned to the first of them, closest first."""
+    t = items(spark, d).withColumn("query_id", F.col("id") % 20)
+    first = t.filter("id < 20").select("query_id", F.col("seq").alias("query"))
+    hits = t.filter("id >= 20").join(first, "query_id").select("query_id", "query", F.col("id").alias("hit_id"), "seq", sequence_distance("query", "seq").alias("distance"))
+    return progressive(hits)
+
+
+@query("select p_brand, p_partkey, cast(row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as bigint) as nr, 'hit ' || p_partkey || ' ' || case when length(p_name) <= 12 then lpad(p_name, 12, ' ') else '----------->' end as line from part")
+def hit_report_lines(spark, d):
+    """Numbered report lines with fixed-width names."""
+    nr = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long")
+    return table(spark, d, "part").select("p_brand", "p_partkey", nr.alias("nr"), F.concat(F.lit("hit "), "p_partkey", F.lit(" "), O.fixed_length(F.col("p_name"), 12)).alias("line"))
+
+
+@query("select c_custkey, case when c_acctbal / 10000 < 0 or c_acctbal / 10000 > 1 then '+' else cast(cast(least(floor(c_acctbal / 1000), 9) as integer) as varchar) end as digit from customer")
+def variability_digits(spark, d):
+    return table(spark, d, "customer").select("c_custkey", O.variability_digit(F.col("c_acctbal") / 10000).alias("digit"))
+
+
 # -- scores, thresholds, order and limits -----------------------------------------------------
 
 
@@ -289,24 +326,25 @@ def protein_statistics(spark, d):
 
 # -- along a chain: windows and islands -------------------------------------------------------
 
-BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("""with t as (select event_id, user_id, ts, case when lag(value) over w is null or abs(value - lag(value) over w) > 100 then 1 else 0 end as brk from events window w as (partition by user_id order by ts, event_id))
 select event_id, user_id, cast(sum(brk) over (partition by user_id order by ts, event_id) as bigint) as segment, cast(row_number() over (partition by user_id order by ts, event_id) + sum(brk) over (partition by user_id order by ts, event_id) - 1 as bigint) as number from t""")
 def chain_break_segments(spark, d):
     """A break where neighbours are far apart; numbers skip one at each break."""
-    before = F.lag("value").over(BY_USER)
+    before = F.lag("value").over(by_user())
     t = table(spark, d, "events").withColumn("brk", F.when(before.isNull() | (F.abs(F.col("value") - before) > 100), 1).otherwise(0))
-    segment = F.sum("brk").over(BY_USER)
-    return t.select("event_id", "user_id", segment.alias("segment"), (F.row_number().over(BY_USER) + segment - 1).alias("number"))
+    segment = F.sum("brk").over(by_user())
+    return t.select("event_id", "user_id", segment.alias("segment"), (F.row_number().over(by_user()) + segment - 1).alias("number"))
 
 
 @query("""with t as (select user_id, ts, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, event_type order by ts, event_id) as island from events)
 select user_id, event_type, min(event_id) as first_event, count(*) as n from t group by user_id, event_type, island""")
 def residue_islands(spark, d):
     """Runs of equal keys along a chain."""
-    island = F.row_number().over(BY_USER) - F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    island = F.row_number().over(by_user()) - F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
     return table(spark, d, "events").withColumn("island", island).groupBy("user_id", "event_type", "island").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n")).drop("island")
 
 
@@ -321,7 +359,7 @@ def helix_histogram(spark, d):
 select user_id, cast(cluster as bigint) as cluster, count(*) as members, min(event_id) as first_member from t group by 1, 2""")
 def clstr_running_id(spark, d):
     """Header rows number the groups that follow them."""
-    t = table(spark, d, "events").withColumn("cluster", F.sum((F.col("event_type") == "signup").cast("int")).over(BY_USER))
+    t = table(spark, d, "events").withColumn("cluster", F.sum((F.col("event_type") == "signup").cast("int")).over(by_user()))
     return t.groupBy("user_id", "cluster").agg(F.count("*").alias("members"), F.min("event_id").alias("first_member"))
 
 
@@ -330,7 +368,7 @@ def clstr_running_id(spark, d):
 select event_id, round(-({}) / ln(2.0), 6) as entropy from t where size = 12""".format(", ".join(f"count(*) filter (where event_type = '{k}') over (partition by user_id order by ts, event_id rows between 11 preceding and current row) as {k}" for k in ("click", "error", "purchase", "signup", "view")), " + ".join(f"(case when {k} > 0 then {k} / 12.0 * ln({k} / 12.0) else 0 end)" for k in ("click", "error", "purchase", "signup", "view"))))
 def window_entropy12(spark, d):
     """Composition entropy of twelve rows in a row."""
-    w = BY_USER.rowsBetween(-11, 0)
+    w = by_user().rowsBetween(-11, 0)
     kinds = ("click", "error", "purchase", "signup", "view")
     t = table(spark, d, "events").select("event_id", F.count("*").over(w).alias("size"), *[F.count_if(F.col("event_type") == k).over(w).alias(k) for k in kinds]).filter("size = 12")
     total = sum((F.when(F.col(k) > 0, F.col(k) / 12.0 * F.log(F.col(k) / 12.0)).otherwise(0.0) for k in kinds), F.lit(0.0))
@@ -346,7 +384,7 @@ def chain_rows(spark, d):
     v = F.col("value")
 
     def bond(n, far, here):
-        return F.coalesce(F.lead("value", n).over(BY_USER) > far, F.lit(False)) & (v > here)
+        return F.coalesce(F.lead("value", n).over(by_user()) > far, F.lit(False)) & (v > here)
 
     return table(spark, d, "events").select(F.col("user_id").alias("chain"), F.struct("ts", "event_id").alias("ord"), bond(3, 150, 60).alias("bond3"), bond(4, 120, 40).alias("bond4"), bond(5, 140, 90).alias("bond5"), (v > 250).alias("bend"))
 
@@ -474,3 +512,19 @@ def dihedral_alpha(spark, d):
 @query(f"with {_p()} select least(cast(floor({_dist('ca', 'o')}) as bigint), 30) as bin, count(*) as n from p group by 1")
 def hbond_distance_hist(spark, d):
     return points(spark, d).groupBy(F.least(F.floor(G.distance(F.col("ca"), F.col("o"))), F.lit(30)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query()
+def sheet_components(spark, d):
+    """Ladders and sheets from the bonds below -0.5 kcal/mol, each chain a protein."""
+    bonds = _bonds(spark, d).filter("energy < -0.5").join(points(spark, d).select(F.col("vec_id").alias("donor"), F.col("chain").alias("protein")), "donor")
+    both = bonds.select("protein", "donor", "acceptor").union(bonds.select("protein", F.col("acceptor").alias("donor"), F.col("donor").alias("acceptor")))
+    return sheets(ladders(bridges(both)))
+
+
+@query()
+def surface_area(spark, d):
+    """Accessible area of points with a carbon's radius; partners come from the grid join."""
+    t = points(spark, d)
+    atoms = t.select(F.col("vec_id").alias("atom"), *[F.col(f"ca.{c}").alias(c) for c in "xyz"], F.lit(1.87).alias("radius"))
+    return surface(atoms, within(t, "vec_id", "ca", 2 * (1.87 + 1.4)).select("a", "b")).withColumn("area", F.round("area", 4))
