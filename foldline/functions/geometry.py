@@ -47,4 +47,4 @@ def hbond_energy(h: Column, n: Column, c: Column, o: Column) -> Column:
     """Kabsch and Sander's electrostatic energy in kcal/mol, rounded to 3 places, -9.9 at least."""
     ho, hc, nc, no = distance(h, o), distance(h, c), distance(n, c), distance(n, o)
     energy = F.round(F.lit(-27.888) * (1 / ho - 1 / hc + 1 / nc - 1 / no), 3)
-    return F.when(F.least(ho, hc, nc, no) < 0.5, F.lit(-9.9)).otherwise(F.greatest(energy, F.lit(-9.9)))
+    return F.when(F.least(ho, hc, nc, no) < 0.5, F.lit(-9.9)).otherwise(F.greatest(energy, F.lit(-9.9)) + 0.0)  # no negative zero

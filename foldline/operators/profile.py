@@ -31,7 +31,7 @@ def weighted_scores(aligned: DataFrame, id_col: str, seq_col: str, weight_col: s
     """(pos, res, score): for each column and residue the mean substitution score, weighted by rows."""
     w = columns_of(aligned.select(id_col, seq_col), id_col, seq_col).join(aligned.select(id_col, weight_col), id_col).groupBy("pos", "res").agg(F.sum(weight_col).alias("w"))
     pairs = w.join(F.broadcast(substitution(aligned.sparkSession)), F.col("res") == F.col("b"))
-    return pairs.groupBy("pos", F.col("a").alias("res")).agg(F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 6).alias("score"))
+    return pairs.groupBy("pos", F.col("a").alias("res")).agg((F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 6) + 0.0).alias("score"))
 
 
 def pair_identity(aligned: DataFrame, id_col: str, seq_col: str) -> DataFrame:

@@ -136,7 +136,7 @@ LETTER_LIST = ", ".join(f"('{c}')" for c in A.RESIDUES)
 
 
 @query(f"""with {ITEMS}, {columns('items')}, w as (select pos, res, sum(1.0 / (1 + id % 7)) as w from cols group by 1, 2), l as (select * from (values {LETTER_LIST}) as v(a))
-select pos, a as res, round(sum(w * {A.score_case('a', 'w.res')}) / sum(w), 6) as score from w, l group by 1, 2""")
+select pos, a as res, round(sum(w * {A.score_case('a', 'w.res')}) / sum(w), 6) + 0.0 as score from w, l group by 1, 2""")
 def weighted_column_score(spark, d):
     t = items(spark, d).withColumn("weight", 1.0 / (1 + F.col("id") % 7))
     return P.weighted_scores(t, "id", "seq", "weight").withColumn("pos", F.col("pos").cast("long"))
@@ -451,7 +451,7 @@ def _energy(h: str, n: str, c: str, o: str) -> str:
     return f"(case when least({ho}, {hc}, {nc}, {no}) < 0.5 then -9.9 else greatest(-27.888 * (1 / {ho} - 1 / {hc} + 1 / {nc} - 1 / {no}), -9.9) end)"
 
 
-@query(f"with {_p()} select a.vec_id as donor, b.vec_id as acceptor, round({_energy('a.ca', 'a.n', 'b.c', 'b.o')}, 3) as energy from p a join p b on a.vec_id < b.vec_id where {_dist('a.ca', 'b.ca')} < 9")
+@query(f"with {_p()} select a.vec_id as donor, b.vec_id as acceptor, round({_energy('a.ca', 'a.n', 'b.c', 'b.o')}, 3) + 0.0 as energy from p a join p b on a.vec_id < b.vec_id where {_dist('a.ca', 'b.ca')} < 9")
 def hbond_energy(spark, d):
     return _bonds(spark, d).select("donor", "acceptor", "energy")
 
@@ -461,7 +461,7 @@ def _bonds(spark, d):
     return near.select(F.col("a").alias("donor"), F.col("b").alias("acceptor"), G.hbond_energy(F.col("a_ca"), F.col("a_n"), F.col("b_c"), F.col("b_o")).alias("energy"))
 
 
-@query(f"""with {_p()}, e as (select a.vec_id as donor, b.vec_id as acceptor, round({_energy('a.ca', 'a.n', 'b.c', 'b.o')}, 3) as energy from p a join p b on a.vec_id < b.vec_id where {_dist('a.ca', 'b.ca')} < 9),
+@query(f"""with {_p()}, e as (select a.vec_id as donor, b.vec_id as acceptor, round({_energy('a.ca', 'a.n', 'b.c', 'b.o')}, 3) + 0.0 as energy from p a join p b on a.vec_id < b.vec_id where {_dist('a.ca', 'b.ca')} < 9),
 r as (select *, row_number() over (partition by donor order by energy, acceptor) as rank from e) select donor, acceptor, energy, rank from r where rank <= 2""")
 def hbond_top2(spark, d):
     """The two strongest bonds of each donor; earlier partners win ties."""
