@@ -30,7 +30,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Unicode's White_Space, which is what \s in the pattern stands for.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-KEPT, LONGEST_KEPT = 500_000, 48
+KEPT, LONGEST_KEPT = 300_000, 48
 
 
 def byte_letters() -> list[str]:
