@@ -528,3 +528,61 @@ def surface_area(spark, d):
     t = points(spark, d)
     atoms = t.select(F.col("vec_id").alias("atom"), *[F.col(f"ca.{c}").alias(c) for c in "xyz"], F.lit(1.87).alias("radius"))
     return surface(atoms, within(t, "vec_id", "ca", 2 * (1.87 + 1.4)).select("a", "b")).withColumn("area", F.round("area", 4))
+
+
+# -- further steps of reading and numbering ---------------------------------------------------
+
+
+@query("""with t as (select o_orderkey, o_custkey, o_orderstatus, first_value(case when o_orderstatus <> 'O' then o_orderstatus end ignore nulls) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and unbounded following) as first from orders)
+select o_orderkey, o_custkey, o_orderstatus from t where o_orderstatus = 'O' or o_orderstatus = first""")
+def altloc_selection(spark, d):
+    """Rows without a code, and those with the first code of their group."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.first(F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")), ignorenulls=True).over(w).alias("first"))
+    return t.filter("o_orderstatus = 'O' or o_orderstatus = first").drop("first")
+
+
+@query("select event_id, user_id from (select event_id, user_id, max(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as ended from events) where coalesce(ended, 0) = 0")
+def first_model_rows(spark, d):
+    """Each chain up to its first end mark, the mark included."""
+    ended = F.max((F.col("event_type") == "error").cast("int")).over(by_user().rowsBetween(Window.unboundedPreceding, -1))
+    return table(spark, d, "events").select("event_id", "user_id", ended.alias("ended")).filter("coalesce(ended, 0) = 0").drop("ended")
+
+
+@query("select o_orderkey, s.supp as last_supplier from orders join (select l_orderkey, max_by(l_suppkey, cast(l_linenumber as bigint) * 1000000000000 + l_partkey * 1000000 + l_suppkey) as supp from lineitem group by 1) s on l_orderkey = o_orderkey")
+def label_remap_last_wins(spark, d):
+    """A key map in which the last entry wins, looked up by rows."""
+    last = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max_by("l_suppkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("last_supplier"))
+    return table(spark, d, "orders").select("o_orderkey").join(last, "o_orderkey")
+
+
+@query("""with t as (select event_id, user_id, ts, 1 + case when lag(event_type) over (partition by user_id order by ts, event_id) = 'error' then 1 else 0 end as step from events)
+select event_id, user_id, cast(sum(step) over (partition by user_id order by ts, event_id) as bigint) as seq_nr from t""")
+def seq_renumbering(spark, d):
+    """Numbers that skip one after each discontinuity."""
+    step = 1 + F.when(F.lag("event_type").over(by_user()) == "error", 1).otherwise(0)
+    return table(spark, d, "events").select("event_id", "user_id", "ts", step.alias("step")).select("event_id", "user_id", F.sum("step").over(by_user()).alias("seq_nr"))
+
+
+@query("""with t as (select event_id, {} from events window w as (partition by user_id order by ts, event_id)) select event_id, cast(near as bigint) as near, near / 8.0 as factor from t""".format("least(8, " + ", ".join(f"case when {f}(value, {k}) over w < 5 then {k} else 8 end" for f in ("lag", "lead") for k in range(8)) + ") as near"))
+def gap_proximity(spark, d):
+    """How near the next gap is on either side, 8 at most."""
+    w = by_user()
+    near = F.least(F.lit(8), *[F.when(f("value", k).over(w) < 5, k).otherwise(8) for f in (F.lag, F.lead) for k in range(8)])
+    return table(spark, d, "events").select("event_id", near.cast("long").alias("near"), (near / 8.0).alias("factor"))
+
+
+@query("select o_custkey, string_agg(cast(o_orderkey as varchar), ' ' order by o_orderkey) as needs, count(*) as n from orders group by 1")
+def dependency_lines(spark, d):
+    """The prerequisites of each target in one line."""
+    ids = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(ids, " ").alias("needs"), F.count("*").alias("n"))
+
+
+@query("""with t as (select event_id, user_id, ts, value > 250 as ins, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, value > 250 order by ts, event_id) as island from events)
+select user_id, min(event_id) as first_event, count(*) as size from t where ins group by user_id, island""")
+def insertion_islands(spark, d):
+    """Runs of inserted positions along a row."""
+    t = table(spark, d, "events").withColumn("ins", F.col("value") > 250)
+    island = F.row_number().over(by_user()) - F.row_number().over(Window.partitionBy("user_id", "ins").orderBy("ts", "event_id"))
+    return t.withColumn("island", island).filter("ins").groupBy("user_id", "island").agg(F.min("event_id").alias("first_event"), F.count("*").alias("size")).drop("island")
