@@ -38,6 +38,11 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def broadcast_below(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
+    """df, a stored table of ids, to be broadcast if it has at most so many rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 class Memo(dict):
     """A function's values by argument; emptied when it has grown to a number of entries."""
 

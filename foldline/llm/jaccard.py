@@ -23,7 +23,8 @@ Shingles are 64-bit hashes of words; sets count as equal by 128 bits of their ha
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; shorter texts
 than a shingle are one shingle; ties have no influence; repeated doc_ids count as one document with
-the larger set; a null doc_id is left out of links; an empty table gives an empty table; only the
+the larger set; a null doc_id makes no links, but its row has the component of its text if other
+documents have that text; an empty table gives an empty table; only the
 named columns are read; texts of any length are handled whole.
 """
 
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foldline.llm.common import Memo, pieces, stored, table
+from foldline.llm.common import Memo, broadcast_below, pieces, stored, table
 from foldline.llm.components import components
 
 NAME = "op6_ngram_jaccard_join"
@@ -233,8 +234,8 @@ def jaccard_components(documents: DataFrame, k: int, num: int, den: int) -> Data
     pivots = shared.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"))
 
     # The sets of the classes in blocks.
-    near = shared.select("node").distinct()
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    near = stored(shared.select("node").distinct())
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(broadcast_below(near.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
     sets = shingled(texts, k, num, den, True).groupBy("doc_id").agg(F.max_by("list", "n").alias("shingles")).withColumnRenamed("doc_id", "node")
     sets = stored(sets)
 
