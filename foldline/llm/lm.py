@@ -40,7 +40,7 @@ NAME = "op5_context_mixing_lm"
 SYMBOLS, HOT, CLASSES, LONGEST = 2047, 1 << 17, 128, 64
 BITS, ORDERS, GATES, STEPS = 20, 3, 16, 64
 BLOCK = 1 << 15
-FIRST, BATCH = 20_000, 400_000  # decisions learnt from at once, at first and at most
+FIRST, BATCH = 20_000, 80_000  # decisions learnt from at once, at first and at most
 SHARD = 2_000_000  # tokens that a shard has at least
 DISCOUNT, SMOOTH = 0.6, 0.1
 END = SYMBOLS + CLASSES
@@ -116,8 +116,8 @@ class Mixer:
         """Natural log of the probability of each decision's outcome."""
         gate = self.seen[-2].take(slots[-2]) * np.uint8(4) + self.seen[-1].take(slots[-1])
         z = mixed_odds(self.weights, gate, [o.take(s) for o, s in zip(self.odds, slots)])
-        p = 0.5 / (1 + np.exp(-z)) + 0.5 * self.refined[step(z)]
-        return np.log(np.where(bits == 1, p, 1 - p))
+        p = np.float32(0.5) / (1 + np.exp(-z)) + np.float32(0.5) * self.refined.take(step(z))
+        return np.log(np.abs(p - (1 - bits)))
 
 
 def mixed_odds(weights: np.ndarray, gate: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
@@ -126,7 +126,7 @@ def mixed_odds(weights: np.ndarray, gate: np.ndarray, x: list[np.ndarray]) -> np
 
 
 def step(z: np.ndarray) -> np.ndarray:
-    return ((z + 12) * (STEPS / 24)).astype(np.int64).clip(0, STEPS - 1)
+    return np.minimum(((z + 12) * np.float32(STEPS / 24)).astype(np.uint8), STEPS - 1)
 
 
 def learn(batches: Iterator[tuple[np.ndarray, np.ndarray]], decisions: Decisions) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -147,7 +147,7 @@ def learn(batches: Iterator[tuple[np.ndarray, np.ndarray]], decisions: Decisions
         for k in range(ORDERS):
             weights[:, k] += rate * np.bincount(gate, error * x[k], GATES) / power * 4 * (n > 0)
         rate = max(0.05, rate * 0.97)
-        hits += np.bincount(step(z) * 2 + bits, minlength=2 * STEPS).reshape(STEPS, 2)
+        hits += np.bincount(step(z) * np.uint8(2) + bits, minlength=2 * STEPS).reshape(STEPS, 2)
         for c, s in zip(counts, slots):
             np.add.at(c.reshape(-1), (s << np.uint32(1)) | bits, np.int32(1))
         total += len(bits)
@@ -297,7 +297,8 @@ def fit(training: DataFrame) -> Model:
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     # At most HOT words of at most LONGEST bytes come to the driver.
-    hot = [(bytes(r["word"]), r["c"]) for r in counts.filter(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(HOT).select("word", "c").collect()]
+    top = counts.filter(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(HOT).select("word", "c").toArrow()
+    hot = list(zip(top.column("word").to_pylist(), top.column("c").to_pylist()))
     own = spark.createDataFrame([(w,) for w, _ in hot[:SYMBOLS]], "word binary")
     n_bytes = F.length("word")
     affix = F.concat(F.expr("substring(word, 1, 2)"), F.when(n_bytes >= 2, F.expr("substring(word, -2, 2)")).otherwise(F.col("word")))
@@ -346,7 +347,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, mixer = shared.value
         made = Decisions(lexicon.weights, 0)
-        base = np.append(np.log10(lexicon.counts + SMOOTH), 0.0)
+        base = np.append(np.log10(lexicon.counts + SMOOTH), 0.0)  # the last one is for words that aren't frequent
         inside = np.zeros(len(lexicon.counts) + 1)  # log10 of a frequent word's share of its class
         for w, k in lexicon.index.items():
             if k >= SYMBOLS:
@@ -369,17 +370,21 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                     bits, slots, of = made.of(flat[a:b] & 0xFFFF, lengths[first : last + 1])
                     logp += np.bincount(row[a:b][of], mixer.bits_cost(bits, slots), len(texts))
                 known = place >= 0
-                is_end = np.zeros(len(flat), bool)
-                is_end[end] = True
-                b0 = np.bincount(row, np.where(known, base[place], 0.0), len(texts)) + math.log10(lexicon.ends + SMOOTH)
-                s0 = logp / math.log(10) + np.bincount(row, np.where(known, inside[place], 0.0), len(texts))
-                rare = [Counter(w for w, p in zip(t, c) if p < 1 << 16) for t, c in zip(texts, codes)]
+                b0 = np.bincount(row, base[place], len(texts)) + math.log10(lexicon.ends + SMOOTH)
+                s0 = logp / math.log(10) + np.bincount(row, inside[place], len(texts))
+                rare = [Counter(t[i] for i in np.flatnonzero(c[:-1] < 1 << 16).tolist()) for t, c in zip(texts, codes)]
                 held = part.column(2).to_pylist()
-                lists = [[{"h": xxhash.xxh64_intdigest(w, 42) - (1 << 64) * (xxhash.xxh64_intdigest(w, 42) >> 63), "m": m, "k": class_of(w), "word": w if hold else None} for w, m in r.items()] for r, hold in zip(rare, held)]
+                flat_words = [w for r in rare for w in r]
+                values = [
+                    pa.array(np.array([xxhash.xxh64_intdigest(w, 42) for w in flat_words], np.uint64).view(np.int64)),
+                    pa.array([m for r in rare for m in r.values()], pa.int32()),
+                    pa.array([class_of(w) for w in flat_words], pa.int32()),
+                    pa.array([w if hold else None for r, hold in zip(rare, held) for w in r], pa.binary()),
+                ]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.StructArray.from_arrays(values, ["h", "m", "k", "word"]))
                 found = np.bincount(row, known, len(texts)).astype(np.int64) + (lexicon.ends > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), pa.array(found), pa.array(b0), pa.array(s0), pa.array([len(b" ".join(t)) + 1 for t in texts], pa.int64()), pa.array(lists, RARE)], NAMES)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), pa.array(found), pa.array(b0), pa.array(s0), pa.array([len(b" ".join(t)) + 1 for t in texts], pa.int64()), lists], NAMES)
 
-    RARE = pa.list_(pa.struct([("h", pa.int64()), ("m", pa.int32()), ("k", pa.int32()), ("word", pa.binary())]))
     NAMES = [id_col, "n_tokens", "known", "base", "part", "n_bytes", "rare"]
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(id_col, text_col, (crc_mod(id_col, 10) == 0).alias("held"))
