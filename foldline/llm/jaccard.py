@@ -257,9 +257,9 @@ def jaccard_components(documents: DataFrame, k: int, num: int, den: int) -> Data
     chunks = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("long") - 1)
     asked = rest.filter("query").select("block", "node", "component", F.explode(chunks).alias("chunk"))
     searched = rest.select("block", "node", "component", "chunk").withColumn("indexed", F.lit(True)).withColumn("query", F.lit(False)).unionByName(asked.withColumn("indexed", F.lit(False)).withColumn("query", F.lit(True)))
-    more = search_blocks(searched.join(sets, "node").select("block", "chunk", "node", "component", "query", "indexed", "shingles"), num, den)
+    more = stored(search_blocks(searched.join(sets, "node").select("block", "chunk", "node", "component", "query", "indexed", "shingles"), num, den))
 
-    found = components(stored(links.union(more)))
+    found = known if more.isEmpty() else components(links.union(more)).select("node", "component")
     joined = classes.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     result = sliced.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(joined, "set_id", "left")
     return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
