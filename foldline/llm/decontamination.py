@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits in lower case. One pass over the documents finds the places
-where three words in a row are those of a test item, and keeps the words around (as numbers of the
-benchmark's vocabulary, 0 for any other word). From these places it is counted in how many passages
-each n-gram occurs; of every SPAN n-grams in a row of an item the rarest one is a seed, so every stretch of an
-item has one, however frequent a leaked item is. Passages are joined to items by the seeds; those
-that share enough n-grams with an item are aligned to it.
+where three words in a row are those of a test item. Every n-gram of every item is a seed, so an item
+is met wherever it has three words in a row in common with a document, however it is edited elsewhere
+and however frequent it is. Around the places of an item as many words are kept as an alignment
+can reach; the item is aligned to them unless fewer of its words occur there than the threshold asks for.
 
 An alignment scores 1 for equal words, -0.5 for different ones and -1 for a gap of a word; a document is
 contaminated by an item if the best score is at least THRESHOLD times the item's number of words.
+Copies without three equal words in a row aren't looked for: they score half the item's words and one at most.
 
 The benchmark is handled in blocks of about BLOCK bytes, so what is broadcast has a bound.
 
@@ -28,12 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from foldline.llm.common import Memo, pieces, stored, table
+from foldline.llm.common import Memo, pieces, table
 
 NAME = "op7_benchmark_decontamination"
-N, SPAN, LEAST_GRAMS = 3, 4, 2
+N = 3
 MISMATCH, GAP, THRESHOLD = 0.5, 1.0, 0.5
 BLOCK = 8 << 20
 WORD = re.compile(r"[^\W_]+")
@@ -53,8 +52,14 @@ class Items:
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int32) for _, ws in cut]
         codes = [self.codes(w) for w in self.words]
         self.grams = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-        self.item_grams = [np.searchsorted(self.grams, c) for c in codes]
-        self.longest = max(map(len, self.words), default=0)
+        # The items of each n-gram, and the words of all items, one after another.
+        own = [np.unique(c) for c in codes]
+        of = np.searchsorted(self.grams, np.concatenate(own)) if own else np.zeros(0, np.int64)
+        self.gram_items = np.repeat(np.arange(len(own)), [len(c) for c in own])[np.argsort(of, kind="stable")]
+        self.gram_ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(self.grams))))
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int32)
 
     @staticmethod
     def codes(words: np.ndarray) -> np.ndarray:
@@ -66,36 +71,46 @@ class Items:
         return np.where(known, out, -1)
 
 
-def passages(documents: DataFrame, shared) -> DataFrame:
-    """(doc_id, start, words, grams) of each stretch with n-grams of items, and as many words around as an item may need."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        known, reach = items.vocabulary, 2 * items.longest
-        numbers = Memo(lambda c: tuple(known.get(w, 0) for w in WORD.findall(c.lower())))
-        for batch in batches:
-            for part in pieces(batch):
-                out = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    w = np.fromiter(chain.from_iterable(map(numbers.__getitem__, (text or "").split())), np.int32)
-                    if len(w) < N:
-                        continue
-                    codes = items.codes(w)
-                    at = np.flatnonzero(codes >= 0)
-                    if not len(at):
-                        continue
-                    g = np.searchsorted(items.grams, codes[at])
-                    real = (g < len(items.grams)) & (items.grams[np.minimum(g, len(items.grams) - 1)] == codes[at])
-                    at, g = at[real], g[real]
-                    for k in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > reach) + 1):
-                        if len(k):
-                            begin = max(int(at[k[0]]) - reach, 0)
-                            out.append((doc, begin, w[begin : int(at[k[-1]]) + N + reach].tolist(), g[k].tolist()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), TYPES)], ["doc_id", "start", "words", "grams"])
-
-    TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, words array<int>, grams array<int>")
+def slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices of several stretches, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+def passages(items: Items, w: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(item, begin, end) of the stretches of a document around the n-grams of each item that can reach the threshold."""
+    codes = items.codes(w)
+    at = np.flatnonzero(codes >= 0)
+    g = np.searchsorted(items.grams, codes[at])
+    real = items.grams[np.minimum(g, len(items.grams) - 1)] == codes[at]
+    at, g = at[real], g[real]
+    if not len(at):
+        return
+    numbers = items.gram_ends[g + 1] - items.gram_ends[g]
+    item, place = items.gram_items[slices(items.gram_ends[g], numbers)], np.repeat(at, numbers)
+    # No alignment reaches the threshold with fewer equal words; first in the whole document.
+    some, back = np.unique(item, return_inverse=True)
+    there = np.zeros(len(items.vocabulary) + 1, bool)
+    there[w] = True
+    there[0] = False
+    sizes = items.lengths[some]
+    equal = np.add.reduceat(there[items.flat[slices(items.starts[some], sizes)]], np.cumsum(sizes) - sizes, dtype=np.int64)
+    keep = (equal >= threshold * sizes)[back]
+    item, place = item[keep], place[keep]
+    if not len(item):
+        return
+    order = np.lexsort((place, item))
+    item, place = item[order], place[order]
+    reach = 2 * items.lengths[item]
+    new = np.flatnonzero((np.diff(item) != 0) | (np.diff(place) > reach[1:])) + 1
+    first, last = np.append(0, new), np.append(new, len(item)) - 1
+    begins, ends = np.maximum(place[first] - reach[first], 0), np.minimum(place[last] + N + reach[last], len(w))
+    for k, begin, end in zip(item[first].tolist(), begins.tolist(), ends.tolist()):
+        there[:] = False
+        there[w[begin:end]] = True
+        there[0] = False
+        if there[items.words[k]].sum() >= threshold * len(items.words[k]):
+            yield k, begin, end
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
@@ -115,7 +130,6 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, end_word): score is the alignment's share of the item; end_word where it ends."""
-    spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / BLOCK))
@@ -128,42 +142,28 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 
 
 def _block(documents: DataFrame, items: Items, threshold: float) -> DataFrame:
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(items)
-    near = stored(passages(documents, shared))
-    counts = near.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    places = [(k, p, int(g)) for k, gs in enumerate(items.item_grams) for p, g in enumerate(gs)]
-    of_items = spark.createDataFrame(places, "item int, place int, gram int").join(counts, "gram", "left")
-    ahead = Window.partitionBy("item").orderBy("place").rowsBetween(0, SPAN - 1)
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.crc32(F.col("gram").cast("string").cast("binary")).alias("tie"), "gram")).over(ahead)
-    seeds = of_items.select("item", rarest.alias("seed")).select(F.col("seed.gram").alias("gram"), "item").groupBy("gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    # The seeds are n-grams of the block, which has a bound.
-    joined = near.withColumn("gram", F.explode(F.array_distinct("grams"))).join(F.broadcast(seeds), "gram").select("doc_id", "start", "words", "grams", "items")
+    shared = documents.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        own = [frozenset(g.tolist()) for g in block.item_grams]
-        last, done = None, set()
+        items = shared.value
+        known = items.vocabulary
+        numbers = Memo(lambda c: tuple(known.get(w, 0) for w in WORD.findall(c.lower())))
         for batch in batches:
             for part in pieces(batch):
                 out = []
-                for doc, start, words, grams, candidates in zip(*(c.to_pylist() for c in part.columns)):
-                    if (doc, start) != last:  # the rows of a passage come one after another
-                        last, done, here, there = (doc, start), set(), set(grams), np.array(words, np.int32)
-                    for k in candidates:
-                        if k in done:
-                            continue
-                        done.add(k)
-                        item = block.words[k]
-                        if len(here & own[k]) < min(LEAST_GRAMS, len(own[k])) or np.isin(item, there).sum() < threshold * len(item):
-                            continue  # no alignment can reach the threshold with fewer equal words
-                        score, end = align(item, there)
-                        if score >= threshold * len(item):
-                            out.append((doc, block.ids[k], score / len(item), start + end))
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    w = np.fromiter(chain.from_iterable(map(numbers.__getitem__, (text or "").split())), np.int32)
+                    if len(w) < N or not len(items.grams):
+                        continue
+                    for k, begin, stop in passages(items, w, threshold):
+                        score, end = align(items.words[k], w[begin:stop])
+                        if score >= threshold * len(items.words[k]):
+                            out.append((doc, items.ids[k], score / len(items.words[k]), begin + end))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["doc_id", "item_id", "score", "end_word"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), TYPES)], ["doc_id", "item_id", "score", "end_word"])
 
-    return joined.mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
+    TYPES = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

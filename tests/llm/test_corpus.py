@@ -151,6 +151,30 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontamination.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_with_evenly_spaced_edits(spark):
+    """Against brute-force alignment of every item to every document; every copy keeps three words in a row."""
+    import numpy as np
+
+    rng = random.Random(12)
+    items = [(k, " ".join(plain(rng, rng.choice([4, 5, 9, 30])))) for k in range(16)]
+    docs = []
+    for k, text in items:
+        for gap in (4, 5, 6, 7):
+            for whole in (text.split(), text.split()[:3]):
+                w = [f"new{rng.randrange(99)}" if i % gap == gap - 1 else x for i, x in enumerate(whole)]
+                docs.append((len(docs), " ".join(plain(rng, 60) + w + plain(rng, 60))))
+    made = decontamination.Items(items)
+    want = {}
+    for d, text in docs:
+        w = np.array([made.vocabulary.get(x, 0) for x in decontamination.words_of(text)])
+        for k, item in zip(made.ids, made.words):
+            score, end = decontamination.align(item, w)
+            if score >= 0.5 * len(item) and np.isin(made.codes(w), made.codes(item)).any():
+                want[d, k] = score / len(item)
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) >= 80
+
+
 def test_decontamination_in_blocks(spark, sf, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     one = {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontamination.contaminated(docs, bench).collect()}
