@@ -120,14 +120,16 @@ def choose_terms(rows: DataFrame) -> dict[str, int]:
     return chosen
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Posterior probability of the toxic class for each row of 0/1 votes, with the label as one more voter."""
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8, times: np.ndarray | None = None) -> np.ndarray:
+    """Posterior probability of the toxic class for each row of 0/1 votes, with the label as one more voter; times is how often each row occurs."""
+    times = np.ones(len(labels)) if times is None else times.astype(float)
     q = labels.astype(float)
     for _ in range(rounds):
-        n1, n0 = q.sum(), (1 - q).sum()
-        on1, on0 = (votes.T @ q + 0.5) / (n1 + 2), (votes.T @ (1 - q) + 0.1) / (n0 + 2)
+        in1, in0 = times * q, times * (1 - q)
+        n1, n0 = in1.sum(), in0.sum()
+        on1, on0 = (votes.T @ in1 + 0.5) / (n1 + 2), (votes.T @ in0 + 0.1) / (n0 + 2)
         extra = np.zeros(votes.shape[1])
-        for weight, mean in ((q, on1), (1 - q, on0)):  # correlation within a class
+        for weight, mean in ((in1, on1), (in0, on0)):  # correlation within a class
             c = (votes - mean) * np.sqrt(weight / max(weight.sum(), 1))[:, None]
             cov = c.T @ c
             s = np.sqrt(np.maximum(np.diag(cov), 1e-9))
@@ -136,21 +138,22 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.nd
         share = 1 / (1 + np.maximum(extra, 0))
         prior = np.log(max(n1, 1) / max(n0, 1))
         evidence = votes * (share * np.log(on1 / on0)) + (1 - votes) * (share * np.log((1 - on1) / (1 - on0)))
-        right1, right0 = (q @ labels + 1) / (n1 + 1.05), ((1 - q) @ (1 - labels) + 1) / (n0 + 1.05)  # the given label
+        right1, right0 = (in1 @ labels + 1) / (n1 + 1.05), (in0 @ (1 - labels) + 1) / (n0 + 1.05)  # the given label
         right1, right0 = min(right1, 0.98), min(right0, 0.98)
         given = np.where(labels == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
         q = 1 / (1 + np.exp(-np.clip(prior + evidence.sum(1) + given, -30, 30)))
     return q
 
 
-def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Weights (bias last) that fit probabilities q, by Newton's method."""
+def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.3, rounds: int = 25, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights (bias last) that fit probabilities q, by Newton's method; times is how often each row occurs."""
+    times = np.ones(len(q)) if times is None else times.astype(float)
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + np.diag(penalty), x.T @ (p - q) + penalty * w)
+        step = np.linalg.solve((x.T * (times * (p * (1 - p) + 1e-6))) @ x + np.diag(penalty), x.T @ (times * (p - q)) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -172,15 +175,14 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str, sample: int = S
                 at = [np.flatnonzero(r) for r in x]
                 yield pa.RecordBatch.from_arrays([pa.array([a.tolist() for a in at], pa.list_(pa.int32())), pa.array([r[a].tolist() for r, a in zip(x, at)], pa.list_(pa.float64())), part.column(1)], ["at", "value", "y"])
 
-    # Rows without a vote are alike and come as one row with their number; all are sample rows at most.
+    # Rows that are alike, as all without a vote are, come as one row with their number; all are sample rows at most.
     found = few.select("text", "y").mapInArrow(run, "at array<int>, value array<double>, y int").groupBy("at", "value", "y").agg(F.count("*").alias("n")).orderBy("at", "value", "y").toPandas()
     x = np.zeros((len(found), len(terms) + PATTERNS))
     for r, (at, value) in enumerate(zip(found["at"], found["value"])):
         x[r, list(at)] = list(value)
     times = found["n"].to_numpy()
-    spread = np.repeat(np.arange(len(found)), np.minimum(times, 4000))
-    q = label_model((x[spread] > 0).astype(float), found["y"].to_numpy()[spread])
-    return Model(terms, logistic(x[spread], q))
+    q = label_model((x > 0).astype(float), found["y"].to_numpy(), times=times)
+    return Model(terms, logistic(x, q, times=times))
 
 
 def probabilities(votes: Votes, model: Model, texts: list[str | None]) -> np.ndarray:

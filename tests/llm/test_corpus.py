@@ -207,6 +207,24 @@ def test_classifiers_on_held_out_rows(spark, op, label, mod, held):
     assert sum(r.predicted == r[label] for r in held_rows) / len(held_rows) > 0.95
 
 
+def test_toxicity_counts_all_equal_rows(spark):
+    """More texts without a vote than any limit on equal rows: the base rate is that of the labels."""
+    import numpy as np
+
+    rng = random.Random(6)
+    clean = [f"plain text number {i}" for i in range(9000)]
+    toxic = [f"{rng.choice(['vilest', 'nastier'])} words number {i}" for i in range(300)] + [f"quiet text number {i}" for i in range(900)]
+    rows = [(i, t, int(i >= len(clean))) for i, t in enumerate(clean + toxic)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), "toxic")
+    votes = toxicity.Votes(model.terms)
+    x = votes.features([t for _, t, _ in rows])
+    q = toxicity.label_model((x > 0).astype(float), np.array([y for _, _, y in rows]))
+    want = toxicity.logistic(x, q)
+    assert np.allclose(model.weights, want, atol=1e-3)
+    assert np.allclose(toxicity.probabilities(votes, model, ["no vote here"]), 1 / (1 + np.exp(-want[-1])), rtol=1e-3)
+
+
 def test_classifiers_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "x " * 9000, 0.5), (3, "x " * 9000, 0.5), (None, "y", None)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (2, None), (3, 7), (None, 1)], "doc_id long, quality int")
