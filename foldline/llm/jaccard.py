@@ -5,7 +5,11 @@ that link differ in few shingles: with thresholds num/den they differ in at most
 (|x| + |y|) (den - num) / (den + num) of them. Sizes are cut into bands such that linked classes are in
 the same or in neighbouring bands; for each band the shingles are dealt by hash into one more slice
 than linked sets may differ in, so at least one slice of theirs is equal. Classes that share no
-slice are never looked at; those that share one form a block. Nothing is missed.
+slice are never looked at; those that share one form a block. Empty slices have no key. So a set
+with empty slices is dealt again, by another hash, until a dealing leaves none empty or the chance
+that differing shingles stand in all the others, in every dealing so far, is below 2^-MISSED: linked sets
+that share no key of one dealing have an empty slice in common and both have keys of the next. Except for that chance
+(which is less than that of equal hashes of different shingles) nothing is missed.
 
 Within a block T-occurrence search finds the links: the block's sets are turned into inverted
 lists; for a query set of which T shingles must occur elsewhere, the T - 1 longest of its lists are
@@ -32,8 +36,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +53,7 @@ from foldline.llm.components import components
 
 NAME = "op6_ngram_jaccard_join"
 CHUNK = 400  # sets in a task's inverted lists
+MISSED, DEALINGS = 60, 64
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -84,6 +91,25 @@ def bands(most: int, num: int, den: int) -> list[int]:
     return ends
 
 
+@lru_cache(256)
+def covered(bins: int) -> np.ndarray:
+    """Log2 of the probability that balls thrown at random leave no bin empty, for 0 to 10 * bins balls."""
+    hit, stay, out = np.zeros(bins + 1), np.arange(bins + 1) / bins, np.full(10 * bins + 1, -math.inf)
+    hit[0] = 1.0
+    for n in range(1, 10 * bins + 1):
+        hit[1:] = hit[1:] * stay[1:] + hit[:-1] * (1 - stay[:-1])
+        hit[0] = 0.0
+        if hit[bins] > 0:
+            out[n] = math.log2(hit[bins])
+    return out
+
+
+def log_covered(balls: int, bins: int) -> float:
+    if bins > 160:  # the product over bins, which is far above the probability where balls are about as many as bins
+        return bins * math.log2(-math.expm1(balls * math.log1p(-1 / bins)))
+    return covered(bins)[min(balls, 10 * bins)]
+
+
 class Slicer:
     def __init__(self, num: int, den: int):
         self.num, self.den, self.ends = num, den, bands(1 << 24, num, den)
@@ -100,15 +126,30 @@ class Slicer:
         for b in (own, own + 1):
             # The largest difference of two linked sets whose larger one is in band b.
             slices = 2 * self.ends[b] * (self.den - self.num) // (self.den + self.num) + 1
-            dealt = (shingles >> np.uint64(20)) % np.uint64(slices)
-            with np.errstate(over="ignore"):
-                # An order-free hash of each slice: two sums of differently mixed members.
-                one, two = np.zeros(slices, np.uint64), np.zeros(slices, np.uint64)
-                np.add.at(one, dealt, mixed(shingles + ODD[1]))
-                np.add.at(two, dealt, mixed(shingles ^ ODD[2]))
-                where = mixed(np.arange(slices, dtype=np.uint64) + np.uint64(b << 40))
-                keys = mixed(one ^ mixed(two + where))
-            out.append(keys[np.bincount(dealt.astype(np.int64), minlength=slices) > 0] if slices > 1 else keys)
+            if slices == 1:
+                continue  # links with equal sets only
+            missed = 0.0
+            for turn in range(DEALINGS):
+                with np.errstate(over="ignore"):
+                    dealt = (mixed(shingles + ODD[0] * np.uint64(turn)) if turn else shingles) >> np.uint64(20)
+                    dealt %= np.uint64(slices)
+                    # An order-free hash of each slice: two sums of differently mixed members.
+                    one, two = np.zeros(slices, np.uint64), np.zeros(slices, np.uint64)
+                    np.add.at(one, dealt, mixed(shingles + ODD[1]))
+                    np.add.at(two, dealt, mixed(shingles ^ ODD[2]))
+                    where = mixed(np.arange(slices, dtype=np.uint64) + np.uint64(b << 40 | turn << 32))
+                    keys = mixed(one ^ mixed(two + where))
+                filled = np.bincount(dealt.astype(np.int64), minlength=slices) > 0
+                out.append(keys[filled])
+                full = int(filled.sum())
+                if full == slices:
+                    break
+                # Given that the set itself leaves no other slice empty.
+                missed += min(0.0, log_covered(slices - 1, full) - log_covered(size, full))
+                if missed < -MISSED:
+                    break
+        if not out:
+            return np.zeros(0, np.int64)
         return np.concatenate(out).view(np.int64)
 
 

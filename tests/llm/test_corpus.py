@@ -87,6 +87,28 @@ def test_jaccard_brute(spark, k, num, den):
     assert got == brute_components(texts, k, num, den)
 
 
+@pytest.mark.parametrize("num,den", [(90, 100), (8, 10)])
+def test_linked_sets_share_a_key(num, den):
+    """Thousands of pairs of small sets that just link, and some larger ones."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    slicer, pairs, missed = jaccard.Slicer(num, den), 0, []
+    for size in [*range(4, 31), 60, 120]:
+        for extra in range(1, size):
+            for gone in (extra // 2, 0):
+                if den * (size - gone) < num * (size + extra - gone):
+                    continue
+                for _ in range(300 if size <= 30 else 40):
+                    pool = rng.integers(0, 1 << 63, size + extra).astype(np.uint64)
+                    x, y = np.sort(pool[:size]), np.sort(pool[gone : size + extra - gone])
+                    if den * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y)):
+                        pairs += 1
+                        if not np.intersect1d(slicer(x), slicer(y)).size:
+                            missed.append((len(x), len(y)))
+    assert pairs > 2000 and not missed, (pairs, Counter(missed))
+
+
 def test_jaccard_hub_and_chunks(spark, monkeypatch):
     """Copies that link to their origin but not to each other, over several chunks; and an empty table."""
     base = [f"b{i}" for i in range(122)]
