@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is missing (tests, one machine) a temporary folder is used instead.
+    Only on one machine (tests) a missing setting is made up for by a temporary folder; a cluster has to name one.
     The folder is removed when the JVM ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldline-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="foldline-")
     where = f"{base.rstrip('/')}/foldline-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
@@ -26,7 +31,16 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/table"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +52,7 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def broadcast_below(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
+def broadcast_below(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df, a stored table of ids, to be broadcast if it has at most so many rows; else it is joined by a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
 

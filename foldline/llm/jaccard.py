@@ -1,33 +1,36 @@
-"""N-gram Jaccard join by T-occurrence search (DivideSkip).
-
-Documents with equal shingle sets are one class from the start. The sets of two different classes
-that link differ in few shingles: with thresholds num/den they differ in at most
-(|x| + |y|) (den - num) / (den + num) of them. Sizes are cut into bands such that linked classes are in
-the same or in neighbouring bands; for each band the shingles are dealt by hash into one more slice
-than linked sets may differ in, so at least one slice of theirs is equal. Classes that share no
-slice are never looked at; those that share one form a block. Empty slices have no key. So a set
-with empty slices is dealt again, by another hash, until a dealing leaves none empty or the chance
-that differing shingles stand in all the others, in every dealing so far, is below 2^-MISSED: linked sets
-that share no key of one dealing have an empty slice in common and both have keys of the next. Except for that chance
-(which is less than that of equal hashes of different shingles) nothing is missed.
-
-Within a block T-occurrence search finds the links: the block's sets are turned into inverted
+"""N-gram Jaccard join by T-occurrence search (DivideSkip) over prefix blocks.
+
+Documents with equal shingle sets are one class from the start. Two different sets that link share at
+least ceil(t |x|) shingles, t being num/den. So of the first |x| - ceil(t |x|) + 1 shingles of x and
+the like number of y, in one order of all shingles, one is shared: these are a set's keys. The order
+puts common shingles last, rarest first, so that no passage that many documents share becomes a key
+unless a set has hardly anything else. Which shingles are common is counted over all documents
+(the counts of less than LEAST in BATCH shingles are left out); the order decides about the
+work alone, never about what is found: any order that all sets share gives the same links.
+
+Sets that share a key form a block, cut where neighbours in size are too far apart to link. Each
+set has a sketch: the parity of the number of its shingles in each of some bits. Two sets differ in
+at least as many shingles as their sketches differ in bits, so pairs whose sketches differ
+in more than linked sets may differ are ruled out without their sets.
+
+What is left is searched by T-occurrence: the block's sets are turned into inverted
 lists; for a query set of which T shingles must occur elsewhere, the T - 1 longest of its lists are
 set aside, the short rest is merged with a heap, and each candidate met there is probed by binary
 search in the long lists until T is reached or can't be. Exact sizes then decide.
 
 Large groups are cut down before that: first each block's pivot (the class that shares most
-slices) is searched among the block's classes, in chunks, which joins most near copies. Blocks that
-have classes in common form an area; only classes that are then still in another component than
-most of their area are searched against the whole area, again in chunks. Candidates known to be connected to the query are skipped, since
+keys) is searched among the block's classes, in chunks, which joins most near copies. Then, in blocks whose
+classes are still in several components, the pairs that the sketches allow connect classes to areas;
+only classes outside the component that most of their area is in are searched against the area,
+again in chunks. Candidates known to be connected to the query are skipped, since
 components stay the same. So no pair list of a group is ever made, no group is held in one task, and no
 link between different components is lost.
 
 Shingles are 64-bit hashes of words; sets count as equal by 128 bits of their hash.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; shorter texts
-than a shingle are one shingle; ties have no influence; repeated doc_ids count as one document with
-the larger set; a null doc_id makes no links, but its row has the component of its text if other
+than a shingle are one shingle; ties have no influence; rows of one doc_id are one document, which
+has the links of all its texts (n_shingles is each row's own); a null doc_id makes no links, but its row has the component of its text if other
 documents have that text; an empty table gives an empty table; only the
 named columns are read; texts of any length are handled whole.
 """
@@ -36,10 +39,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import math
 from bisect import bisect_left
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +49,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foldline.llm.common import Memo, broadcast_below, pieces, stored, table
+from foldline.llm.common import Memo, broadcast_below, forget, pieces, stored, table
 from foldline.llm.components import components
 
 NAME = "op6_ngram_jaccard_join"
 CHUNK = 400  # sets in a task's inverted lists
-MISSED, DEALINGS = 60, 64
-ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+BATCH, LEAST = 2_000_000, 3  # shingles that a task counts at once; fewer occurrences there aren't reported
+COMMON, RANKED = 32, 1_000_000  # occurrences from which a shingle is ranked as common; the most that are ranked
+SKETCH_BITS = 1 << 16  # at most; larger sets are told apart less well
+NODES = 4_000_000  # ids up to which they are broadcast
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -78,96 +82,152 @@ class Shingler:
             return np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64) if len(h) else h
         out = np.full(n, np.uint64(self.k))
         for j in range(self.k):
-            out = mixed(out * ODD[0] + h[j : j + n])
+            out = mixed(out * ODD + h[j : j + n])
         return np.unique(out)
 
 
-def bands(most: int, num: int, den: int) -> list[int]:
-    """The last size of each band: the first size of the next one is too large for the first of this one."""
-    ends, first = [], 1
-    while first <= most:
-        ends.append(first * den // num)
-        first = ends[-1] + 1
-    return ends
+def outlines(documents: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, set_id) of (doc_id, text), and rows (shingle, times) of shingles that occur often in a part of a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, seen, size = Shingler(k), [], 0
+        names = ["doc_id", "n", "set_id", "shingle", "times"]
 
-@lru_cache(256)
-def covered(bins: int) -> np.ndarray:
-    """Log2 of the probability that balls thrown at random leave no bin empty, for 0 to 10 * bins balls."""
-    hit, stay, out = np.zeros(bins + 1), np.arange(bins + 1) / bins, np.full(10 * bins + 1, -math.inf)
-    hit[0] = 1.0
-    for n in range(1, 10 * bins + 1):
-        hit[1:] = hit[1:] * stay[1:] + hit[:-1] * (1 - stay[:-1])
-        hit[0] = 0.0
-        if hit[bins] > 0:
-            out[n] = math.log2(hit[bins])
-    return out
-
+        def often() -> pa.RecordBatch:
+            shingles, times = np.unique(np.concatenate(seen), return_counts=True)
+            keep = times >= LEAST
+            none = [pa.nulls(int(keep.sum()), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(shingles[keep].view(np.int64)), pa.array(times[keep])], names)
 
-def log_covered(balls: int, bins: int) -> float:
-    if bins > 160:  # the product over bins, which is far above the probability where balls are about as many as bins
-        return bins * math.log2(-math.expm1(balls * math.log1p(-1 / bins)))
-    return covered(bins)[min(balls, 10 * bins)]
+        for batch in batches:
+            for part in pieces(batch):
+                sets = [of(t) for t in part.column(1).to_pylist()]
+                ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                none = [pa.nulls(len(sets), pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), *none], names)
+                seen += sets
+                size += sum(map(len, sets))
+                if size > BATCH:
+                    yield often()
+                    seen, size = [], 0
+        if size:
+            yield often()
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_id binary, shingle long, times long")
+
+
+def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles of (shingle, times), RANKED at most, and their ranks, rarest first."""
+    sums = stored(counts.groupBy("shingle").agg(F.sum("times").alias("times")).filter(F.col("times") >= COMMON))
+    levels = sums.groupBy(F.floor(F.log2("times")).cast("int").alias("level")).count().orderBy(F.desc("level")).collect()  # 64 rows at most
+    total, least = 0, 1 << 62
+    for level, n in levels:
+        total += n
+        if total > RANKED:
+            break
+        least = 1 << level
+    got = sums.filter(F.col("times") >= least).toArrow()
+    forget(sums)
+    shingles, times = got["shingle"].to_numpy().view(np.uint64), got["times"].to_numpy()
+    order = np.argsort(shingles)
+    shingles, times = shingles[order], times[order]
+    rank = np.empty(len(shingles), np.int64)
+    rank[np.lexsort((shingles, times))] = np.arange(len(shingles))
+    return shingles, rank
+
+
+class Prefixes:
+    """The keys of a set: its first shingles in an order that has the common ones last."""
+
+    def __init__(self, num: int, den: int, common: np.ndarray, rank: np.ndarray):
+        self.num, self.den, self.common, self.rank = num, den, common, rank
 
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        n = len(shingles)
+        if self.den * n < self.num * (n + 1):  # links with equal sets only
+            return shingles[:0]
+        size = n - -(-self.num * n // self.den) + 1
+        if not len(self.common):
+            return shingles[:size]
+        at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+        known = self.common[at] == shingles
+        rare = shingles[~known][:size]
+        if len(rare) == size:
+            return rare
+        late = shingles[known][np.argsort(self.rank[at[known]])]
+        return np.concatenate([rare, late[: size - len(rare)]])
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    bits = min(max(64, 1 << (len(shingles) - 1).bit_length()), SKETCH_BITS)
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Which pairs of sizes and sketches may belong to linked sets."""
 
-class Slicer:
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.ends = num, den, bands(1 << 24, num, den)
+        self.num, self.den = num, den
 
-    def band(self, size: int) -> int:
-        return bisect_left(self.ends, size)
+    def may_link(self, n: int, a: bytes, m: int, b: bytes) -> bool:
+        if self.den * min(n, m) < self.num * max(n, m):
+            return False
+        if len(a) > len(b):
+            a, b = b, a
+        x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+        while size > 8 * len(a):
+            size //= 2
+            y = (y >> size) ^ (y & ((1 << size) - 1))
+        return (self.den + self.num) * (x ^ y).bit_count() <= (self.den - self.num) * (n + m)
 
-    def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        """Keys of the slices for the set's own band, as the larger partner, and for the next one, as the smaller."""
-        size, out = len(shingles), []
-        if size == 0 or (2 * size + 1) * (self.den - self.num) < self.den + self.num:
-            return np.zeros(0, np.int64)  # links with equal sets only
-        own = self.band(size)
-        for b in (own, own + 1):
-            # The largest difference of two linked sets whose larger one is in band b.
-            slices = 2 * self.ends[b] * (self.den - self.num) // (self.den + self.num) + 1
-            if slices == 1:
-                continue  # links with equal sets only
-            missed = 0.0
-            for turn in range(DEALINGS):
-                with np.errstate(over="ignore"):
-                    dealt = (mixed(shingles + ODD[0] * np.uint64(turn)) if turn else shingles) >> np.uint64(20)
-                    dealt %= np.uint64(slices)
-                    # An order-free hash of each slice: two sums of differently mixed members.
-                    one, two = np.zeros(slices, np.uint64), np.zeros(slices, np.uint64)
-                    np.add.at(one, dealt, mixed(shingles + ODD[1]))
-                    np.add.at(two, dealt, mixed(shingles ^ ODD[2]))
-                    where = mixed(np.arange(slices, dtype=np.uint64) + np.uint64(b << 40 | turn << 32))
-                    keys = mixed(one ^ mixed(two + where))
-                filled = np.bincount(dealt.astype(np.int64), minlength=slices) > 0
-                out.append(keys[filled])
-                full = int(filled.sum())
-                if full == slices:
-                    break
-                # Given that the set itself leaves no other slice empty.
-                missed += min(0.0, log_covered(slices - 1, full) - log_covered(size, full))
-                if missed < -MISSED:
-                    break
-        if not out:
-            return np.zeros(0, np.int64)
-        return np.concatenate(out).view(np.int64)
-
-
-def shingled(df: DataFrame, k: int, num: int, den: int, with_sets: bool) -> DataFrame:
-    """(doc_id, n, set_id, then either slices or shingles) of (doc_id, text)."""
+
+def signatures(num: int, den: int, k: int, common: tuple[np.ndarray, np.ndarray], spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Turns (node, text) into (node, n, sketch, keys) of the sets that have keys."""
+    ranked = spark.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, slicer = Shingler(k), Slicer(num, den)
+        of, keys_of = Shingler(k), Prefixes(num, den, *ranked.value)
         for batch in batches:
             for part in pieces(batch):
-                sets = [of(t) for t in part.column(1).to_pylist()]
-                ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                lists = [s.view(np.int64) if with_sets else slicer(s) for s in sets]
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), flat], ["doc_id", "n", "set_id", "list"])
+                rows = []
+                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    s = of(text)
+                    if len(keys := keys_of(s)):
+                        rows.append((node, len(s), sketch(s), keys.view(np.int64)))
+                if rows:
+                    nodes, sizes, sketches, keys = zip(*rows, strict=True)
+                    ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists], ["node", "n", "sketch", "keys"])
+
+    return lambda df: df.mapInArrow(run, "node long, n long, sketch binary, keys array<long>")
+
+
+def shingle_sets(k: int) -> Callable[[DataFrame], DataFrame]:
+    """Turns (node, text) into (node, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shingler(k)
+        for batch in batches:
+            for part in pieces(batch, 200):
+                sets = [of(t).view(np.int64) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "shingles"])
+
+    return lambda df: df.mapInArrow(run, "node long, shingles array<long>")
+
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_id binary, list array<long>")
+def of_nodes(documents: DataFrame, nodes: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `made` makes of the documents that a stored table names.
+
+    Few ids are broadcast, so that no text is shuffled; beyond that the much smaller results are joined.
+    """
+    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text")
+    if nodes.count() <= NODES:
+        return made(texts.join(F.broadcast(nodes), "node", "left_semi"))
+    return made(texts.filter("node is not null")).join(nodes, "node", "left_semi")
 
 
 class Lists:
@@ -257,53 +317,166 @@ def _chunk(n_col: str, id_col: str):
     return F.pmod(F.xxhash64(id_col), F.greatest(F.lit(1), F.ceil(F.col(n_col) / CHUNK)))
 
 
+def blocks_of(keyed: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, node, size): the nodes that share a key and that other nodes of like size share it with."""
+    rows = keyed.select("node", "n", F.explode("keys").alias("key")).repartition("key")
+    by_size = Window.partitionBy("key").orderBy("n", "node")
+    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    rows = rows.select("key", "n", "node", before.alias("before"), after.alias("after"), F.lag("node").over(by_size).alias("last"))
+    rows = rows.filter("last is null or last <> node or before <> n")  # rows of one document and size are one
+    joins, joined = F.coalesce(den * F.col("before") >= num * F.col("n"), F.lit(False)), F.coalesce(den * F.col("n") >= num * F.col("after"), F.lit(False))
+    rows = rows.select("key", "n", "node", joins.alias("joins"), joined.alias("joined")).withColumn("run", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(by_size))
+    rows = rows.filter("joins or joined").withColumn("size", F.count("*").over(Window.partitionBy("key", "run")))
+    return rows.filter("size > 1").select(F.xxhash64("key", "run").alias("block"), "node", "size")
+
+
+def allowed(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (block, node) of nodes that may link by their sizes and sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may_link = Sketches(num, den).may_link
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+            keep = pa.array([may_link(*x) for x in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["block", "node"])
+
+    other = info.select(F.col("node").alias("block"), F.col("n").alias("m"), F.col("sketch").alias("pivot_sketch"))
+    both = pairs.join(info, "node").join(other, "block")
+    return both.select("block", "node", "n", "sketch", "m", "pivot_sketch").mapInArrow(run, "block long, node long")
+
+
+def allowed_in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that connect what the allowed pairs of nodes in different components connect.
+
+    rows: block, chunk, node, component, query, indexed, n, sketch; the rows of a chunk are sorted to each other and
+    handled as they stream by. A node that is in an allowed pair is also named by a pair with itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may_link = Sketches(num, den).may_link
+
+        def found(group: list[tuple]) -> Iterator[tuple[int, int]]:
+            up: dict[int, int] = {}
+
+            def top(x):
+                while (y := up.setdefault(x, x)) != x:
+                    x = y
+                return x
+
+            active = set()
+            indexed = [x for x in group if x[5]]
+            for q in group:
+                if q[4]:
+                    for d in indexed:
+                        if d[3] != q[3] and d[2] != q[2] and may_link(q[6], q[7], d[6], d[7]):
+                            active |= {q[2], d[2]}
+                            a, b = top(q[2]), top(d[2])
+                            if a != b:
+                                up[max(a, b)] = min(a, b)
+                                yield q[2], d[2]
+            for x in active:
+                yield x, x
+
+        def groups() -> Iterator[list[tuple]]:
+            group: list[tuple] = []
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if group and group[0][:2] != row[:2]:
+                        yield group
+                        group = []
+                    group.append(row)
+            if group:
+                yield group
+
+        out: list[tuple[int, int]] = []
+        for group in groups():
+            out += found(group)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    rows = rows.select("block", "chunk", "node", "component", "query", "indexed", "n", "sketch")
+    return rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(run, "a long, b long")
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """rows (block, node, component, query, size) dealt to chunks: each row is in one, queries are asked in all."""
+    rows = rows.withColumn("chunk", _chunk("size", "node"))
+    chunks = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("long") - 1)
+    small = rows.filter(F.col("size") <= CHUNK).withColumn("indexed", F.lit(True))
+    large = rows.filter(F.col("size") > CHUNK)
+    asked = large.filter("query").withColumn("chunk", F.explode(chunks)).withColumn("indexed", F.lit(False))
+    return small.unionByName(large.withColumn("query", F.lit(False)).withColumn("indexed", F.lit(True))).unionByName(asked)
+
+
 def jaccard_components(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link if their k-word shingle sets have a Jaccard
     similarity of num/den or more; component_id is the smallest doc_id that links lead to."""
-    first = shingled(documents, k, num, den, False)
-    sliced = stored(first.withColumnRenamed("list", "slices"))
-    classes = stored(sliced.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")))
-
-    # Blocks: the classes that share a slice. The window sees one row of most keys.
-    keys = sliced.join(classes.select(F.col("node").alias("doc_id"), F.col("set_id").alias("own")), "doc_id", "left_semi").filter(F.size("slices") > 0)
-    keys = keys.select(F.col("doc_id").alias("node"), F.explode("slices").alias("key")).repartition("key")
-    by_key = Window.partitionBy("key").orderBy("node")
-    shared = keys.withColumn("before", F.lag("node").over(by_key)).withColumn("after", F.lead("node").over(by_key))
-    shared = stored(shared.filter("before <> node or after <> node").select("key", "node").distinct())
-    sizes = shared.groupBy("key").agg(F.count("*").alias("size"))
-    weights = shared.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
-    pivots = shared.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"))
-
-    # The sets of the classes in blocks.
-    near = stored(shared.select("node").distinct())
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(broadcast_below(near.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    sets = shingled(texts, k, num, den, True).groupBy("doc_id").agg(F.max_by("list", "n").alias("shingles")).withColumnRenamed("doc_id", "node")
-    sets = stored(sets)
+    first = stored(outlines(documents, k))
+    rows = first.filter("times is null").select("doc_id", "n", "set_id")
+    named = rows.filter("set_id is not null and doc_id is not null")
+    classes = stored(named.groupBy("set_id").agg(F.min("doc_id").alias("node")))
+    common = common_shingles(first.filter("times is not null").select("shingle", "times"))
+    repeated = not rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+    # Blocks, and in each the class that shares most.
+    nodes = stored(classes.select("node").distinct())
+    keyed = stored(of_nodes(documents, nodes, signatures(num, den, k, common, documents.sparkSession)))
+    info = keyed.select("node", "n", "sketch").distinct() if repeated else keyed.select("node", "n", "sketch")
+    shared = stored(blocks_of(keyed, num, den))
+    weights = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")))
+    best = Window.partitionBy("block").orderBy(F.desc("weight"), "node")
+    placed = stored(shared.join(broadcast_below(weights), "node").select("block", "node", "size", F.first("node").over(best).alias("pivot")))
+    forget(shared, weights, nodes)
 
     # First each pivot among its blocks' classes.
-    star = stored(shared.join(pivots, "key").select(F.col("pivot").alias("block"), "node").distinct())
-    counts = star.groupBy("block").agg(F.count("*").alias("size"))
-    members = star.join(counts, "block").filter("block <> node").select("block", "node", _chunk("size", "node").alias("chunk"))
+    star = stored(placed.filter("node <> pivot").select(F.col("pivot").alias("block"), "node").distinct())
+    star = stored(allowed(star, info, num, den))
+    counts = stored(star.groupBy("block").agg(F.count("*").alias("size")))
+    members = star.join(broadcast_below(counts), "block").select("block", "node", _chunk("size", "node").alias("chunk"))
     probes = members.select("block", F.col("block").alias("node"), "chunk").distinct()
-    rows = members.withColumn("query", F.lit(False)).unionByName(probes.withColumn("query", F.lit(True)))
-    links = stored(search_blocks(rows.join(sets, "node").select("block", "chunk", "node", F.col("node").alias("component"), "query", (~F.col("query")).alias("indexed"), "shingles"), num, den))
-    known = stored(near.join(components(links).select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-
-    # Then, where classes that slices connect are still in several components, those outside the largest one.
-    areas = components(star.select(F.col("block").alias("a"), F.col("node").alias("b"))).select("node", F.col("component").alias("block"))
-    placed = stored(areas.join(known, "node"))
-    parts = placed.groupBy("block", "component").agg(F.count("*").alias("n"))
-    several = parts.groupBy("block").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"), F.sum("n").alias("size"), F.count("*").alias("parts")).filter("parts > 1")
-    rest = stored(placed.join(several, "block").select("block", "node", "component", (F.col("component") != F.col("largest")).alias("query"), "size", _chunk("size", "node").alias("chunk")))
-    chunks = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("long") - 1)
-    asked = rest.filter("query").select("block", "node", "component", F.explode(chunks).alias("chunk"))
-    searched = rest.select("block", "node", "component", "chunk").withColumn("indexed", F.lit(True)).withColumn("query", F.lit(False)).unionByName(asked.withColumn("indexed", F.lit(False)).withColumn("query", F.lit(True)))
-    more = stored(search_blocks(searched.join(sets, "node").select("block", "chunk", "node", "component", "query", "indexed", "shingles"), num, den))
-
-    found = known if more.isEmpty() else components(links.union(more)).select("node", "component")
+    searched = members.withColumn("query", F.lit(False)).unionByName(probes.withColumn("query", F.lit(True)))
+    searched = searched.select("block", "chunk", "node", F.col("node").alias("component"), "query", (~F.col("query")).alias("indexed"))
+
+    def searched_with_sets(searched: DataFrame) -> DataFrame:
+        near = stored(searched.select("node").distinct())
+        sets = of_nodes(documents, near, shingle_sets(k))
+        sets = sets.distinct() if repeated else sets
+        links = stored(search_blocks(searched.join(sets, "node"), num, den))
+        forget(near)
+        return links
+
+    links = searched_with_sets(searched)
+    known = components(links)
+    for end in ("node", "pivot"):
+        own = known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+        placed = placed.join(broadcast_below(own), end, "left").withColumn(f"{end}_component", F.coalesce(f"{end}_component", end))
+
+    # Then, where pairs of other components are allowed in a block, those outside the largest one of their area.
+    placed = stored(placed.filter("size > 2").select("block", "node", "size", F.col("node_component").alias("component"), (F.col("node_component") != F.col("pivot_component")).alias("query")))
+    several = stored(placed.filter("query").select("block").distinct())
+    left = chunked(placed.join(broadcast_below(several), "block", "left_semi"))
+    pairs = stored(allowed_in_blocks(left.join(info, "node"), num, den).distinct())
+    if pairs.isEmpty():
+        found = known
+    else:
+        areas = components(pairs).withColumnRenamed("component", "block")
+        inside = stored(areas.join(broadcast_below(known), "node", "left").select("block", "node", F.coalesce("component", "node").alias("component")))
+        parts = inside.groupBy("block", "component").agg(F.count("*").alias("n"))
+        several = stored(parts.groupBy("block").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"), F.sum("n").alias("size"), F.count("*").alias("parts")).filter("parts > 1"))
+        rest = inside.join(broadcast_below(several), "block").select("block", "node", "component", (F.col("component") != F.col("largest")).alias("query"), "size")
+        more = searched_with_sets(chunked(rest).select("block", "chunk", "node", "component", "query", "indexed"))
+        found = known if more.isEmpty() else components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    forget(keyed, placed)
+
+    if repeated:  # all texts of a document are linked by it
+        ids = named.join(classes, "set_id").select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("part"))
+        same = ids.groupBy("doc_id").agg(F.min("part").alias("least")).filter("least is not null").join(ids, "doc_id").select(F.col("part").alias("a"), F.col("least").alias("b"))
+        found = components(stored(same).union(found.select("node", "component")))
     joined = classes.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
-    result = sliced.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(joined, "set_id", "left")
-    return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(joined, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

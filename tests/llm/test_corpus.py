@@ -89,24 +89,53 @@ def test_jaccard_brute(spark, k, num, den):
 
 @pytest.mark.parametrize("num,den", [(90, 100), (8, 10)])
 def test_linked_sets_share_a_key(num, den):
-    """Thousands of pairs of small sets that just link, and some larger ones."""
+    """Thousands of pairs that just link, whatever is common: they share a key, and their sketches allow them."""
     import numpy as np
 
     rng = np.random.default_rng(3)
-    slicer, pairs, missed = jaccard.Slicer(num, den), 0, []
-    for size in [*range(4, 31), 60, 120]:
+    pairs, missed = 0, []
+    may_link = jaccard.Sketches(num, den).may_link
+    for size in [*range(2, 61), 120, 700]:
         for extra in range(1, size):
             for gone in (extra // 2, 0):
                 if den * (size - gone) < num * (size + extra - gone):
                     continue
-                for _ in range(300 if size <= 30 else 40):
+                for turn in range(40):
                     pool = rng.integers(0, 1 << 63, size + extra).astype(np.uint64)
                     x, y = np.sort(pool[:size]), np.sort(pool[gone : size + extra - gone])
+                    common = np.sort(rng.choice(pool, turn % 5 * len(pool) // 4, replace=False))
+                    keys = jaccard.Prefixes(num, den, common, rng.permutation(len(common)))
                     if den * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y)):
                         pairs += 1
-                        if not np.intersect1d(slicer(x), slicer(y)).size:
+                        if not np.intersect1d(keys(x), keys(y)).size:
                             missed.append((len(x), len(y)))
+                        assert may_link(len(x), jaccard.sketch(x), len(y), jaccard.sketch(y))
     assert pairs > 2000 and not missed, (pairs, Counter(missed))
+    far = [np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(2)]
+    assert not may_link(300, jaccard.sketch(far[0]), 300, jaccard.sketch(far[1]))
+
+
+def test_jaccard_short_texts_and_repeated_ids(spark):
+    """Texts of 12 words without their last word; ids that occur with two texts or with one text twice."""
+    texts = {2 * i + j: " ".join(f"w{i}x{n}" for n in range(12 - j)) for i in range(60) for j in range(2)}
+    df = spark.createDataFrame([*texts.items(), (0, texts[0])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, 3, 90, 100).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+    two = spark.createDataFrame([*texts.items(), (1, texts[4]), (7, texts[5])], "doc_id long, text string")
+    rows = jaccard.jaccard_components(two, 3, 90, 100).collect()
+    assert len(rows) == 122 and {(r.doc_id, r.component_id) for r in rows} == {(i, 0 if i in (0, 1, 4, 5, 6, 7) else i - i % 2) for i in texts}
+
+
+def test_common_passages_and_batches(spark, monkeypatch):
+    """Small counts per task: shingles of a shared passage are ranked, links stay."""
+    passage = [f"p{i}" for i in range(40)]
+    texts = {i: " ".join([f"d{i // 3}w{n}" for n in range(20)] + passage + [f"d{i // 3}v{n}" for n in range(20)] + ([f"x{i}"] if i % 3 else [])) for i in range(90)}
+    for least, ranked in ((2, 1_000_000), (2, 10), (100, 1_000_000)):
+        for name, value in (("BATCH", 300), ("LEAST", least), ("COMMON", 4), ("RANKED", ranked), ("CHUNK", 7)):
+            monkeypatch.setattr(jaccard, name, value)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 3, 90, 100).collect()}
+        assert got == brute_components(texts, 3, 90, 100)
 
 
 def test_jaccard_hub_and_chunks(spark, monkeypatch):
