@@ -32,16 +32,18 @@ NAME = "op8_quality_classifier"
 SAMPLE, SHARDS, EPOCHS = 24_000, 8, 3
 BITS = 17
 SLOTS = 4 << BITS
+RUNS = 8
 ALPHA, BETA, L1, L2, SCALE = 0.3, 0.05, 0.02, 0.001, 8.0
 
 
 def shape(word: str) -> str:
+    """Runs of the whole word; more than RUNS of them by the kinds that occur and the order of magnitude of their number."""
     out = []
-    for c in word[:48]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:8])
+    return "".join(out) if len(out) <= RUNS else f"{''.join(sorted(set(out)))} {len(out).bit_length()}"
 
 
 def word_codes(word: str) -> int:
@@ -118,11 +120,12 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
 def labelled(documents: DataFrame, labels: DataFrame, label_col: str, sample: int) -> DataFrame:
     """(h, text, y) of the documents that at most sample labels of 0 or 1 are of; h is a hash of doc_id.
 
-    The sample is drawn from the labels, so that it can be broadcast and no text moves for the join.
+    The sample is drawn from the labels, so that it can be broadcast and only its texts move. Of several texts of
+    one doc_id the greatest is learnt from, so that repeated rows can't outgrow the sample.
     """
     few = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and __id is not null")
-    few = few.orderBy(F.xxhash64("__id"), "y").limit(sample)
-    return documents.select(F.col("doc_id").alias("__doc"), "text").join(F.broadcast(few), F.col("__doc") == F.col("__id")).select(F.xxhash64("__doc").alias("h"), "text", "y")
+    few = few.distinct().orderBy(F.xxhash64("__id"), "y").limit(sample)
+    return documents.select(F.col("doc_id").alias("__doc"), "text").join(F.broadcast(few), F.col("__doc") == F.col("__id")).groupBy("__doc", "y").agg(F.max("text").alias("text")).select(F.xxhash64("__doc").alias("h"), "text", "y")
 
 
 def fit(documents: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE) -> np.ndarray:

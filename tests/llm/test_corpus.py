@@ -41,6 +41,43 @@ def test_store_keeps_rows_and_merges(spark, tmp_path):
         sharding.ShardStore(spark, str(tmp_path / "t"), spark.createDataFrame([], "run int").schema)
 
 
+def test_store_survives_dead_and_concurrent_writers(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * 500) for i in range(300)], "doc_id long, text string")
+    store = sharding.ShardStore(spark, str(tmp_path / "a b"), df.schema, target_bytes=1 << 14, grace_s=1.0)
+    store.append(df, F.pmod("doc_id", F.lit(4)))
+    (tmp_path / "a b" / "manifest" / "v000000000002").write_text("m-half")  # a writer died here
+    assert store.version() == 1 and store.read().count() == 300
+    assert store.append(df, F.lit(0)) == 2 and store.read().count() == 600
+    # Another writer's run, written but not committed, and one that appends while this one merges.
+    df.write.parquet(str(tmp_path / "a b" / "t0" / "other-0"))
+    other, commit = sharding.ShardStore(spark, store.path, df.schema, grace_s=1.0), store._commit
+
+    def late(base, entries):
+        store._commit = commit
+        other.append(df, F.lit(0))
+        return commit(base, entries)
+
+    store._commit = late
+    store.compact()
+    store.grace_s = 0.0
+    store.append(df.limit(0), F.lit(0))
+    store.append(df.limit(0), F.lit(0))
+    store.expire()
+    assert (tmp_path / "a b" / "t0" / "other-0").exists() and store.read().count() == 900 and other.read().count() == 900
+    assert len(store._versions()) == 2 and store.read(store.version() - 1).count() == 900
+    df.write.mode("append").parquet(str(tmp_path / "a b" / store.manifest().first()["run"]))  # a stray file isn't read
+    assert store.read().count() == 900
+    sizes = [r.bytes for r in store.manifest().collect()]
+    assert max(sizes) < 2 * (1 << 14)
+    for name in ("arrival", "Tier"):
+        with pytest.raises(ValueError):
+            sharding.ShardStore(spark, str(tmp_path / "t"), spark.createDataFrame([], f"{name} int").schema)
+    gone = sharding.ShardStore(spark, str(tmp_path / "n"), df.schema, tries=2)
+    gone._commit = lambda base, entries: False
+    with pytest.raises(RuntimeError):
+        gone.append(df, F.lit(0))
+
+
 def test_op2(spark, sf):
     got = sharding.op2(spark, sf)
     want = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
@@ -276,6 +313,59 @@ def test_toxicity_counts_all_equal_rows(spark):
     assert np.allclose(toxicity.probabilities(votes, model, ["no vote here"]), 1 / (1 + np.exp(-want[-1])), rtol=1e-3)
 
 
+def test_shapes_read_whole_words():
+    assert quality.shape("Abc12-x") == "Aa9-a" and quality.shape("a" * 99 + "1") == "a9"
+    assert quality.shape("a1" * 50) == "9a 7" and quality.shape("a1" * 50 + "-") != quality.shape("a1" * 50)
+
+
+def test_one_text_for_each_label(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(50)] + [(2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 1), (3, 5)], "doc_id long, y int")
+    got = sorted((r.text or "", r.y) for r in quality.labelled(docs, labels, "y", 100).collect())
+    assert got == [("", 1), ("text 2", 0), ("text 2", 1)]
+
+
+def test_ftrl_against_plain_loops():
+    """The sparse steps and the batched scores are those of loops over n-grams and dictionaries."""
+    rng = random.Random(5)
+    rows = [(" ".join(plain(rng, rng.randrange(0, 30)) + (["ZAP!", "b1c"] * 2 if y else [])), y) for y in (0, 1) * 30]
+    made = quality.Features()
+    weights = quality.ftrl([(*made.of(t), y) for t, y in rows], epochs=2)
+
+    def vector(text):
+        words, out = text.split(), Counter()
+        out[quality.SLOTS] = out[quality.SLOTS + 1 + len(words).bit_length()] = 1.0
+        codes = [quality.word_codes(w) for w in words]
+        mask = (1 << 64) - 1
+        for k in range(4):
+            part = [((c >> 32) + 1) if k < 2 else ((c & 0xFFFFFFFF) + 1) for c in codes]
+            if k % 2:
+                part = [0 if a >> 32 == b >> 32 else (x * 0xD6E8FEB86659FD93 + y) & mask for a, b, x, y in zip(codes, codes[1:], part, part[1:])]
+            for x in part:
+                out[((x * 0x9E3779B97F4A7C15 & mask) >> (64 - quality.BITS)) + (k << quality.BITS)] += quality.SCALE / len(part)
+        return out
+
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(2):
+        for text, y in rows:
+            x = vector(text)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    assert all(weights[i] == pytest.approx(weight(i), abs=1e-9) for i in range(len(weights)) if weights[i] or i in z)
+    scores = made.scores([t for t, _ in rows], weights)
+    assert scores == pytest.approx([1 / (1 + math.exp(-sum(weight(i) * v for i, v in vector(t).items()))) for t, _ in rows], abs=1e-9)
+
+
 def test_classifiers_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "x " * 9000, 0.5), (3, "x " * 9000, 0.5), (None, "y", None)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (2, None), (3, 7), (None, 1)], "doc_id long, quality int")
