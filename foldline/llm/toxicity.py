@@ -3,9 +3,9 @@
 Lexicon voters are word beginnings and whole words that labelled toxic documents have far more
 often; pattern voters look at how many lexicon words a text has and how close they stand. A
 generative label model takes each voter as a noisy source: expectation maximisation estimates how
-often it fires in either class, with the given label as one more voter; voters that fire together
-within a class count for less. A linear (logistic) classifier is then trained on the posterior
-labels and scores all texts.
+often it fires in either class and, along a tree of the strongest correlations, after another voter. The given label is
+one more voter, whose accuracy is measured against what the others say. A linear (logistic) classifier is then
+trained on the posterior labels and scores all texts.
 
 The fit takes at most SAMPLE labelled rows (those with the smallest hash of their id), of which at
 most VOTERS word beginnings come to the driver; everything else covers all rows.
@@ -120,28 +120,54 @@ def choose_terms(rows: DataFrame) -> dict[str, int]:
     return chosen
 
 
+def dependency_tree(votes: np.ndarray, classes: list[np.ndarray]) -> list[int]:
+    """For each voter the one it depends on (-1 for the first): the spanning tree of the greatest mutual information within the classes."""
+    size, total = votes.shape[1], sum(w.sum() for w in classes)
+    gain = np.zeros((size, size))
+    for w in classes:
+        n = w.sum() + 1.0
+        on = (votes.T @ w + 0.5) / n
+        both = ((votes.T * w) @ votes + np.outer(on, on)) / n
+        one, other = on[:, None], on[None, :]
+        for p, of in ((both, one * other), (one - both, one * (1 - other)), (other - both, (1 - one) * other), (1 - one - other + both, (1 - one) * (1 - other))):
+            p = np.maximum(p, 1e-12)
+            gain += n / total * p * np.log(p / of)
+    parent, best, left = [-1] * size, gain[0].copy(), np.arange(size) > 0
+    near = np.zeros(size, int)
+    while left.any():
+        k = int(np.where(left, best, -np.inf).argmax())
+        parent[k], left[k] = int(near[k]), False
+        closer = left & (gain[k] > best)
+        best[closer], near[closer] = gain[k][closer], k
+    return parent
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8, times: np.ndarray | None = None) -> np.ndarray:
-    """Posterior probability of the toxic class for each row of 0/1 votes, with the label as one more voter; times is how often each row occurs."""
+    """Posterior probability of the toxic class for each row of 0/1 votes; times is how often each row occurs.
+
+    Voters fire by the class and by the voter that they depend on; expectation maximisation estimates the class share, the
+    dependencies and how often a voter fires in each case. The labels give the first guess; afterwards they are
+    one more voter, whose accuracy is measured by what the other voters say without it.
+    """
     times = np.ones(len(labels)) if times is None else times.astype(float)
+    votes = votes.astype(float)
     q = labels.astype(float)
     for _ in range(rounds):
-        in1, in0 = times * q, times * (1 - q)
-        n1, n0 = in1.sum(), in0.sum()
-        on1, on0 = (votes.T @ in1 + 0.5) / (n1 + 2), (votes.T @ in0 + 0.1) / (n0 + 2)
-        extra = np.zeros(votes.shape[1])
-        for weight, mean in ((in1, on1), (in0, on0)):  # correlation within a class
-            c = (votes - mean) * np.sqrt(weight / max(weight.sum(), 1))[:, None]
-            cov = c.T @ c
-            s = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            rho = np.abs(cov / s[:, None] / s)
-            extra = np.maximum(extra, np.where(rho > 0.2, rho, 0).sum(1) - 1)
-        share = 1 / (1 + np.maximum(extra, 0))
-        prior = np.log(max(n1, 1) / max(n0, 1))
-        evidence = votes * (share * np.log(on1 / on0)) + (1 - votes) * (share * np.log((1 - on1) / (1 - on0)))
-        right1, right0 = (in1 @ labels + 1) / (n1 + 1.05), (in0 @ (1 - labels) + 1) / (n0 + 1.05)  # the given label
-        right1, right0 = min(right1, 0.98), min(right0, 0.98)
+        classes = [times * (1 - q), times * q]
+        parent = dependency_tree(votes, classes)
+        on = np.array([p if p >= 0 else 0 for p in parent])
+        above = votes[:, on] * (np.array(parent) >= 0)  # the first voter depends on nothing
+        evidence = np.full(len(q), np.log(max(classes[1].sum(), 1e-3) / max(classes[0].sum(), 1e-3)))
+        for sign, w, few in ((-1, classes[0], 0.1), (1, classes[1], 0.5)):
+            rate = (votes.T @ w + few) / (w.sum() + 2)  # what is seen in few rows is pulled to the voter's own rate
+            for state in (above, 1 - above):
+                fires = ((state * votes).T @ w + 4 * rate) / (state.T @ w + 4)
+                evidence += sign * (state * (votes * np.log(fires) + (1 - votes) * np.log(1 - fires))).sum(1)
+        said = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
+        right1 = ((times * said) @ labels + 1) / ((times * said).sum() + 2)
+        right0 = ((times * (1 - said)) @ (1 - labels) + 1) / ((times * (1 - said)).sum() + 2)
         given = np.where(labels == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
-        q = 1 / (1 + np.exp(-np.clip(prior + evidence.sum(1) + given, -30, 30)))
+        q = 1 / (1 + np.exp(-np.clip(evidence + given, -30, 30)))
     return q
 
 

@@ -295,6 +295,43 @@ def test_classifiers_on_held_out_rows(spark, op, label, mod, held):
     assert sum(r.predicted == r[label] for r in held_rows) / len(held_rows) > 0.95
 
 
+def test_label_model_finds_accuracies_and_correlations():
+    """Voters of known accuracy, two of them copies of a third, labels partly wrong: posteriors follow the truth, not the labels or the copies."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    truth = (rng.random(6000) < 0.3).astype(int)
+    right = [0.9, 0.9, 0.85, 0.85, 0.7]
+    votes = np.array([np.where(rng.random(6000) < r, truth, 1 - truth) for r in right]).T
+    copies = np.where(rng.random((6000, 2)) < 0.97, votes[:, 4:5], 1 - votes[:, 4:5])
+    votes = np.hstack([votes, copies])
+    labels = np.where(rng.random(6000) < 0.9, truth, 1 - truth)
+    q = toxicity.label_model(votes, labels)
+    found = ((q >= 0.5) == truth).mean()
+    assert found > 0.965 and found > (labels == truth).mean() + 0.05
+    assert q.mean() == pytest.approx(truth.mean(), abs=0.02)
+    tree = toxicity.dependency_tree(votes, [1.0 - truth, 1.0 * truth])
+    pairs = {frozenset((k, p)) for k, p in enumerate(tree) if p >= 0}
+    assert len(pairs) == 6 and {frozenset((4, 5)), frozenset((4, 6))} <= pairs
+    # Weights stand for repeated rows.
+    rows, back, times = np.unique(np.column_stack([votes, labels]), axis=0, return_inverse=True, return_counts=True)
+    assert np.allclose(toxicity.label_model(rows[:, :-1], rows[:, -1], times=times)[back], q, atol=1e-6)
+
+
+def test_logistic_against_gradient_steps():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x, times = rng.random((40, 3)), rng.integers(1, 5, 40)
+    q = 1 / (1 + np.exp(-(x @ [2.0, -1.0, 0.5] - 0.3)))
+    many = np.repeat(np.arange(40), times)
+    w = np.zeros(4)
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(-(x[many] @ w[:3] + w[3])))
+        w -= 0.01 * (np.append(x[many].T @ (p - q[many]), (p - q[many]).sum()) + np.append(0.3 * w[:3], 1e-3 * w[3]))
+    assert np.allclose(toxicity.logistic(x, q, times=times), w, atol=1e-3)
+
+
 def test_toxicity_counts_all_equal_rows(spark):
     """More texts without a vote than any limit on equal rows: the base rate is that of the labels."""
     import numpy as np
