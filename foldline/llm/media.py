@@ -1,8 +1,9 @@
 """Media columns: signature sniffing of binary values.
 
-Aho-Corasick locates the magic bytes of all formats in one pass over a value; a validator of the
+Aho-Corasick locates the magic bytes of all formats, and the marks that some of them end with, in one pass over a value; a validator of the
 format then confirms structure and length at each place found. A value that is valid media from its
-first byte gets that type whatever was declared; valid media elsewhere in it are carved out.
+first byte gets that type whatever was declared; valid media elsewhere in it, behind or within others,
+are listed with the offset of the innermost media that holds them, and can be carved out.
 
 Defined cases: a null value counts as no bytes and keeps its declared type; bytes that only look
 like a signature fail validation and yield nothing; equal values give equal results; a value is
@@ -12,8 +13,10 @@ looked at whole; an empty table gives an empty table; only the named columns are
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,10 +30,15 @@ UNIT, FILL, RATE = 576, 255, 8000
 UNKNOWN = "application/octet-stream"
 
 
-# Each validator gets the bytes and where a signature begins; it returns the length of the media or 0.
+# Each validator gets the bytes, where a signature begins and the places of the marks; it returns the length of the media or 0.
+Marks = dict[bytes, list[int]]
+#: What ends a JPEG, a PDF (after its table's place) and a ZIP.
+JPEG_END, PDF_END, PDF_TABLE, ZIP_END = MARKS = (b"\xff\xd9", b"%%EOF", b"startxref", b"PK\5\6")
+JPEG_MARK = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")  # not stuffing, restart or fill
+PIECE = 1 << 16
 
 
-def _riff(data: bytes, at: int) -> int:
+def _riff(data: bytes, at: int, marks: Marks) -> int:
     """Chunks of a RIFF file must fill its stated length; WAVE needs a format and samples that fit it."""
     if len(data) < at + 12:
         return 0
@@ -53,7 +61,7 @@ def _riff(data: bytes, at: int) -> int:
     return end - at
 
 
-def _png(data: bytes, at: int) -> int:
+def _png(data: bytes, at: int, marks: Marks) -> int:
     place, first = at + 8, True
     while place + 12 <= len(data):
         size, name = struct.unpack_from(">I", data, place)[0], data[place + 4 : place + 8]
@@ -67,7 +75,7 @@ def _png(data: bytes, at: int) -> int:
     return 0
 
 
-def _gif(data: bytes, at: int) -> int:
+def _gif(data: bytes, at: int, marks: Marks) -> int:
     def blocks(p: int) -> int:
         while p < len(data) and data[p]:
             p += data[p] + 1
@@ -91,52 +99,76 @@ def _gif(data: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(data: bytes, at: int) -> int:
-    place = at + 2
-    while place + 4 <= len(data) and data[place] == 0xFF:
+def _jpeg(data: bytes, at: int, marks: Marks) -> int:
+    """Segments by their lengths and the scans between them, up to the end mark outside of both."""
+    place, scanned = at + 2, False
+    last = marks[JPEG_END][-1] if marks[JPEG_END] else -1
+    while place < last and place + 4 <= len(data) and data[place] == 0xFF and data[place + 1] != 0xD9:
         mark, size = data[place + 1], struct.unpack_from(">H", data, place + 2)[0]
         if not 0xC0 <= mark <= 0xFE or size < 2:
             return 0
         place += 2 + size
         if mark == 0xDA:
-            end = data.find(b"\xff\xd9", place)
-            return end + 2 - at if end >= 0 else 0
-    return 0
+            found = JPEG_MARK.search(data, place)
+            if not found:
+                return 0
+            place, scanned = found.start(), True
+    return place + 2 - at if scanned and data[place : place + 2] == JPEG_END else 0
 
 
-def _bmp(data: bytes, at: int) -> int:
+def _bmp(data: bytes, at: int, marks: Marks) -> int:
     if len(data) < at + 30:
         return 0
     size, _, begin, head = struct.unpack_from("<IIII", data, at + 2)
     return size if head in (12, 40, 52, 56, 64, 108, 124) and 14 + head <= begin <= size <= len(data) - at else 0
 
 
-def _pdf(data: bytes, at: int) -> int:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data.find(b"startxref", at, end) >= 0 else 0
+def _after(places: list[int], at: int) -> int:
+    k = bisect_left(places, at)
+    return places[k] if k < len(places) else -1
 
 
-def _zip(data: bytes, at: int) -> int:
-    """Up to the end record whose directory lies before it."""
-    end = data.find(b"PK\5\6", at)
-    while end >= 0 and end + 22 <= len(data):
-        size, begin = struct.unpack_from("<II", data, end + 12)
-        if begin + size == end - at:
-            return end + 22 + struct.unpack_from("<H", data, end + 20)[0] - at
-        end = data.find(b"PK\5\6", end + 1)
-    return 0
+def _pdf(data: bytes, at: int, marks: Marks) -> int:
+    """Up to the first end mark behind the place of a table, which must be digits."""
+    table_at = _after(marks[PDF_TABLE], at)
+    end = _after(marks[PDF_END], table_at) if table_at >= 0 else -1
+    return end + len(PDF_END) - at if end >= 0 and data[table_at + len(PDF_TABLE) : end].strip().isdigit() else 0
+
+
+def _zip(data: bytes, at: int, marks: Marks) -> int:
+    """Up to the first end record whose directory ends just before it and belongs to this beginning."""
+    k = bisect_left(marks[b"zip"], (at, at)) if b"zip" in marks else 0
+    end = marks[b"zip"][k][1] if k < len(marks.get(b"zip", [])) and marks[b"zip"][k][0] == at else -1
+    return end + 22 + struct.unpack_from("<H", data, end + 20)[0] - at if end >= 0 else 0
+
+
+def _zip_ends(data: bytes, ends: list[int]) -> list[tuple[int, int]]:
+    """(beginning, end record) of what may be ZIP files: the record says how far back they begin."""
+    found = []
+    for end in ends:
+        if end + 22 <= len(data):
+            size, begin = struct.unpack_from("<II", data, end + 12)
+            if end - begin - size >= 0 and end + 22 + struct.unpack_from("<H", data, end + 20)[0] <= len(data):
+                found.append((end - begin - size, end))
+    return sorted(found)
 
 
-def _gzip(data: bytes, at: int) -> int:
-    work = zlib.decompressobj(31)
+def _gzip(data: bytes, at: int, marks: Marks) -> int:
+    """Inflated piece by piece, nothing of it kept."""
+    work, view, place = zlib.decompressobj(31), memoryview(data), at
     try:
-        work.decompress(data[at:])
+        while not work.eof and place < len(data):
+            piece = view[place : place + PIECE]
+            place += len(piece)
+            work.decompress(piece, PIECE)
+            while work.unconsumed_tail and not work.eof:
+                work.decompress(work.unconsumed_tail, PIECE)
     except zlib.error:
         return 0
-    return len(data) - at - len(work.unused_data) if work.eof else 0
+    return place - len(work.unused_data) - at if work.eof else 0
 
 
-def _flac(data: bytes, at: int) -> int:
+def _flac(data: bytes, at: int, marks: Marks) -> int:
     """Metadata blocks up to the last one; frames run to the end of the value."""
     place, first = at + 4, True
     while place + 4 <= len(data):
@@ -149,7 +181,7 @@ def _flac(data: bytes, at: int) -> int:
     return 0
 
 
-def _mp4(data: bytes, at: int) -> int:
+def _mp4(data: bytes, at: int, marks: Marks) -> int:
     """Boxes from ftyp on; the signature stands behind the first box's length."""
     place, names = at, []
     while place + 8 <= len(data):
@@ -184,24 +216,38 @@ class Sniffer:
 
         self.automaton = ahocorasick.Automaton()
         for k, (magic, *_) in enumerate(SIGNATURES):
-            self.automaton.add_word(magic.decode("latin-1"), k)
+            self.automaton.add_word(magic.decode("latin-1"), (k, magic))
+        for mark in MARKS:
+            self.automaton.add_word(mark.decode("latin-1"), (-1, mark))
         self.automaton.make_automaton()
 
-    def find(self, data: bytes) -> tuple[int, list[tuple[int, int, str]]]:
-        """How many signatures there are, and (offset, length, type) of valid media, outermost only."""
-        places = sorted((end + 1 - len(SIGNATURES[k][0]) - SIGNATURES[k][1], k) for end, k in self.automaton.iter(data.decode("latin-1")))
-        found, over = [], 0
-        for at, k in places:
-            if at >= over and (size := SIGNATURES[k][3](data, at)):
+    def find(self, data: bytes) -> tuple[int, list[tuple[int, int, str, int | None]]]:
+        """How many signatures there are, and (offset, length, type, offset of the innermost media around it) of valid media."""
+        marks: dict = {mark: [] for mark in MARKS}
+        places = []
+        for end, (k, magic) in self.automaton.iter(data.decode("latin-1")):
+            if k < 0:
+                marks[magic].append(end + 1 - len(magic))
+            elif (at := end + 1 - len(magic) - SIGNATURES[k][1]) >= 0:
+                places.append((at, k))
+        if marks[ZIP_END]:
+            marks[b"zip"] = _zip_ends(data, marks[ZIP_END])
+        found, around = [], []
+        for at, k in sorted(places):
+            while around and around[-1][1] <= at:
+                around.pop()
+            if size := SIGNATURES[k][3](data, at, marks):
                 kind = RIFF_TYPES[data[at + 8 : at + 12]] if data[at : at + 4] == b"RIFF" else SIGNATURES[k][2]
-                found.append((at, size, kind))
-                over = at + size
+                found.append((at, size, kind, around[-1][0] if around else None))
+                if not around or at + size <= around[-1][1]:
+                    around.append((at, at + size))
         return len(places), found
 
 
 def sniff(df: DataFrame, id_col: str, media_col: str, declared_col: str) -> DataFrame:
     """(id_col, declared_type, media_type, n_signatures, embedded, media): embedded is an array of
-    (offset, length, type) of the media inside a value that is none itself."""
+    (offset, length, type, container) of all media in a value but the one that is the value's type; container is
+    the offset of the innermost media around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sniffer()
@@ -211,15 +257,15 @@ def sniff(df: DataFrame, id_col: str, media_col: str, declared_col: str) -> Data
                 kinds, counts, inside = [], [], []
                 for data, declared in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     n, found = s.find(data or b"")
-                    whole = next((kind for o, _, kind in found if o == 0), None)
+                    whole = next((kind for o, _, kind, _ in found if o == 0), None)
                     kinds.append(whole or declared)
                     counts.append(n)
-                    inside.append([] if whole else [{"offset": o, "length": z, "type": k} for o, z, k in found])
-                spans = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
+                    inside.append([{"offset": o, "length": z, "type": k, "container": c} for o, z, k, c in found if o])
+                spans = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("container", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(kinds, pa.string()), pa.array(counts, pa.int64()), pa.array(inside, spans), part.column(1)], [id_col, "declared_type", "media_type", "n_signatures", "embedded", "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(media_col).cast("binary"), F.col(declared_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, declared_type string, media_type string, n_signatures long, embedded array<struct<offset:long,length:long,type:string>>, media binary")
+    return df.select(id_col, F.col(media_col).cast("binary"), F.col(declared_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, declared_type string, media_type string, n_signatures long, embedded array<struct<offset:long,length:long,type:string,container:long>>, media binary")
 
 
 def carve(sniffed: DataFrame, id_col: str) -> DataFrame:
@@ -262,11 +308,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, declared, kind, n, media in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, declared, kind, n, inside, media in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = wav_samples(media)
-                out.append((key["doc_id"], key["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{declared}>{kind} {len(payload)} samples, {n} signatures, mean {sum(payload) / len(payload):.4f}"))
+                out.append((key["doc_id"], key["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{declared}>{kind} {len(payload)} samples, {n} signatures, {inside} media inside, mean {sum(payload) / len(payload):.4f}"))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return sniffed.select("key", "declared_type", "media_type", "n_signatures", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return sniffed.select("key", "declared_type", "media_type", "n_signatures", F.size("embedded"), "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

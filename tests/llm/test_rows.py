@@ -135,6 +135,28 @@ def test_sniffing_corrects_and_carves(spark):
     assert pieces == {"in " + k: v for k, v in MEDIA.items()}
 
 
+def test_media_behind_and_within_media(spark):
+    mp4 = struct.pack(">I4s4s", 12, b"ftyp", b"mp42") + struct.pack(">I4s", 8, b"mdat")
+    photo = MEDIA["image/jpeg"] + mp4
+    png, zipped = MEDIA["image/png"], MEDIA["application/zip"]
+    chunk = b"LIST" + struct.pack("<I", len(png)) + png + b"\0" * (len(png) % 2)
+    sound = MEDIA["audio/wav"] + chunk
+    sound = sound[:4] + struct.pack("<I", len(sound) - 8) + sound[8:]
+    two_scans = b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\3adata\xff\0\xff\xd0more\xff\xc4\0\3b\xff\xda\0\3cend\xff\xd9"
+    bomb = b"BM%PDF-" * 20_000 + b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\3a" * 20_000 + b"PK\3\4" * 20_000
+    df = spark.createDataFrame([("photo", photo, "a/b"), ("tail", png + zipped, "a/b"), ("sound", sound, "a/b"), ("scans", two_scans, "a/b"), ("bomb", bomb, "a/b"), ("big", gzip.compress(bytes(1 << 20)) + png, "a/b")], "id string, media binary, declared_type string")
+    sniffed = media.sniff(df, "id", "media", "declared_type")
+    got = {r.id: (r.media_type, [(e.offset, e.length, e.type, e.container) for e in r.embedded]) for r in sniffed.collect()}
+    at = sound.index(png)
+    assert got["photo"] == ("image/jpeg", [(len(photo) - 20, 20, "video/mp4", None)])
+    assert got["tail"] == ("image/png", [(len(png), len(zipped), "application/zip", None)])
+    assert got["sound"] == ("audio/wav", [(at, len(png), "image/png", 0)])
+    assert got["scans"] == ("image/jpeg", []) and got["bomb"] == ("a/b", [])
+    assert got["big"][0] == "application/gzip" and got["big"][1][0][2:] == ("image/png", None)
+    carved = {r.id: bytes(r.media) for r in media.carve(sniffed, "id").collect()}
+    assert carved == {"photo": mp4, "tail": zipped, "sound": png, "big": png}
+
+
 def test_text_media(rows, spark):
     for r in media.text_media(rows).collect():
         text = ("no id" if r.doc_id is None else ODD[r.doc_id] or "").encode()
