@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foldline.functions.alphabet import RESIDUES, rule_score
+from foldline.functions.alphabet import RESIDUES
+from foldline.functions.alphabet import score as letter_score
 
-SCORES = np.array([[rule_score(a, b) for b in RESIDUES] for a in RESIDUES], float)
+SCORES = np.array([[letter_score(a, b) for b in RESIDUES] for a in RESIDUES], float)
 OPEN, EXTEND, FRAGMENT = 10.0, 0.5, 0.75
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.functions.alphabet import RESIDUES, substitution
+from foldline.functions.alphabet import RESIDUES, is_gap, substitution
+
+PIECE = 2_000_000  # letters counted at once
+FULL = 1.5  # similarity of equal residues
 
 
 def columns_of(aligned: DataFrame, id_col: str, seq_col: str) -> DataFrame:
@@ -13,13 +20,46 @@ def columns_of(aligned: DataFrame, id_col: str, seq_col: str) -> DataFrame:
     return aligned.select(id_col, F.posexplode(F.split(seq_col, "")).alias("pos", "res")).filter("res <> ''").withColumn("pos", F.col("pos") + 1)
 
 
+def column_counts(aligned: DataFrame, seq_col: str) -> DataFrame:
+    """(pos, res, n): how often each residue stands in each column, pos from 1.
+
+    Letters are counted in a task before any row leaves it; a long sequence is counted in pieces.
+    """
+    number = np.full(256, 255, np.uint8)
+    number[[ord(c) for c in RESIDUES]] = np.arange(len(RESIDUES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            letters = pa.array(list(RESIDUES)).take(pa.array(keys & 31))
+            return pa.RecordBatch.from_arrays([pa.array(keys >> 5), letters, pa.array(n)], ["pos", "res", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                raw = np.frombuffer((text or "").encode("latin-1", "replace"), np.uint8)
+                for at in range(0, len(raw), PIECE):
+                    codes = number[raw[at : at + PIECE]].astype(np.int64)
+                    keys = (np.arange(at + 1, at + 1 + len(codes)) << 5) | codes
+                    held.append(keys[codes < 255])
+                    size += len(codes)
+                    if size >= PIECE:
+                        yield counted()
+                        held, size = [], 0
+        if held:
+            yield counted()
+
+    return aligned.select(seq_col).mapInArrow(run, "pos long, res string, n long").groupBy("pos", "res").agg(F.sum("n").alias("n"))
+
+
 def column_profile(aligned: DataFrame, id_col: str, seq_col: str) -> DataFrame:
     """(pos, nocc, n_residues, top_freq, entropy, relent) of each column; X doesn't count as occupied.
 
     Counts by column and letter are combined before they are shuffled, so a shuffled row is a
     column and letter of a task, however many rows are aligned.
     """
-    counts = columns_of(aligned, id_col, seq_col).filter(F.col("res").isin(*RESIDUES[:22])).groupBy("pos", "res").agg(F.count("*").alias("n"))
+    counts = column_counts(aligned, seq_col).filter("res <> 'X'")
     n = F.col("n").cast("double")
     # With N = sum n: -sum(n/N ln(n/N)) = ln N - sum(n ln n) / N, from one aggregation.
     sums = counts.groupBy("pos").agg(F.sum("n").alias("nocc"), F.count("*").alias("n_residues"), F.max("n").alias("most"), F.sum(n * F.log(n)).alias("s"))
@@ -41,12 +81,23 @@ def pair_identity(aligned: DataFrame, id_col: str, seq_col: str) -> DataFrame:
     return a.join(b, "pos").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("compared"), F.round(F.avg((F.col("ra") == F.col("rb")).cast("double")), 6).alias("identity"))
 
 
-def conservation(aligned: DataFrame, id_col: str, seq_col: str) -> DataFrame:
-    """(pos, weight): least(1, sum of d * similarity over sum of d * 4) over pairs, d their distance; 1 where undefined."""
-    c = columns_of(aligned, id_col, seq_col)
+def similarity(spark: SparkSession) -> DataFrame:
+    """(a, b, score): BLOSUM62 over the geometric mean of both self-scores, so that equal residues have FULL; by rule, in
+    place of a table of similarities on that scale, which can be given instead. B, Z and X have no similarity."""
+    s = substitution(spark).filter("a not in ('B', 'Z', 'X') and b not in ('B', 'Z', 'X')")
+    own = F.broadcast(s.filter("a = b"))
+    return s.join(own.select("a", F.col("score").alias("sa")), "a").join(own.select("b", F.col("score").alias("sb")), "b").select("a", "b", (FULL * F.col("score") / F.sqrt(F.col("sa") * F.col("sb"))).alias("score"))
+
+
+def conservation(aligned: DataFrame, id_col: str, seq_col: str, scores: DataFrame | None = None) -> DataFrame:
+    """(pos, weight): least(1, sum of d * similarity over sum of d * FULL) over pairs that have a similarity there, d their distance; 1 where undefined.
+
+    Gaps are compared with nothing."""
+    scores = similarity(aligned.sparkSession) if scores is None else scores
+    c = columns_of(aligned, id_col, seq_col).filter(~is_gap(F.col("res")))
     a, b = c.select(F.col(id_col).alias("a"), "pos", F.col("res").alias("ra")), c.select(F.col(id_col).alias("b"), "pos", F.col("res").alias("rb"))
     both = a.join(b, "pos").filter("a < b")
     d = both.groupBy("a", "b").agg((1 - F.avg((F.col("ra") == F.col("rb")).cast("double"))).alias("d"))
-    scored = both.join(d, ["a", "b"]).join(F.broadcast(substitution(aligned.sparkSession).toDF("ra", "rb", "sim")), ["ra", "rb"])
-    sums = scored.groupBy("pos").agg(F.sum(F.col("d") * F.col("sim")).alias("s"), F.sum(F.col("d") * 4).alias("t"))
+    scored = both.join(d, ["a", "b"]).join(F.broadcast(scores.toDF("ra", "rb", "sim")), ["ra", "rb"])
+    sums = scored.groupBy("pos").agg(F.sum(F.col("d") * F.col("sim")).alias("s"), F.sum(F.col("d") * FULL).alias("t"))
     return sums.select("pos", F.round(F.when(F.col("t") > 0, F.least(F.lit(1.0), F.col("s") / F.col("t"))).otherwise(1.0), 5).alias("weight"))

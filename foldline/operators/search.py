@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldline.functions.alphabet import RESIDUES, rule_score
+from foldline.functions.alphabet import RESIDUES
+from foldline.functions.alphabet import score as letter_score
 
 # Gapped statistics, and drop-off and cut-off of ungapped scores.
 LAMBDA, KAPPA, DROP, TRIGGER = 0.267, 0.041, 16, 41
 OPEN, EXTEND, WORD, WORD_SCORE, HIT_WINDOW = 11, 1, 3, 11, 40
 SEG_WINDOW, SEG_LOW, SEG_HIGH, SEG_TRIM = 12, 2.2, 2.5, 50
-SCORES = np.array([[rule_score(a, b) for b in RESIDUES] for a in RESIDUES])
+SCORES = np.array([[letter_score(a, b) for b in RESIDUES] for a in RESIDUES])
 QUERY_BYTES = 4 << 20
 
 

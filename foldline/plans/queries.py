@@ -72,8 +72,11 @@ def column_profile(spark, d):
 
 @query(f"with {DOCS}, {columns('docs')} select instr('{A.RESIDUES}', res) - 1 as number, count(*) as n from cols group by 1")
 def encode_letters(spark, d):
-    c = P.columns_of(documents(spark, d), "id", "seq")
-    return c.groupBy(A.residue_number(F.col("res")).cast("long").alias("number")).agg(F.count("*").alias("n"))
+    """How often each residue number occurs: letters are counted by what is left when they are taken out, one row a task."""
+    seq = documents(spark, d).select("seq")
+    sums = seq.agg(*[F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(c), F.lit("")))).alias(c) for c in A.RESIDUES])
+    each = sums.select(F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("number"), F.col(c).alias("n")) for k, c in enumerate(A.RESIDUES)])).alias("e"))
+    return each.select("e.number", "e.n").filter("n > 0")
 
 
 DEFLINE = r"^(\w+)\|(\w*)\|(\S*)"
@@ -116,8 +119,9 @@ def identical_seq_groups(spark, d):
 
 @query(f"with {DOCS} select id, 72 * k + 1 as first_pos, substring(seq, 72 * k + 1, 72) as block from (select id, seq, unnest(generate_series(0, (length(seq) - 1) // 72)) as k from docs where length(seq) > 0)")
 def alignment_blocks72(spark, d):
-    t = documents(spark, d).filter(F.length("seq") > 0).select("id", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 72).cast("int"))).alias("k"))
-    return t.select("id", (72 * F.col("k") + 1).cast("long").alias("first_pos"), F.expr("substring(seq, 72 * k + 1, 72)").alias("block"))
+    """Blocks of 72 columns, cut in one pass over each sequence."""
+    t = documents(spark, d).select("id", F.posexplode(F.regexp_extract_all("seq", F.lit(".{1,72}"), 0)).alias("k", "block"))
+    return t.select("id", (72 * F.col("k") + 1).cast("long").alias("first_pos"), "block")
 
 
 @query(f"""with {ITEMS}, m as (select max(length(seq)) as m from items),
@@ -148,7 +152,7 @@ def pairwise_identity(spark, d):
 
 
 @query(f"""with {ITEMS}, {columns('items')}, d as (select a.id as a, b.id as b, 1 - avg(case when a.res = b.res then 1.0 else 0.0 end) as d from cols a join cols b using (pos) where a.id < b.id group by 1, 2),
-s as (select pos, sum(d * {A.score_case('x.res', 'y.res')}) as s, sum(d * 4) as t from cols x join cols y using (pos) join d on d.a = x.id and d.b = y.id group by 1)
+s as (select pos, sum(d * 1.5 * {A.score_case('x.res', 'y.res')} / sqrt(cast({A.score_case('x.res', 'x.res')} * {A.score_case('y.res', 'y.res')} as double))) as s, sum(d * 1.5) as t from cols x join cols y using (pos) join d on d.a = x.id and d.b = y.id where x.res not in ('B', 'Z', 'X') and y.res not in ('B', 'Z', 'X') group by 1)
 select pos, round(case when t > 0 then least(1.0, s / t) else 1.0 end, 5) as weight from s""")
 def conservation_weight(spark, d):
     return P.conservation(items(spark, d), "id", "seq").withColumn("pos", F.col("pos").cast("long"))
