@@ -16,7 +16,7 @@ from foldline.operators.helices import helix_marks, turn_flags
 from foldline.operators.msa import progressive
 from foldline.operators.range_join import within
 from foldline.operators.search import search, seg_mask
-from foldline.operators.sheets import bridges, ladders, sheets, surface
+from foldline.operators.sheets import bridges, ladders, sheets, strands, strongest, surface
 from foldline.operators.store import get_or_create, updated
 from foldline.plans import output as O
 
@@ -455,22 +455,85 @@ def _energy(h: str, n: str, c: str, o: str) -> str:
     return f"(case when least({ho}, {hc}, {nc}, {no}) < 0.5 then -9.9 else greatest(-27.888 * (1 / {ho} - 1 / {hc} + 1 / {nc} - 1 / {no}), -9.9) end)"
 
 
-@query(f"with {_p()} select a.vec_id as donor, b.vec_id as acceptor, round({_energy('a.ca', 'a.n', 'b.c', 'b.o')}, 3) + 0.0 as energy from p a join p b on a.vec_id < b.vec_id where {_dist('a.ca', 'b.ca')} < 9")
+_H = ", ".join(f"case when lc{c} is null or vec_id % 23 = 0 or sqrt({' + '.join(f'(lc{k} - lo{k}) * (lc{k} - lo{k})' for k in 'xyz')}) = 0 then n{c} else n{c} + (lc{c} - lo{c}) / sqrt({' + '.join(f'(lc{k} - lo{k}) * (lc{k} - lo{k})' for k in 'xyz')}) end as h{c}" for c in "xyz")
+BONDS_SQL = f"""{_p()}, r0 as (select *, row_number() over (partition by chain order by vec_id) as ord, {', '.join(f'lag({n}{c}) over (partition by chain order by vec_id) as l{n}{c}' for n in 'co' for c in 'xyz')} from p),
+r as (select *, {_H} from r0),
+e as (select a.chain as protein, a.vec_id as donor, b.vec_id as acceptor, a.ord as d, b.ord as a, case when a.vec_id % 23 = 0 then 0.0 else round({_energy('a.h', 'a.n', 'b.c', 'b.o')}, 3) + 0.0 end as energy
+from r a join r b on a.vec_id <> b.vec_id and a.chain = b.chain and a.ord <> b.ord + 1 where {_dist('a.ca', 'b.ca')} < 9)"""
+
+
+@query(f"with {BONDS_SQL} select donor, acceptor, energy from e")
 def hbond_energy(spark, d):
+    """Energies in both directions of the residues of a chain that are near; no bond from a residue to the one before it."""
     return _bonds(spark, d).select("donor", "acceptor", "energy")
 
 
+def chain_residues(spark, d):
+    """Points as residues of chains, with a number along the chain and the amide's hydrogen; each 23rd is a proline."""
+    w = Window.partitionBy("chain").orderBy("vec_id")
+    t = points(spark, d).withColumn("ord", F.row_number().over(w).cast("long")).withColumn("lc", F.lag("c").over(w)).withColumn("lo", F.lag("o").over(w)).withColumn("proline", F.col("vec_id") % 23 == 0)
+    return t.withColumn("h", G.hydrogen(F.col("n"), F.col("lc"), F.col("lo"), F.col("proline"))).drop("lc", "lo")
+
+
 def _bonds(spark, d):
-    near = within(points(spark, d), "vec_id", "ca", 9.0, ["ca", "n", "c", "o"])
-    return near.select(F.col("a").alias("donor"), F.col("b").alias("acceptor"), G.hbond_energy(F.col("a_ca"), F.col("a_n"), F.col("b_c"), F.col("b_o")).alias("energy"))
+    """(protein, donor, acceptor, d, a, energy) of near residues of a chain, both ways."""
+    carried = ["chain", "ord", "proline", "h", "n", "c", "o"]
+    near = within(chain_residues(spark, d), "vec_id", "ca", 9.0, carried).filter("a_chain = b_chain")
+    one, other = ({k: F.col(f"{s}_{k}") for k in carried} | {"id": F.col(s)} for s in "ab")
+
+    def directed(x, y):
+        energy = F.when(x["proline"], F.lit(0.0)).otherwise(G.hbond_energy(x["h"], x["n"], y["c"], y["o"]))
+        return near.filter(x["ord"] != y["ord"] + 1).select(x["chain"].alias("protein"), x["id"].alias("donor"), y["id"].alias("acceptor"), x["ord"].alias("d"), y["ord"].alias("a"), energy.alias("energy"))
+
+    return directed(one, other).unionByName(directed(other, one))
 
 
-@query(f"""with {_p()}, e as (select a.vec_id as donor, b.vec_id as acceptor, round({_energy('a.ca', 'a.n', 'b.c', 'b.o')}, 3) + 0.0 as energy from p a join p b on a.vec_id < b.vec_id where {_dist('a.ca', 'b.ca')} < 9),
-r as (select *, row_number() over (partition by donor order by energy, acceptor) as rank from e) select donor, acceptor, energy, rank from r where rank <= 2""")
+@query(f"""with {BONDS_SQL}, s as (select 'donor' as side, donor as residue, acceptor as partner, energy from e where energy < 0 union all select 'acceptor', acceptor, donor, energy from e where energy < 0),
+ranked as (select *, row_number() over (partition by side, residue order by energy, partner) as rank from s) select side, residue, partner, energy, rank from ranked where rank <= 2""")
 def hbond_top2(spark, d):
-    """The two strongest bonds of each donor; earlier partners win ties."""
-    w = Window.partitionBy("donor").orderBy("energy", "acceptor")
-    return _bonds(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 2")
+    """The two strongest bonds of each residue as donor and as acceptor; earlier partners win ties."""
+    b = _bonds(spark, d).filter("energy < 0")
+    sides = b.select(F.lit("donor").alias("side"), F.col("donor").alias("residue"), F.col("acceptor").alias("partner"), "energy").union(b.select(F.lit("acceptor"), "acceptor", "donor", "energy"))
+    w = Window.partitionBy("side", "residue").orderBy("energy", "partner")
+    return sides.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 2")
+
+
+BRIDGE_SQL = f"""{BONDS_SQL}, best as (select protein, d, a from (select *, row_number() over (partition by protein, d order by energy, a) as rank from e where energy < 0) where rank <= 2 and energy < -0.5),
+pat as (select x.protein, x.i, x.j, 'parallel' as kind from (select protein, a + 1 as i, d as j from best) x join (select protein, d - 1 as i, a as j from best) y using (protein, i, j)
+union all select x.protein, x.i, x.j, 'parallel' from (select protein, d as i, a + 1 as j from best) x join (select protein, a as i, d - 1 as j from best) y using (protein, i, j)
+union all select x.protein, x.i, x.j, 'antiparallel' from (select protein, d as i, a as j from best) x join (select protein, a as i, d as j from best) y using (protein, i, j)
+union all select x.protein, x.i, x.j, 'antiparallel' from (select protein, a + 1 as i, d - 1 as j from best) x join (select protein, d - 1 as i, a + 1 as j from best) y using (protein, i, j)),
+last as (select chain as protein, max(ord) as n from r group by 1),
+bridge as (select protein, least(i, j) as i, greatest(i, j) as j, max(kind) as kind from pat join last using (protein) where greatest(i, j) >= least(i, j) + 3 and least(i, j) > 1 and greatest(i, j) < n group by 1, 2, 3)"""
+
+
+def _bridges(spark, d):
+    best = strongest(_bonds(spark, d).select("protein", F.col("d").alias("donor"), F.col("a").alias("acceptor"), "energy"))
+    return bridges(best, chain_residues(spark, d).select(F.col("chain").alias("protein"), "ord", F.lit(1).alias("segment")))
+
+
+@query(f"with {BRIDGE_SQL} select protein, i, j, kind from bridge")
+def beta_bridges(spark, d):
+    """Bridges between residues of a chain from their two strongest bonds."""
+    return _bridges(spark, d).select("protein", "i", "j", "kind")
+
+
+@query(f"""with {BRIDGE_SQL}, g as (select *, case when kind = 'parallel' then i - j else i + j end as diagonal from bridge), k as (select *, i - row_number() over (partition by protein, kind, diagonal order by i) as island from g)
+select protein, kind, min(i) as first_i, max(i) as last_i, min(j) as first_j, max(j) as last_j, count(*) as n from k group by protein, kind, diagonal, island""")
+def beta_ladders(spark, d):
+    return ladders(_bridges(spark, d)).drop("segment_i", "segment_j")
+
+
+@query()
+def sheet_components(spark, d):
+    """Ladders after bulges, and the sheets that share residues make them."""
+    return sheets(ladders(_bridges(spark, d)))
+
+
+@query()
+def strand_partners(spark, d):
+    """Strands and bridges with their partners, two for a residue at most."""
+    return strands(ladders(_bridges(spark, d)))
 
 
 @query(f"with {_p()} select vec_id, round(least(cax, nx, cx, ox) - 3.0, 6) as min_x, round(greatest(cax, nx, cx, ox) + 3.0, 6) as max_x, round(greatest(greatest(cax, nx, cx, ox) - least(cax, nx, cx, ox), greatest(cay, ny, cy, oy) - least(cay, ny, cy, oy), greatest(caz, nz, cz, oz) - least(caz, nz, cz, oz)) + 6.0, 6) as edge from p")
@@ -518,14 +581,6 @@ def hbond_distance_hist(spark, d):
     return points(spark, d).groupBy(F.least(F.floor(G.distance(F.col("ca"), F.col("o"))), F.lit(30)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query()
-def sheet_components(spark, d):
-    """Ladders and sheets from the bonds below -0.5 kcal/mol, each chain a protein."""
-    bonds = _bonds(spark, d).filter("energy < -0.5").join(points(spark, d).select(F.col("vec_id").alias("donor"), F.col("chain").alias("protein")), "donor")
-    both = bonds.select("protein", "donor", "acceptor").union(bonds.select("protein", F.col("acceptor").alias("donor"), F.col("donor").alias("acceptor")))
-    return sheets(ladders(bridges(both)))
-
-
 @query()
 def surface_area(spark, d):
     """Accessible area of points with a carbon's radius; partners come from the grid join."""

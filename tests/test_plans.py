@@ -148,14 +148,40 @@ def test_helix_of_bonds(spark):
     assert flags == ">>>>XX<<<<  "
 
 
+def _ladder(kind, i, j, n, segments=(1, 1)):
+    return ("p", kind, i, i + n - 1, j, j + n - 1, n, *segments)
+
+
 def test_sheets(spark):
-    pairs = [(i, 20 - i) for i in range(1, 8, 2)]
-    bonds = [("p", i, j) for i, j in pairs] + [("p", j, i) for i, j in pairs]
-    found = sheets.bridges(spark.createDataFrame(bonds, "protein string, donor int, acceptor int"))
-    got = {(r.i, r.j, r.kind) for r in found.collect()}
-    assert {(i, j, "antiparallel") for i, j in pairs} <= got
-    rows = sheets.sheets(sheets.ladders(found)).collect()
-    assert {r.sheet for r in rows} == {1} and max(r.n for r in rows) >= 7
+    schema = "protein string, kind string, first_i long, last_i long, first_j long, last_j long, n long, segment_i int, segment_j int"
+    rows = [_ladder("antiparallel", 2, 40, 3), _ladder("antiparallel", 6, 34, 2), _ladder("parallel", 41, 60, 2), _ladder("parallel", 90, 99, 1), _ladder("parallel", 44, 66, 1, (1, 2))]
+    df = spark.createDataFrame(rows, schema)
+    got = [(r.sheet, r.ladder, r.kind, r.first_i, r.last_i, r.first_j, r.last_j, r.n) for r in sheets.sheets(df).orderBy("sheet", "ladder").collect()]
+    # The second goes on after the first with a bulge of one residue and four; the fifth is beyond a break.
+    assert got[0] == (1, 0, "antiparallel", 2, 7, 34, 42, 5) and got[1] == (1, 1, "parallel", 41, 42, 60, 61, 2)
+    assert [g[0] for g in got] == [1, 1, 2, 3] and len(got) == 4
+    of = {r.ord: r for r in sheets.strands(df).collect()}
+    assert (of[2].partner1, of[4].partner1, of[6].partner1, of[5].partner1) == (42, 40, 35, None) and of[5].ss == "E" and of[90].ss == "B"
+    assert (of[41].partner1, of[41].partner2, of[41].parallel2, of[60].partner1) == (3, 60, True, 41)
+    far = spark.createDataFrame([_ladder("parallel", 1, 30, 2), _ladder("parallel", 8, 37, 2), _ladder("parallel", 5, 37, 1)], schema)
+    assert sorted(r.n for r in sheets.sheets(far).collect()) == [2, 3]  # only the later two are near enough
+
+
+def test_bridges_brute(spark):
+    rng = random.Random(3)
+    n, segment = 60, lambda k: 1 if k <= 25 else 2
+    bonds = {(d, d + k) for d in range(1, n + 1) for k in rng.sample([-9, -8, -7, 7, 8, 9, 10], 2) if 1 <= d + k <= n}
+    got = {(r.i, r.j): r.kind for r in sheets.bridges(spark.createDataFrame([("p", d, a) for d, a in bonds], "protein string, donor long, acceptor long"), spark.createDataFrame([("p", k, segment(k)) for k in range(1, n + 1)], "protein string, ord long, segment int")).collect()}
+    inner = [k for k in range(2, n) if segment(k - 1) == segment(k + 1)]
+    want = {}
+    for i in inner:
+        for j in inner:
+            if j >= i + 3:
+                if {(i + 1, j), (j, i - 1)} <= bonds or {(j + 1, i), (i, j - 1)} <= bonds:
+                    want[i, j] = "parallel"
+                elif {(i + 1, j - 1), (j + 1, i - 1)} <= bonds or {(i, j), (j, i)} <= bonds:
+                    want[i, j] = "antiparallel"
+    assert got == want and len(want) > 5
 
 
 def test_free_surface(spark):
