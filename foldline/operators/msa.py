@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -19,19 +19,64 @@ def _codes(seq: str) -> np.ndarray:
     return np.array([RESIDUES.index(c) if c in RESIDUES else 22 for c in seq], np.int64)
 
 
-def align(profile: np.ndarray, seq: np.ndarray) -> list[tuple[int | None, int | None]]:
-    """Pairs of profile column and residue on the best end-free path; matching goes before gaps."""
+# How dear a gap opposite a residue is, by residue, and by the state of a profile's column.
+RESIDUE_GAP = {"A": 1.13, "C": 1.13, "D": 0.96, "E": 1.31, "F": 1.20, "G": 0.61, "H": 1.00, "I": 1.32, "K": 0.96, "L": 1.21, "M": 1.29, "N": 0.63, "P": 0.74, "Q": 1.07, "R": 0.72, "S": 0.76, "T": 0.89, "V": 1.25, "W": 1.23, "Y": 1.00}
+STATE_GAP = {"H": 2.0, "B": 2.0, "G": 3.0, "I": 2.0, "T": 1.5}
+NEAR = 8
+GAP_OF = np.array([RESIDUE_GAP.get(c, 1.0) for c in RESIDUES])
+
+
+def column_gap_costs(columns: DataFrame, group: str, rows: Column, opening: float = OPEN, extension: float = EXTEND) -> DataFrame:
+    """Adds open_cost and extend_cost to columns (group, pos, ss, inserted, gaps) of alignments of so many rows.
+
+    Opening costs by state, nothing where something was inserted already, and more near the next gap or end within
+    NEAR columns on either side; extension costs the share of rows with a gap, if there is any.
+    """
+    w = Window.partitionBy(group).orderBy("pos")
+    state = F.coalesce(F.create_map(*[F.lit(x) for kv in STATE_GAP.items() for x in kv])[F.col("ss")], F.lit(1.0))
+    there = F.col("gaps") > 0
+
+    def stops(f, k):
+        return F.coalesce(f(there, k).over(w), F.lit(True))  # beyond the end there is no column
+
+    near = F.least(*[F.when(stops(F.lead, k) | stops(F.lag, k), k).otherwise(NEAR) for k in range(NEAR)])
+    factor = F.when(near < NEAR, (2 + (NEAR - near) * 2) / float(NEAR)).otherwise(1.0)
+    cost = opening * state * F.when(F.col("inserted") > 0, 0.0).otherwise(1.0) * factor
+    return columns.withColumn("open_cost", cost).withColumn("extend_cost", F.when(there, F.col("gaps") / rows).otherwise(F.lit(extension)))
+
+
+def gap_costs_of(rows: list[str], states: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The same costs of the columns of aligned rows, the query first."""
+    cells = np.array([list(r) for r in rows])
+    gaps = (cells == ".").sum(0)
+    opening = OPEN * np.array([STATE_GAP.get(c, 1.0) for c in states or " " * len(gaps)])
+    opening[cells[0] == "."] = 0  # a column that an earlier hit has inserted
+    n = len(gaps)
+    stop = np.flatnonzero(np.concatenate([[True], gaps > 0, [True]])) - 1
+    at = np.searchsorted(stop, np.arange(n))
+    near = np.minimum(stop[at] - np.arange(n), np.where(at > 0, np.arange(n) - stop[np.maximum(at - 1, 0)], n))
+    opening *= np.where(near < NEAR, (2 + (NEAR - near) * 2) / NEAR, 1.0)
+    return opening, np.where(gaps > 0, gaps / len(rows), EXTEND)
+
+
+def align(profile: np.ndarray, seq: np.ndarray, costs: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int | None, int | None]]:
+    """Pairs of profile column and residue on the best end-free path; matching goes before gaps.
+
+    Opening a gap costs by the column passed over, or by the residue that is inserted; extension by column.
+    """
     m, n = len(profile), len(seq)
     score = profile @ SCORES[:, seq]
+    opening, extension = costs if costs is not None else (np.full(m, OPEN), np.full(m, EXTEND))
+    insertion = OPEN * GAP_OF[seq]
     h, e, f = np.zeros((m + 1, n + 1)), np.full((m + 1, n + 1), -1e9), np.full((m + 1, n + 1), -1e9)
     way = np.zeros((m + 1, n + 1), np.int8)
     k = np.arange(n + 1) * EXTEND
     for i in range(1, m + 1):
-        e[i] = np.maximum(h[i - 1] - OPEN, e[i - 1] - EXTEND)
+        e[i] = np.maximum(h[i - 1] - opening[i - 1], e[i - 1] - extension[i - 1])
         match = np.concatenate([[0.0], h[i - 1, :-1] + score[i - 1]])
         best = np.maximum(match, e[i])
         best[0] = 0
-        f[i, 1:] = np.maximum.accumulate(best + k)[:-1] - k[1:] - OPEN + EXTEND
+        f[i, 1:] = np.maximum.accumulate(best[:-1] + k[:-1] - insertion) - k[1:] + EXTEND
         h[i] = np.maximum(best, f[i])
         h[i, 0] = 0
         way[i] = np.where(match >= h[i], 0, np.where(e[i] >= h[i], 1, 2))
@@ -64,19 +109,19 @@ def progressive(hits: DataFrame, max_hits: int = 5000) -> DataFrame:
     """(query_id, hit_id, aligned, identity, accepted) from (query_id, query, hit_id, seq, distance).
 
     Hits are taken by distance; those that cover too little of the profile or are below the identity
-    curve for their length stay out. The
-    fold needs a query's hits in order, so a group has at most max_hits rows: the closest ones, as
-    the operator's own limit on hits says.
+    curve for their length stay out. A limit on hits is for those accepted: of more, a fixed random max_hits stay; before
+    aligning, a fixed random ten times as many are taken, as the operator is defined. With max_hits 0 there is no limit.
+    The fold needs a query's hits in order, in one task.
     """
-    nearest = Window.partitionBy("query_id").orderBy("distance", "hit_id")
-    few = hits.withColumn("nr", F.row_number().over(nearest)).filter(F.col("nr") <= max_hits)
+    drawn = Window.partitionBy("query_id").orderBy(F.xxhash64("hit_id"), "hit_id")
+    few = hits.withColumn("nr", F.row_number().over(drawn)).filter(F.col("nr") <= 10 * max_hits) if max_hits else hits
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["distance", "hit_id"])
         query = group["query"].iloc[0]
         rows, names, weight, out = [query], [-1], [1.0], []
         for hit, seq, distance in zip(group["hit_id"], group["seq"], group["distance"]):
-            path = align(_weights(rows, weight), _codes(seq))
+            path = align(_weights(rows, weight), _codes(seq), gap_costs_of(rows))
             pairs = [(a, b) for a, b in path if a is not None and b is not None and rows[0][a] != "."]
             same = sum(rows[0][a] == seq[b] for a, b in pairs)
             identity = same / len(pairs) if pairs else 0.0
@@ -99,4 +144,8 @@ def progressive(hits: DataFrame, max_hits: int = 5000) -> DataFrame:
         text = dict(zip(names, rows))
         return pd.DataFrame([(q, h, text.get(a) if a is not None else None, i, ok) for q, h, a, i, ok in out], columns=["query_id", "hit_id", "aligned", "identity", "accepted"])
 
-    return few.groupBy("query_id").applyInPandas(fold, "query_id long, hit_id long, aligned string, identity double, accepted boolean")
+    out = few.groupBy("query_id").applyInPandas(fold, "query_id long, hit_id long, aligned string, identity double, accepted boolean")
+    if not max_hits:
+        return out
+    kept = out.filter("accepted").withColumn("nr", F.row_number().over(drawn)).filter(F.col("nr") <= max_hits).drop("nr")
+    return kept.unionByName(out.filter("not accepted"))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from foldline.functions.alphabet import RESIDUES
 from foldline.functions.alphabet import score as letter_score
+from foldline.functions.statistics import search_space
 
 # Gapped statistics, and drop-off and cut-off of ungapped scores.
 LAMBDA, KAPPA, DROP, TRIGGER = 0.267, 0.041, 16, 41
@@ -40,30 +41,30 @@ def _log_probability(text: str) -> float:
     return ways + kinds - n * math.log(20)
 
 
-def low_complexity(seq: str) -> list[tuple[int, int]]:
+def low_complexity(seq: str, window: int = SEG_WINDOW, low: float = SEG_LOW, high: float = SEG_HIGH, trim: int = SEG_TRIM) -> list[tuple[int, int]]:
     """Stretches of low complexity: seen in a window, extended, then trimmed to their least likely part."""
     n = len(seq)
-    if n < SEG_WINDOW:
+    if n < window:
         return []
-    values, counts = [], Counter(seq[:SEG_WINDOW])
-    for i in range(n - SEG_WINDOW + 1):
-        values.append(entropy(counts, SEG_WINDOW))
-        if i + SEG_WINDOW < n:
+    values, counts = [], Counter(seq[:window])
+    for i in range(n - window + 1):
+        values.append(entropy(counts, window))
+        if i + window < n:
             counts[seq[i]] -= 1
-            counts[seq[i + SEG_WINDOW]] += 1
+            counts[seq[i + window]] += 1
     found, i = [], 0
     while i < len(values):
-        if values[i] > SEG_LOW:
+        if values[i] > low:
             i += 1
             continue
         a = b = i
-        while a > 0 and values[a - 1] <= SEG_HIGH:
+        while a > 0 and values[a - 1] <= high:
             a -= 1
-        while b + 1 < len(values) and values[b + 1] <= SEG_HIGH:
+        while b + 1 < len(values) and values[b + 1] <= high:
             b += 1
-        a, end = max(a, found[-1][1] if found else 0), b + SEG_WINDOW
+        a, end = max(a, found[-1][1] if found else 0), b + window
         least, best = 0.0, None
-        for size in range(end - a, max(0, end - a - SEG_TRIM) - 1, -1):
+        for size in range(end - a, max(0, end - a - trim) - 1, -1):
             if size < 1:
                 break
             for s in range(a, end - size + 1):
@@ -76,19 +77,26 @@ def low_complexity(seq: str) -> list[tuple[int, int]]:
     return found
 
 
-@F.pandas_udf(T.StringType())
-def seg_mask(seqs: pd.Series) -> pd.Series:
-    """Sequences with X in stretches of low complexity."""
+def seg_mask_with(options: dict):
+    """A function of a column of sequences that puts X into stretches of low complexity."""
 
     def one(s):
         if s is None:
             return None
         out = list(s)
-        for a, b in low_complexity(s):
+        for a, b in low_complexity(s, **options):
             out[a:b] = "X" * (b - a)
         return "".join(out)
 
-    return seqs.map(one)
+    @F.pandas_udf(T.StringType())
+    def masked(seqs: pd.Series) -> pd.Series:
+        return seqs.map(one)
+
+    return masked
+
+
+DUST = {"window": 32, "low": 1.4, "high": 1.6, "trim": 100}
+seg_mask = seg_mask_with({})
 
 
 def coded(seq: str) -> np.ndarray:
@@ -178,29 +186,19 @@ def search(queries: DataFrame, databank: DataFrame, expect: float = 10.0) -> Dat
     blocks = max(1, math.ceil(size / QUERY_BYTES))
     found = None
     for b in range(blocks):
-        some = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", seg_mask("seq").alias("seq")).collect()
-        part = _scan([(r["id"], r["seq"]) for r in some], databank, stats["n"], stats["letters"] or 0, expect)
+        room = search_space(F.length("seq"), F.lit(stats["letters"] or 0), F.lit(stats["n"]))
+        some = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", seg_mask("seq").alias("seq"), room.alias("room")).collect()
+        part = _scan([(r["id"], r["seq"], r["room"]) for r in some], databank, expect)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def space(query: int, letters: int, count: int) -> float:
-    """The effective size of the search: both sides shortened by the length that alignments need."""
-    short = 0.0
-    for _ in range(20):
-        new = math.log(max(1.0, KAPPA * max(query - short, 1) * max(letters - count * short, 1))) * 1.9 / 0.267 / 14
-        if abs(new - short) < 0.5:
-            break
-        short = new
-    return max(query - short, 1) * max(letters - count * short, 1)
-
-
-def _scan(queries: list[tuple], databank: DataFrame, count: int, letters: int, expect: float) -> DataFrame:
+def _scan(queries: list[tuple], databank: DataFrame, expect: float) -> DataFrame:
     shared = databank.sparkSession.sparkContext.broadcast(queries)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = [Query(name, seq) for name, seq in shared.value if len(seq) >= WORD]
-        spaces = [space(len(q.codes), letters, count) for q in made]
+        made = [Query(name, seq) for name, seq, _ in shared.value if len(seq) >= WORD]
+        spaces = [room for _, seq, room in shared.value if len(seq) >= WORD]
         for part in parts:
             out = []
             for target, seq in zip(part["id"], part["seq"]):

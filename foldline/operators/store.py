@@ -26,3 +26,24 @@ def updated(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataF
     """rows with the column's values from changes (key, column) where there is one."""
     new = changes.select(key, F.col(column).alias("__new"))
     return rows.join(new, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+
+
+def looked_up(rows: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """Rows with what the store has under their key; those without a key there go."""
+    return rows.join(store.filter(F.col(key).isNotNull()), key)
+
+
+def exported(store: DataFrame, column: str, but: str) -> DataFrame:
+    """Rows whose value is known and another one."""
+    return store.filter(F.col(column) != but)
+
+
+def counted(store: DataFrame, column: str, codes: list[str]) -> DataFrame:
+    """(column, n) of the codes that occur."""
+    return store.filter(F.col(column).isin(codes)).groupBy(column).agg(F.count("*").alias("n"))
+
+
+def same_as(rows: DataFrame, digest: str, id_col: str) -> DataFrame:
+    """(digest, ids) of the digests that several rows have, ids in order; rows that are alone never reach a list."""
+    several = rows.groupBy(digest).agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(several, digest).groupBy(digest).agg(F.array_sort(F.collect_list(id_col)).alias("ids"))

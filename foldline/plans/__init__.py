@@ -1 +1,3 @@
-"""See the modules of this package."""
+"""The registered queries with their SQL, and the reports."""
+
+from foldline.plans import more, queries  # noqa: F401  each adds to queries.QUERIES

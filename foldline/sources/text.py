@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from foldline.functions.alphabet import residue_of
+from foldline.functions.geometry import distance
+
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(id, defline, seq): records begin with > at a line's start; a file's first line must.
@@ -63,3 +66,70 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): each file whole, for formats whose lines depend on those before."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
     return whole.filter("value <> ''")
+
+
+def structure_heads(lines: DataFrame) -> DataFrame:
+    """(file, pdb_id, header, compound, source, author, dbrefs) from the head records of PDB files, continued lines joined."""
+    v = F.col("value")
+    t = lines.withColumn("record", F.trim(v.substr(1, 6))).withColumn("text", F.regexp_replace(F.rtrim(v.substr(11, 70)), r"\s+", " "))
+
+    def joined(record: str):
+        parts = F.array_sort(F.collect_list(F.when(F.col("record") == record, F.struct("line_no", F.trim("text").alias("text")))))
+        return F.array_join(F.transform(parts, lambda x: x["text"]), " ")
+
+    refs = F.array_sort(F.collect_list(F.when(F.col("record") == "DBREF", F.struct("line_no", F.rtrim(v).alias("text")))))
+    return t.groupBy("file").agg(F.max(F.when(F.col("record") == "HEADER", F.trim(v.substr(63, 4)))).alias("pdb_id"), joined("HEADER").alias("header"), joined("COMPND").alias("compound"), joined("SOURCE").alias("source"), joined("AUTHOR").alias("author"), F.transform(refs, lambda x: x["text"]).alias("dbrefs"))
+
+
+def disulfides(lines: DataFrame) -> DataFrame:
+    """(file, nr, chain1, seq1, icode1, chain2, seq2, icode2) of the SSBOND records; bonds of a residue with itself go, the rest is numbered anew."""
+    v = F.col("value")
+    t = lines.filter(v.startswith("SSBOND")).select("file", "line_no", v.substr(16, 1).alias("chain1"), F.trim(v.substr(18, 4)).try_cast("long").alias("seq1"), v.substr(22, 1).alias("icode1"), v.substr(30, 1).alias("chain2"), F.trim(v.substr(32, 4)).try_cast("long").alias("seq2"), v.substr(36, 1).alias("icode2"))
+    t = t.filter("seq1 is not null and seq2 is not null and not (chain1 = chain2 and seq1 = seq2 and icode1 = icode2)")
+    return t.select("file", F.row_number().over(Window.partitionBy("file").orderBy("line_no")).alias("nr"), "chain1", "seq1", "icode1", "chain2", "seq2", "icode2")
+
+
+def rejected(atom_rows: DataFrame) -> DataFrame:
+    """(file, waters, incomplete): how many waters, and other residues without a whole backbone, are left out."""
+    has = [F.max((F.col("name") == n).cast("int")) for n in ("N", "CA", "C", "O")]
+    per = atom_rows.groupBy("file", "chain", "resseq", "icode", "resname").agg(sum(has[1:], has[0]).alias("there")).filter("there < 4")
+    return per.groupBy("file").agg(F.count_if(F.col("resname") == "HOH").alias("waters"), F.count_if(F.col("resname") != "HOH").alias("incomplete"))
+
+
+def numbered_residues(residue_rows: DataFrame, most: float = 2.5) -> DataFrame:
+    """Adds letter, segment and number: numbers go on by one, and skip one at each break and each new chain.
+
+    A chain breaks where the next N is more than `most` from the C before.
+    """
+    chain = Window.partitionBy("file", "chain").orderBy("ord")
+    whole = Window.partitionBy("file").orderBy("ord")
+    before = F.lag("c").over(chain)
+    t = residue_rows.withColumn("is_break", (before.isNotNull() & (distance(before, F.col("n")) > most)).cast("int")).withColumn("starts", before.isNull().cast("int"))
+    segment = F.sum(F.col("is_break") + F.col("starts")).over(whole)
+    return t.withColumn("segment", segment).withColumn("number", F.row_number().over(whole) - 1 + F.col("segment")).withColumn("letter", residue_of(F.col("resname"))).drop("is_break", "starts")
+
+
+def dssp(lines: DataFrame) -> DataFrame:
+    """(file, pdb_id, chain, seq) of state files: lower-case letters are cysteines, - stands for a break within a chain."""
+    w = Window.partitionBy("file").orderBy("line_no")
+    v = F.col("value")
+    started = F.max(v.startswith("  #  RESIDUE").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = lines.withColumn("body", F.coalesce(started, F.lit(0))).withColumn("pdb_id", F.max(F.when(v.startswith("HEADER"), F.lower(F.substring(v, 63, 4)))).over(Window.partitionBy("file")))
+    t = t.filter("body = 1").select("file", "line_no", "pdb_id", v.substr(12, 1).alias("chain"), v.substr(14, 1).alias("res"))
+    mark = (F.col("chain") == " ") & (F.col("res") == "!")
+    t = t.withColumn("is_break", mark).withColumn("after_break", F.coalesce(F.lag("is_break").over(w), F.lit(False))).filter("not is_break")
+    res = F.when(F.col("res").rlike("[a-z]"), "C").otherwise(F.col("res"))
+    cut = F.when(F.col("after_break") & (F.lag("chain").over(w) == F.col("chain")), "-").otherwise("")
+    cells = F.array_sort(F.collect_list(F.struct("line_no", F.concat("cut", "res").alias("text"))))
+    t = t.withColumn("cut", cut).withColumn("res", res)
+    return t.groupBy("file", "pdb_id", "chain").agg(F.array_join(F.transform(cells, lambda x: x["text"]), "").alias("seq"))
+
+
+def listing(spark: SparkSession, path: str, pattern: str, skip: DataFrame | None = None) -> DataFrame:
+    """(path, code) of the files below a folder, at any depth, whose name has the form of pattern (group 1 is the code), without the codes to skip.
+
+    Only names are read, no contents.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    found = files.select("path", F.regexp_extract("path", pattern, 1).alias("code")).filter("code <> ''")
+    return found if skip is None else found.join(skip.select("code"), "code", "left_anti").select("path", "code")
