@@ -226,12 +226,12 @@ def report_lines(spark, d):
     return lines.select(F.col("query_id").alias("file"), nr.alias("line_no"), F.col("line").alias("value"))
 
 
-@query(f"with {_PAIRS} select query_id, id, 'ACC' || item as accession, 'an item' as descr, 0.5::double as score, least(length(query), length(seq)) as length, cast(length(seq) as bigint) as seq_len, aligned from h union all select 'q' || k, 'q' || k, null, null, null, null, null, query from q")
+@query(f"with {_PAIRS} select query_id, id, 'ACC' || item as accession, 'an item' as descr, 0.5::double as score, least(length(query), length(seq)) as length, cast(length(seq) as bigint) as seq_len, aligned from h union all select 'q' || k, 'q' || k, '', '', 0.0, 0, 0, query from q")
 def report_hits_read_back(spark, d):
     """The hits and rows of alignment that the reports' lines say."""
     rows = sto.blocks(report_lines(spark, d))
     got = sto.aligned(rows).join(sto.hits(rows).drop("query_id"), ["file", "block", "id"], "left")
-    return got.select("query_id", "id", "accession", "descr", "score", "length", "seq_len", "aligned")
+    return got.select("query_id", "id", "accession", "descr", "score", "length", "seq_len", "aligned").na.fill("", ["accession", "descr"]).na.fill(0, ["score", "length", "seq_len"])
 
 
 @query(f"""with {_PAIRS}, r as (select k, query, unnest(generate_series(1, length(query))) as pos from q)
