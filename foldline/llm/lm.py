@@ -21,6 +21,7 @@ texts are scored whole. Words are joined to their counts by 64-bit hashes.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import zlib
@@ -41,6 +42,7 @@ SYMBOLS, HOT, CLASSES, LONGEST = 2047, 1 << 17, 128, 64
 BITS, ORDERS, GATES, STEPS = 20, 3, 16, 64
 BLOCK = 1 << 15
 FIRST, BATCH = 20_000, 80_000  # decisions learnt from at once, at first and at most
+PART = 40_000  # symbols of a text learnt from at once
 SHARD = 2_000_000  # tokens that a shard has at least
 DISCOUNT, SMOOTH = 0.6, 0.1
 END = SYMBOLS + CLASSES
@@ -77,11 +79,15 @@ class Decisions:
         self.begins, self.sizes, self.nodes, self.bits = huffman(weights)
         self.first_order = first_order
 
-    def of(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Bits, slots for each predictor and symbol index of each decision; lengths are those of the sequences."""
+    def of(self, symbols: np.ndarray, lengths: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Bits, slots for each predictor and symbol index of each decision; lengths are those of the sequences.
+
+        The first symbols of a sequence, as many as known says, are context alone."""
         place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         before = [np.where(place >= k, np.roll(symbols, k) + 1, 0).astype(np.uint32) for k in (1, 2, 3)]
         n = self.sizes[symbols]
+        if known is not None and known.any():
+            n = np.where(place < np.repeat(known, lengths), 0, n)
         ends = np.cumsum(n)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begins[symbols] - ends + n, n)
         nodes = self.nodes[at] * np.uint32(0x9E3779B1)
@@ -129,12 +135,12 @@ def step(z: np.ndarray) -> np.ndarray:
     return np.minimum(((z + 12) * np.float32(STEPS / 24)).astype(np.uint8), STEPS - 1)
 
 
-def learn(batches: Iterator[tuple[np.ndarray, np.ndarray]], decisions: Decisions) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def learn(batches: Iterator[tuple[np.ndarray, ...]], decisions: Decisions) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """A shard's counts (predictor, slot, outcome), weights, refining counts and number of decisions."""
     counts = np.zeros((ORDERS, 1 << BITS, 2), np.int32)
     weights, hits, total, rate = np.full((GATES, ORDERS), 0.4), np.zeros((STEPS, 2)), 0, 0.5
-    for symbols, lengths in batches:
-        bits, slots, _ = decisions.of(symbols, lengths)
+    for batch in batches:
+        bits, slots, _ = decisions.of(*batch)
         if not len(bits):
             continue
         view = [Mixer.view(c.view(np.int64).ravel().take(s).view(np.int32).reshape(-1, 2)) for c, s in zip(counts, slots)]
@@ -199,12 +205,18 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[:2] + word[-2:]) % CLASSES
 
 
+def key_of(word: bytes) -> bytes:
+    """The word, or a digest in place of a long one."""
+    return word if len(word) <= LONGEST else hashlib.md5(word).digest()
+
+
 class Lexicon:
-    """The frequent words: their counts, and the symbol of any word."""
+    """The frequent words (key, count, class): their counts, and the symbol of any word."""
 
-    def __init__(self, hot: list[tuple[bytes, int]], n: int, v: int, ends: int, class_counts: dict[int, tuple[int, int]]):
-        self.index = {w: k for k, (w, _) in enumerate(hot)}
-        self.counts = np.array([c for _, c in hot], np.int64)
+    def __init__(self, hot: list[tuple[bytes, int, int]], n: int, v: int, ends: int, class_counts: dict[int, tuple[int, int]]):
+        self.index = {w: k for k, (w, _, _) in enumerate(hot)}
+        self.counts = np.array([c for _, c, _ in hot], np.int64)
+        self.classes = np.array([k for _, _, k in hot], np.int64)
         self.n, self.v, self.ends = n, v, ends
         self.class_n, self.class_v = (np.array([class_counts.get(k, (0, 0))[j] for k in range(CLASSES)], np.float64) for j in (0, 1))
         weights = np.ones(END + 1)
@@ -216,29 +228,31 @@ class Lexicon:
 
     def _packed(self, word: bytes) -> int:
         """The word's place among the frequent ones plus one (0: none) above 16 bits of its symbol."""
-        k = self.index.get(word, -1)
+        k = self.index.get(key_of(word), -1)
         return (k + 1) << 16 | (k if 0 <= k < SYMBOLS else SYMBOLS + class_of(word))
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.packed.__getitem__, words), np.int64, len(words))
 
 
-def symbol_batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def symbol_batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Symbols, lengths and how many symbols are context alone: very long texts come in parts that begin with the last ORDERS before."""
     parts: list[np.ndarray] = []
+    known: list[int] = []
     size, most = 0, FIRST // 8
     for batch in batches:
         for part in pieces(batch):
             for text in part.column(column).to_pylist():
                 codes = np.append(lexicon.codes(words_of(text)) & 0xFFFF, END)
-                # Very long texts come in several batches; only the first words of each lack what stands before.
-                for at in range(0, len(codes), 40_000):
-                    parts.append(codes[at : at + 40_000])
+                for at in range(0, len(codes), PART):
+                    known.append(min(at, ORDERS))
+                    parts.append(codes[at - known[-1] : at + PART])
                     size += len(parts[-1])
                     if size >= most:
-                        yield np.concatenate(parts), np.array([len(p) for p in parts])
-                        parts, size, most = [], 0, min(most * 5 // 4, BATCH // 8)
+                        yield np.concatenate(parts), np.array([len(p) for p in parts]), np.array(known)
+                        parts, known, size, most = [], [], 0, min(most * 5 // 4, BATCH // 8)
     if parts:
-        yield np.concatenate(parts), np.array([len(p) for p in parts])
+        yield np.concatenate(parts), np.array([len(p) for p in parts]), np.array(known)
 
 
 BYTE_END = 256
@@ -296,14 +310,15 @@ def fit(training: DataFrame) -> Model:
     counts = stored(word_counts(training).withColumn("h", F.xxhash64("word")))
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
-    # At most HOT words of at most LONGEST bytes come to the driver.
-    top = counts.filter(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(HOT).select("word", "c").toArrow()
-    hot = list(zip(top.column("word").to_pylist(), top.column("c").to_pylist()))
-    own = spark.createDataFrame([(w,) for w, _ in hot[:SYMBOLS]], "word binary")
     n_bytes = F.length("word")
     affix = F.concat(F.expr("substring(word, 1, 2)"), F.when(n_bytes >= 2, F.expr("substring(word, -2, 2)")).otherwise(F.col("word")))
-    rare = counts.join(F.broadcast(own), "word", "left_anti")
-    classes = {r["k"]: (r["n"], r["v"]) for r in rare.groupBy((F.crc32(affix) % CLASSES).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    # At most HOT words come to the driver, long ones as digests.
+    keyed = counts.select(F.when(n_bytes <= LONGEST, F.col("word")).otherwise(F.unhex(F.md5("word"))).alias("key"), "c", (F.crc32(affix) % CLASSES).alias("k"))
+    top = keyed.orderBy(F.desc("c"), "key").limit(HOT).toArrow()
+    hot = list(zip(*(top.column(n).to_pylist() for n in ("key", "c", "k")), strict=True))
+    own = spark.createDataFrame([(w,) for w, _, _ in hot[:SYMBOLS]], "key binary")
+    rare = keyed.join(F.broadcast(own), "key", "left_anti")
+    classes = {r["k"]: (r["n"], r["v"]) for r in rare.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     lexicon = Lexicon(hot, (sums["n"] or 0) + ends, sums["v"] + (ends > 0), ends, classes)
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -349,9 +364,8 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         made = Decisions(lexicon.weights, 0)
         base = np.append(np.log10(lexicon.counts + SMOOTH), 0.0)  # the last one is for words that aren't frequent
         inside = np.zeros(len(lexicon.counts) + 1)  # log10 of a frequent word's share of its class
-        for w, k in lexicon.index.items():
-            if k >= SYMBOLS:
-                inside[k] = math.log10((lexicon.counts[k] - DISCOUNT) / lexicon.class_n[class_of(w)])
+        other = np.arange(len(lexicon.counts)) >= SYMBOLS
+        inside[:-1][other] = np.log10((lexicon.counts[other] - DISCOUNT) / lexicon.class_n[lexicon.classes[other]])
         for batch in batches:
             for part in pieces(batch, 200):
                 texts = [words_of(t) for t in part.column(1).to_pylist()]

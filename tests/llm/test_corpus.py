@@ -442,6 +442,27 @@ def test_language_model_beats_counts(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_long_words_and_texts_are_learnt_whole(spark, monkeypatch):
+    """A frequent word of any length is a symbol; the parts of a long text give the decisions of the whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    long = "q" * 500
+    df = spark.createDataFrame([(f"{long} a b c",)] * 20, "text string")
+    lex = lm.fit(df).lexicon
+    assert lex.codes([long.encode()])[0] >> 16 > 0 and lex.counts[lex.index[lm.key_of(long.encode())]] == 20
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(random.Random(1).choice("abc") for _ in range(50)), "a b", None]})
+    made = lm.Decisions(lex.weights, 0)
+
+    def decided(part):
+        monkeypatch.setattr(lm, "PART", part)
+        got = [made.of(*b) for b in lm.symbol_batches(iter([batch]), lex, 0)]
+        return [np.concatenate([g[0] for g in got]), *(np.concatenate([g[1][k] for g in got]) for k in range(lm.ORDERS))]
+
+    for a, b in zip(decided(40_000), decided(7), strict=True):
+        assert np.array_equal(a, b)
+
+
 def test_mixing_is_a_distribution():
     """Over all symbols, coded probabilities add up to one."""
     import numpy as np
