@@ -7,7 +7,7 @@ partitions, whatever its size.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -114,72 +114,116 @@ def neighbours(word: tuple[int, ...]) -> list[tuple[int, ...]]:
     return [p for p, _ in out]
 
 
-class Query:
-    def __init__(self, name, seq: str):
-        self.name, self.codes = name, coded(seq)
-        self.index = defaultdict(list)
-        for i in range(len(self.codes) - WORD + 1):
-            for w in neighbours(tuple(self.codes[i : i + WORD].tolist())):
-                self.index[w].append(i)
-
-    def ungapped(self, t: np.ndarray, q: int, p: int) -> tuple[int, int]:
-        """Score of extending a word both ways until it falls DROP below the best, and the middle of it."""
-
-        def way(a, b):
-            run = np.cumsum(SCORES[a, b])
-            if not len(run):
-                return 0, 0
-            top = np.maximum.accumulate(np.maximum(run, 0))
-            stop = np.flatnonzero(top - run > DROP)
-            run = run[: stop[0]] if len(stop) else run
-            return (int(run.max()), int(run.argmax()) + 1) if len(run) and run.max() > 0 else (0, 0)
-
-        n = min(len(self.codes) - q, len(t) - p)
-        right, r = way(self.codes[q : q + n], t[p : p + n])
-        m = min(q, p)
-        left, back = way(self.codes[q - m : q][::-1], t[p - m : p][::-1])
-        return right + left, (r - back) // 2
-
-    def seeds(self, t: np.ndarray) -> int:
-        """The best ungapped score at a second word hit on a diagonal within the window of a first one."""
-        last: dict[int, int] = {}
-        best = 0
-        for p in range(len(t) - WORD + 1):
-            for q in self.index.get(tuple(t[p : p + WORD].tolist()), ()):
-                before = last.get(p - q)
-                if before is not None and p - before < WORD:
-                    continue
-                last[p - q] = p
-                if before is not None and p - before < HIT_WINDOW:
-                    best = max(best, self.ungapped(t, q, p)[0])
-                    if best >= TRIGGER:
-                        return best
-        return best
-
-    def local(self, t: np.ndarray) -> tuple[int, int, int]:
-        """Best local score with affine gaps and where it ends in query and target, a row at a time."""
-        n = len(t)
-        h, down = np.zeros(n + 1), np.full(n + 1, -1e9)
-        k = np.arange(n + 1) * EXTEND
-        best = (0, 0, 0)
-        for i, c in enumerate(self.codes):
-            down = np.maximum(down - EXTEND, h - OPEN - EXTEND)
-            m = np.concatenate([[0.0], np.maximum(h[:-1] + SCORES[c, t], 0)])
-            m = np.maximum(m, down)
-            m[0] = 0
-            gap = np.maximum.accumulate(m + k)[:-1] - k[1:] - OPEN
-            h = m
-            h[1:] = np.maximum(m[1:], gap)
-            j = int(h.argmax())
-            if h[j] > best[0]:
-                best = (int(h[j]), i + 1, j)
-        return best
+class Block:
+    """A block of queries: all their letters one after another, and where each word scores enough against them."""
+
+    def __init__(self, queries: list[tuple]):
+        self.names = [q[0] for q in queries]
+        codes = [coded(q[1]) for q in queries]
+        self.rooms = [q[2] for q in queries]
+        self.codes = np.concatenate(codes)
+        self.lengths = np.array([len(c) for c in codes])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.owner = np.repeat(np.arange(len(codes)), self.lengths)
+        words, places = [], []
+        for start, c in zip(self.starts.tolist(), codes):
+            for i in range(len(c) - WORD + 1):
+                near = neighbours(tuple(c[i : i + WORD].tolist()))
+                words += [(x * 23 + y) * 23 + z for x, y, z in near]
+                places += [start + i] * len(near)
+        order = np.argsort(np.array(words, np.int64), kind="stable")
+        self.places = np.array(places, np.int64)[order]
+        self.ends = np.append(0, np.cumsum(np.bincount(np.array(words, np.int64), minlength=23**WORD)))
+
+    def seeds(self, t: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(query, place in it, place in t) of word hits that have an earlier one on their diagonal within the window, not overlapping it."""
+        w = (t[:-2] * 23 + t[1:-1]) * 23 + t[2:]
+        n = self.ends[w + 1] - self.ends[w]
+        ends = np.cumsum(n)
+        q = self.places[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends[w] - ends + n, n)]
+        p = np.repeat(np.arange(len(w)), n)
+        width = len(t) + HIT_WINDOW + 1
+        # A number for the diagonal of a query, then the place; sorted, so that hits within reach are counted by search.
+        key = (self.owner[q] * (len(self.codes) + len(t) + 1) + (q - p + len(t))) * width + p
+        order = np.argsort(key)
+        key = key[order]
+        first = np.searchsorted(key, key - np.minimum(HIT_WINDOW - 1, p[order]))
+        last = np.searchsorted(key, key - WORD, side="right")
+        for k in order[(last > first) & (p[order] >= WORD)].tolist():
+            yield int(self.owner[q[k]]), int(q[k] - self.starts[self.owner[q[k]]]), int(p[k])
+
+    def query(self, k: int) -> np.ndarray:
+        return self.codes[self.starts[k] : self.starts[k] + self.lengths[k]]
+
+
+def ungapped(query: np.ndarray, t: np.ndarray, q: int, p: int) -> int:
+    """Score of extending a word both ways until it falls DROP below the best."""
+
+    def way(a, b):
+        run = np.cumsum(SCORES[a, b])
+        if not len(run):
+            return 0
+        top = np.maximum.accumulate(np.maximum(run, 0))
+        stop = np.flatnonzero(top - run > DROP)
+        run = run[: stop[0]] if len(stop) else run
+        return max(int(run.max()), 0) if len(run) else 0
+
+    n, m = min(len(query) - q, len(t) - p), min(q, p)
+    return way(query[q : q + n], t[p : p + n]) + way(query[q - m : q][::-1], t[p - m : p][::-1])
+
+
+def local(query: np.ndarray, t: np.ndarray) -> tuple[int, list[tuple[int | None, int | None]]]:
+    """The best local score with affine gaps, a row of the whole table at a time, and the way to it as pairs of places."""
+    m, n = len(query), len(t)
+    h, down = np.zeros(n + 1), np.full(n + 1, -1e9)
+    k = np.arange(n + 1) * EXTEND
+    ways, longer_down = np.zeros((m + 1, n + 1), np.int8), np.zeros((m + 1, n + 1), bool)
+    rights = np.zeros((m + 1, n + 1), np.int32)
+    best = (0.0, 0, 0)
+    for i, c in enumerate(query):
+        fresh = h - OPEN - EXTEND
+        longer_down[i + 1] = down - EXTEND > fresh
+        down = np.maximum(down - EXTEND, fresh)
+        step = np.concatenate([[0.0], h[:-1] + SCORES[c, t]])
+        cell = np.maximum(np.maximum(step, down), 0)
+        cell[0] = 0
+        # The best cell to the left to open a gap from.
+        lift = cell + k
+        top = np.maximum.accumulate(lift)
+        source = np.maximum.accumulate(np.where(lift == top, np.arange(n + 1), 0))
+        gap = np.concatenate([[-1e9], top[:-1] - k[1:] - OPEN])
+        rights[i + 1, 1:] = source[:-1]
+        h = np.maximum(cell, gap)
+        ways[i + 1] = np.where(h <= 0, 0, np.where(h == step, 1, np.where(h == down, 2, 3)))
+        j = int(h.argmax())
+        if h[j] > best[0]:
+            best = (float(h[j]), i + 1, j)
+    _, i, j = best
+    path: list[tuple[int | None, int | None]] = []
+    while i > 0 and j > 0 and ways[i, j]:
+        if ways[i, j] == 1:
+            i, j = i - 1, j - 1
+            path.append((i, j))
+        elif ways[i, j] == 2:
+            more = True
+            while more:
+                more = bool(longer_down[i, j])
+                i -= 1
+                path.append((i, None))
+        else:
+            to = int(rights[i, j])
+            path += [(None, x) for x in range(j - 1, to - 1, -1)]
+            j = to
+    return int(best[0]), path[::-1]
 
 
 def search(queries: DataFrame, databank: DataFrame, expect: float = 10.0) -> DataFrame:
-    """(query_id, target_id, score, bits, expect, query_end, target_end) of the hits; both tables have id and seq.
+    """(query_id, target_id, score, bits, expect, q_start, q_end, t_start, t_end, identical, aligned_query, aligned_target) of the hits;
+    both tables have id and seq, places count from 1.
 
-    Queries come in blocks of about QUERY_BYTES, each with one scan of the databank.
+    Queries come in blocks of about QUERY_BYTES, each with one scan of the databank: a task looks the words of a target up in an
+    index of the whole block, keeps those with a second hit on their diagonal, and aligns the pairs whose ungapped score
+    reaches TRIGGER. Alignments fill the whole table, so none ends early by a drop-off.
     """
     stats = databank.agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("letters")).first()
     size = queries.agg(F.sum(F.length("seq")).alias("s")).first()["s"] or 0
@@ -197,18 +241,28 @@ def _scan(queries: list[tuple], databank: DataFrame, expect: float) -> DataFrame
     shared = databank.sparkSession.sparkContext.broadcast(queries)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = [Query(name, seq) for name, seq, _ in shared.value if len(seq) >= WORD]
-        spaces = [room for _, seq, room in shared.value if len(seq) >= WORD]
+        some = [q for q in shared.value if len(q[1]) >= WORD]
+        block = Block(some) if some else None
         for part in parts:
             out = []
             for target, seq in zip(part["id"], part["seq"]):
                 t = coded(seq or "")
-                for q, room in zip(made, spaces):
-                    if len(t) >= WORD and q.seeds(t) >= TRIGGER:
-                        score, i, j = q.local(t)
-                        bits = math.floor((LAMBDA * score - math.log(KAPPA)) / math.log(2))
-                        if (e := room / 2**bits) <= expect:
-                            out.append((q.name, target, score, bits, e, i, j))
-            yield pd.DataFrame(out, columns=["query_id", "target_id", "score", "bits", "expect", "query_end", "target_end"])
-
-    return databank.select("id", "seq").mapInPandas(run, "query_id long, target_id long, score long, bits long, expect double, query_end long, target_end long")
+                if block is None or len(t) < WORD:
+                    continue
+                done: set[int] = set()
+                for k, q, p in block.seeds(t):
+                    if k in done or ungapped(block.query(k), t, q, p) < TRIGGER:
+                        continue
+                    done.add(k)
+                    query = block.query(k)
+                    score, path = local(query, t)
+                    bits = math.floor((LAMBDA * score - math.log(KAPPA)) / math.log(2))
+                    if (e := block.rooms[k] / 2**bits) <= expect:
+                        pairs = [(i, j) for i, j in path if i is not None and j is not None]
+                        rows = ["".join("-" if x is None else RESIDUES[c[x]] for x in side) for side, c in zip(zip(*path), (query, t))]
+                        same = sum(int(query[i] == t[j]) for i, j in pairs)
+                        out.append((block.names[k], target, score, bits, e, pairs[0][0] + 1, pairs[-1][0] + 1, pairs[0][1] + 1, pairs[-1][1] + 1, same, *rows))
+            yield pd.DataFrame(out, columns=NAMES)
+
+    NAMES = ["query_id", "target_id", "score", "bits", "expect", "q_start", "q_end", "t_start", "t_end", "identical", "aligned_query", "aligned_target"]
+    return databank.select("id", "seq").mapInPandas(run, "query_id long, target_id long, score long, bits long, expect double, q_start long, q_end long, t_start long, t_end long, identical long, aligned_query string, aligned_target string")

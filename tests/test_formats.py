@@ -59,6 +59,53 @@ def test_merged_hits_brute(spark):
     assert all(x.bits == bits(x.score) and x.expect == pytest.approx(1e6 / 2**x.bits) for x in got)
 
 
+def _slow_local(a, b):
+    """Best local score with affine gaps, a cell at a time."""
+    low, best = -(10**9), 0
+    h = {(i, j): 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
+    e, f = dict.fromkeys(h, low), dict.fromkeys(h, low)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            e[i, j] = max(h[i - 1, j] - 12, e[i - 1, j] - 1)
+            f[i, j] = max(h[i, j - 1] - 12, f[i, j - 1] - 1)
+            h[i, j] = max(0, h[i - 1, j - 1] + alphabet.score(a[i - 1], b[j - 1]), e[i, j], f[i, j])
+            best = max(best, h[i, j])
+    return best
+
+
+def test_local_alignment_brute():
+    rng = random.Random(5)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    for _ in range(30):
+        a = [rng.choice(letters) for _ in range(40)]
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(5)] = [rng.choice(letters) for _ in range(rng.randrange(5))]
+        b = [rng.choice(letters) for _ in range(8)] + b
+        score, path = search.local(search.coded("".join(a)), search.coded("".join(b)))
+        assert score == _slow_local(a, b)
+        total, before = 0, None
+        for i, j in path:
+            kind = "m" if i is not None and j is not None else "q" if j is None else "t"
+            total += alphabet.score(a[i], b[j]) if kind == "m" else -1 if kind == before else -12
+            before = kind
+        assert total == score
+
+
+def test_seeds_brute():
+    rng = random.Random(6)
+    seqs = ["".join(rng.choice("ACDEFW") for _ in range(n)) for n in (30, 18, 3, 25)]
+    block = search.Block([(k, s, 1.0) for k, s in enumerate(seqs)])
+    t = search.coded("".join(rng.choice("ACDEFW") for _ in range(60)))
+    hits = set()
+    for k, s in enumerate(seqs):
+        c = search.coded(s)
+        hits |= {(k, q, p) for q in range(len(c) - 2) for p in range(len(t) - 2) if sum(search.SCORES[c[q + x], t[p + x]] for x in range(3)) >= search.WORD_SCORE}
+    want = {(k, q, p) for k, q, p in hits if any((k, q - x, p - x) in hits for x in range(search.WORD, search.HIT_WINDOW))}
+    assert set(block.seeds(t)) == want and len(want) > 5
+
+
 def test_superposition_brute(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(size=(20, 3))
