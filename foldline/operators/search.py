@@ -104,14 +104,11 @@ def coded(seq: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=20_000)
-def neighbours(word: tuple[int, ...]) -> list[tuple[int, ...]]:
-    """All words that score enough against this one."""
-    out = [((), 0)]
-    best = [SCORES[w].max() for w in word]
-    for k, w in enumerate(word):
-        rest = sum(best[k + 1 :])
-        out = [(p + (x,), s + SCORES[w, x]) for p, s in out for x in range(22) if s + SCORES[w, x] + rest >= WORD_SCORE]
-    return [p for p, _ in out]
+def neighbours(word: tuple[int, int, int]) -> np.ndarray:
+    """The numbers of all words of 22 letters that score enough against this one."""
+    a, b, c = (SCORES[x, :22] for x in word)
+    x, y, z = np.nonzero(a[:, None, None] + b[None, :, None] + c[None, None, :] >= WORD_SCORE)
+    return (x * 23 + y) * 23 + z
 
 
 class Block:
@@ -129,11 +126,12 @@ class Block:
         for start, c in zip(self.starts.tolist(), codes):
             for i in range(len(c) - WORD + 1):
                 near = neighbours(tuple(c[i : i + WORD].tolist()))
-                words += [(x * 23 + y) * 23 + z for x, y, z in near]
-                places += [start + i] * len(near)
-        order = np.argsort(np.array(words, np.int64), kind="stable")
-        self.places = np.array(places, np.int64)[order]
-        self.ends = np.append(0, np.cumsum(np.bincount(np.array(words, np.int64), minlength=23**WORD)))
+                words.append(near)
+                places.append(np.full(len(near), start + i))
+        flat = np.concatenate(words)
+        order = np.argsort(flat, kind="stable")
+        self.places = np.concatenate(places)[order]
+        self.ends = np.append(0, np.cumsum(np.bincount(flat, minlength=23**WORD)))
 
     def seeds(self, t: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(query, place in it, place in t) of word hits that have an earlier one on their diagonal within the window, not overlapping it."""
