@@ -37,6 +37,7 @@ SAMPLE, VOTERS, CANDIDATES = 24_000, 200, 20_000
 SHORTEST, LONGEST, LEAST_DOCS, LEAST_LLR = 4, 12, 4, 18.0
 WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = 6
+TRUST, RIGHT = 100, 0.99  # before anything is seen, labels count as right as often as in so many rows
 
 
 @dataclass
@@ -164,8 +165,8 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8, times: n
                 fires = ((state * votes).T @ w + 4 * rate) / (state.T @ w + 4)
                 evidence += sign * (state * (votes * np.log(fires) + (1 - votes) * np.log(1 - fires))).sum(1)
         said = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
-        right1 = ((times * said) @ labels + 1) / ((times * said).sum() + 2)
-        right0 = ((times * (1 - said)) @ (1 - labels) + 1) / ((times * (1 - said)).sum() + 2)
+        right1 = ((times * said) @ labels + TRUST * RIGHT) / ((times * said).sum() + TRUST)
+        right0 = ((times * (1 - said)) @ (1 - labels) + TRUST * RIGHT) / ((times * (1 - said)).sum() + TRUST)
         given = np.where(labels == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
         q = 1 / (1 + np.exp(-np.clip(evidence + given, -30, 30)))
     return q
