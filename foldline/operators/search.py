@@ -42,7 +42,9 @@ def _log_probability(text: str) -> float:
 
 
 def low_complexity(seq: str, window: int = SEG_WINDOW, low: float = SEG_LOW, high: float = SEG_HIGH, trim: int = SEG_TRIM) -> list[tuple[int, int]]:
-    """Stretches of low complexity: seen in a window, extended, then trimmed to their least likely part."""
+    """Stretches of low complexity: seen in a window, extended, then trimmed to their least likely part.
+
+    What trimming leaves on the left is searched again if the window was seen there."""
     n = len(seq)
     if n < window:
         return []
@@ -52,28 +54,27 @@ def low_complexity(seq: str, window: int = SEG_WINDOW, low: float = SEG_LOW, hig
         if i + window < n:
             counts[seq[i]] -= 1
             counts[seq[i + window]] += 1
-    found, i = [], 0
+    found, i, first = [], 0, 0
     while i < len(values):
         if values[i] > low:
             i += 1
             continue
         a = b = i
-        while a > 0 and values[a - 1] <= high:
+        while a > first and values[a - 1] <= high:
             a -= 1
         while b + 1 < len(values) and values[b + 1] <= high:
             b += 1
-        a, end = max(a, found[-1][1] if found else 0), b + window
-        least, best = 0.0, None
-        for size in range(end - a, max(0, end - a - trim) - 1, -1):
-            if size < 1:
-                break
-            for s in range(a, end - size + 1):
-                p = _log_probability(seq[s : s + size])
+        size = b + window - a
+        least, best = 1.0, (a, a + size)
+        for n_part in range(size, max(1, size - trim), -1):
+            for s in range(a, a + size - n_part + 1):
+                p = _log_probability(seq[s : s + n_part])
                 if p < least:
-                    least, best = p, (s, s + size)
-        if best:
-            found.append(best)
-        i = b + 1
+                    least, best = p, (s, s + n_part)
+        if i + window <= best[0]:  # the window that was seen lies to the left of what trimming kept
+            found += [(a + x, a + y) for x, y in low_complexity(seq[a : best[0]], window, low, high, trim)]
+        found.append(best)
+        i = first = min(best[1] - 1, b) + 1
     return found
 
 

@@ -9,6 +9,7 @@ from foldline.functions import alphabet as A
 from foldline.functions import geometry as G
 from foldline.functions import statistics as S
 from foldline.operators import msa
+from foldline.operators.cluster import clustered
 from foldline.operators.search import DUST, seg_mask_with
 from foldline.operators.sheets import ladders, sheets
 from foldline.operators.store import counted, exported, looked_up, same_as
@@ -168,6 +169,13 @@ def ladder_histograms(spark, d):
 # -- the store --------------------------------------------------------------------------------
 
 
+@query()
+def near_chain_clusters(spark, d):
+    """Each item as a protein of four chains: itself, its end, itself backwards, itself."""
+    t = items(spark, d).select("id", F.posexplode(F.array("seq", F.substring("seq", 4, 1 << 30), F.reverse("seq"), "seq")).alias("nr", "seq"))
+    return clustered(t, "id")
+
+
 @query(f"with {DOCS} select md5(seq) as seq_md5, string_agg(cast(id as varchar), ',' order by id) as ids from docs group by 1 having count(*) > 1")
 def same_sequences(spark, d):
     """The ids of equal sequences; the groups that have several. Their lists are one row a group."""

@@ -2,13 +2,14 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foldline.functions import alphabet, geometry, statistics
-from foldline.operators import msa, search
+from foldline.operators import cluster, distance, msa, search
 from foldline.plans import report
 from foldline.sources import mmcif, stockholm, text
 
@@ -149,6 +150,44 @@ def test_dust_and_seg():
         assert found and all(30 <= a < b <= 110 for a, b in found)
 
 
+def test_seg_left_of_the_trimmed_part():
+    rng = random.Random(4)
+    for _ in range(30):
+        seq = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY"[: rng.choice((1, 2, 3, 20))]) for _ in range(120))
+        found = search.low_complexity(seq)
+        assert all(0 <= a < b <= len(seq) for a, b in found)
+        # Every window seen has a part that is masked, or lies beside the part that was kept of its stretch.
+        masked = {k for a, b in found for k in range(a, b)}
+        assert bool(masked) == any(search.entropy(Counter(seq[i : i + 12]), 12) <= 2.2 for i in range(len(seq) - 11))
+
+
+def _slow_clusters(seqs):
+    lead, reps = {}, {}
+    for j, s in enumerate(seqs):
+        def same(i):
+            t = seqs[i]
+            return s == t or bool(s and t) and 1 - distance.identical(t, s) / min(len(s), len(t)) <= 0.01
+        lead[j] = next((i for i in range(j) if lead[i] == i and same(i)), j)
+    for i in set(lead.values()):
+        reps[i] = min((j for j in lead if lead[j] == i), key=lambda j: (-len(seqs[j] or ""), j))
+    return {j: reps[i] for j, i in lead.items()}
+
+
+def test_near_chains_brute(spark):
+    rng = random.Random(9)
+    proteins = {}
+    for p in range(12):
+        base = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(rng.choice((30, 150))))
+        made = [base, base[5:], base[:10] + "W" + base[11:], base + "ACD", base[::-1], base, "", None, ""]
+        rng.shuffle(made)
+        proteins[p] = made[: rng.randrange(1, 10)]
+    rows = [(p, n, s, 1) for p, seqs in proteins.items() for n, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "protein int, nr int, seq string, key int")
+    got = {(r.protein, r.nr): r.representative for r in cluster.clustered(df).collect()}
+    assert got == {(p, n): r for p, seqs in proteins.items() for n, r in _slow_clusters(seqs).items()}
+    assert cluster.clustered(df.limit(0)).count() == 0
+
+
 def test_insertions_brute(spark):
     rng = random.Random(4)
     rows = []
