@@ -20,8 +20,8 @@ def clustered(chains: DataFrame, protein: str = "protein", nr: str = "nr", seq:
     """(protein, nr, representative) of chains (protein, nr, seq).
 
     In order of nr, a chain joins the first leader that it is nearly equal to, or leads itself; the longest chain of a group,
-    the first of several, stands for it. Equal sequences are compared once, and each pair of different ones of a protein is a
-    row, so that pairs are spread over tasks whatever their protein. Null sequences are a group of their own in each protein, as
+    the first of several, stands for it. Equal sequences are compared once; pairs of different ones are rows of a join
+    on the protein, whose chains are few. Null sequences are a group of their own in each protein, as
     are empty ones.
     """
     named = chains.select(F.col(protein).alias("p"), F.col(nr).alias("nr"), F.col(seq).alias("seq"), F.coalesce(F.md5(seq), F.lit("")).alias("key"))
