@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foldline.llm import bpe, chat, decontamination, jaccard, lm, media, quality, sharding, token_counts, toxicity
+from foldline.llm import bpe, chat, collocations, decontamination, jaccard, lm, media, merkle, mixing, quality, sharding, token_counts, toxicity
 
-OPERATORS = [(media, "op1"), (sharding, "op2"), (bpe, "op3"), (token_counts, "op4"), (lm, "op5"), (jaccard, "op6"), (decontamination, "op7"), (quality, "op8"), (chat, "op9"), (toxicity, "op10")]
+OPERATORS = [(media, "op1"), (sharding, "op2"), (bpe, "op3"), (token_counts, "op4"), (lm, "op5"), (jaccard, "op6"), (decontamination, "op7"), (quality, "op8"), (chat, "op9"), (toxicity, "op10"), (merkle, "op11"), (collocations, "op12"), (mixing, "op13")]
 
 
 def queries() -> dict:
