@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foldline.llm.common import stored, table
+from foldline.llm.common import pieces, stored, table
 
 NAME = "op12_phrase_collocations"
-SHARD_BYTES, SHARD_WORDS, WORD_BITS = 8 << 20, 1 << 20, 21
+SHARD_BYTES, SHARD_WORDS, WORD_BITS = 2 << 20, 1 << 18, 21
 MAP_BITS = 27
 SALTS = 64
 
@@ -101,8 +101,8 @@ def _places(hashes: np.ndarray, ends: np.ndarray, length: int, bits: int) -> np.
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of texts and the numbers of their pieces."""
-    pieces = pc.split_pattern_regex(pc.ascii_lower(texts), pattern="[.,;:!?\\x0A-\\x0D]").flatten()
-    lists = pc.split_pattern(pc.replace_substring(pieces, pattern="\t", replacement=" "), pattern=" ")
+    parts = pc.split_pattern_regex(pc.ascii_lower(texts), pattern="[.,;:!?\\x0A-\\x0D]").flatten()
+    lists = pc.split_pattern(pc.replace_substring(parts, pattern="\t", replacement=" "), pattern=" ")
     words, piece = lists.flatten(), pc.list_parent_indices(lists)
     there = pc.not_equal(words, "")
     return words.filter(there), piece.filter(there).to_numpy(zero_copy_only=False)
@@ -112,7 +112,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]
     """(language, texts) of about SHARD_BYTES; a longer text is a shard by itself."""
     held: dict[str, list[pa.Array]] = {}
     size: dict[str, int] = {}
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole)):
         langs = pc.fill_null(batch.column(0), "und")
         for lang in pc.unique(langs).to_pylist():
             texts = batch.column(1).filter(pc.equal(langs, lang)).drop_null().cast(pa.large_string())
@@ -143,6 +143,7 @@ def _counted(docs: DataFrame, lengths: tuple[int, ...], frequent=None, bits: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         depth = max(lengths)
         for lang, texts in _shards(batches):
+            pa.default_memory_pool().release_unused()
             words, piece = words_of(texts)
             if not len(words):
                 continue
@@ -245,7 +246,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 with pieces as (
   select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')), '[^ 	]+') as w from documents),
+-
+]')), '[^ 	]+') as w from documents),
 ends as (select lang, w, unnest(range(1, len(w) + 1)) as i from pieces),
 phrases as (select lang, array_to_string(w[i:i + k - 1], ' ') as phrase, k, count(*) as n from ends, (values (1), (2), (3)) v(k) where i + k - 1 <= len(w) group by all),
 totals as (select lang, sum(n)::bigint as n from phrases where k = 1 group by lang),
