@@ -19,6 +19,8 @@ class Scoring:
     beta: float = -30.0
     lambda_ungapped: float = 0.3176
     kappa_ungapped: float = 0.134
+    opening: int = 11
+    extension: int = 1
 
     def cut_offs(self) -> dict[str, int]:
         """Raw scores: drop-offs of ungapped (7 bits), gapped (15) and final extension (25), and what ungapped hits need (22 bits)."""

@@ -9,10 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldline.functions.alphabet import RESIDUES
-from foldline.functions.alphabet import score as letter_score
+from foldline.functions.alphabet import PAM250_SCORES, RESIDUES, score_table
 
-SCORES = np.array([[letter_score(a, b) for b in RESIDUES] for a in RESIDUES], float)
+SCORES = np.array(score_table(PAM250_SCORES), float)
 OPEN, EXTEND = 10.0, 0.2
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.functions.alphabet import RESIDUES, is_gap, substitution
+from foldline.functions.alphabet import PAM250_SCORES, RESIDUES, is_gap, substitution
 
 PIECE = 2_000_000  # letters counted at once
 FULL = 1.5  # similarity of equal residues
@@ -67,10 +67,11 @@ def column_profile(aligned: DataFrame, id_col: str, seq_col: str) -> DataFrame:
     return sums.select("pos", "nocc", "n_residues", F.round(F.col("most") / F.col("nocc"), 6).alias("top_freq"), F.round(entropy, 6).alias("entropy"), F.round(100 * entropy / F.log(F.lit(20.0)), 4).alias("relent"))
 
 
-def weighted_scores(aligned: DataFrame, id_col: str, seq_col: str, weight_col: str) -> DataFrame:
-    """(pos, res, score): for each column and residue the mean substitution score, weighted by rows."""
+def weighted_scores(aligned: DataFrame, id_col: str, seq_col: str, weight_col: str, scores: DataFrame | None = None) -> DataFrame:
+    """(pos, res, score): for each column and residue the mean substitution score (PAM250 unless given), weighted by rows."""
+    scores = substitution(aligned.sparkSession, PAM250_SCORES) if scores is None else scores
     w = columns_of(aligned.select(id_col, seq_col), id_col, seq_col).join(aligned.select(id_col, weight_col), id_col).groupBy("pos", "res").agg(F.sum(weight_col).alias("w"))
-    pairs = w.join(F.broadcast(substitution(aligned.sparkSession)), F.col("res") == F.col("b"))
+    pairs = w.join(F.broadcast(scores), F.col("res") == F.col("b"))
     return pairs.groupBy("pos", F.col("a").alias("res")).agg((F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 6) + 0.0).alias("score"))
 
 

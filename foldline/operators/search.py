@@ -1,7 +1,6 @@
-"""Databank search: low-complexity masking, seeded local alignment and expectation values.
+"""Databank search: low-complexity masking, seeds by joins, gapped alignments with drop-offs, expectation values.
 
-The queries are a set of checked size that every task gets; the databank is scanned once, in
-partitions, whatever its size.
+Words, seeds, pairs and hits are tables; only the extension of a pair's seeds and the alignments run in Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,24 +8,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldline.functions.alphabet import RESIDUES
-from foldline.functions.alphabet import score as letter_score
-from foldline.functions.statistics import search_space
+from foldline.functions.statistics import Scoring, merged_hits, search_space
+from foldline.operators.gapped import coded, from_seed, traced, ungapped_hsps
+from foldline.operators.seeds import HIT_WINDOW, WORD, pair_seeds, seeds, word_index
 
-# Gapped statistics, and drop-off and cut-off of ungapped scores.
-LAMBDA, KAPPA, DROP, TRIGGER = 0.267, 0.041, 16, 41
-OPEN, EXTEND, WORD, WORD_SCORE, HIT_WINDOW = 11, 1, 3, 11, 40
 SEG_WINDOW, SEG_LOW, SEG_HIGH, SEG_TRIM = 12, 2.2, 2.5, 50
-SCORES = np.array([[letter_score(a, b) for b in RESIDUES] for a in RESIDUES])
-QUERY_BYTES = 4 << 20
+SALTS = 32
 
 
 def entropy(counts: Counter, size: int) -> float:
@@ -100,168 +96,107 @@ DUST = {"window": 32, "low": 1.4, "high": 1.6, "trim": 100}
 seg_mask = seg_mask_with({})
 
 
-def coded(seq: str) -> np.ndarray:
-    return np.array([RESIDUES.index(c) if c in RESIDUES else 22 for c in seq], np.int64)
-
-
-@lru_cache(maxsize=20_000)
-def neighbours(word: tuple[int, int, int]) -> np.ndarray:
-    """The numbers of all words of 22 letters that score enough against this one."""
-    a, b, c = (SCORES[x, :22] for x in word)
-    x, y, z = np.nonzero(a[:, None, None] + b[None, :, None] + c[None, None, :] >= WORD_SCORE)
-    return (x * 23 + y) * 23 + z
-
-
-class Block:
-    """A block of queries: all their letters one after another, and where each word scores enough against them."""
-
-    def __init__(self, queries: list[tuple]):
-        self.names = [q[0] for q in queries]
-        codes = [coded(q[1]) for q in queries]
-        self.rooms = [q[2] for q in queries]
-        self.codes = np.concatenate(codes)
-        self.lengths = np.array([len(c) for c in codes])
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.owner = np.repeat(np.arange(len(codes)), self.lengths)
-        words, places = [], []
-        for start, c in zip(self.starts.tolist(), codes):
-            for i in range(len(c) - WORD + 1):
-                near = neighbours(tuple(c[i : i + WORD].tolist()))
-                words.append(near)
-                places.append(np.full(len(near), start + i))
-        flat = np.concatenate(words)
-        order = np.argsort(flat, kind="stable")
-        self.places = np.concatenate(places)[order]
-        self.ends = np.append(0, np.cumsum(np.bincount(flat, minlength=23**WORD)))
-
-    def seeds(self, t: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(query, place in it, place in t) of word hits that have an earlier one on their diagonal within the window, not overlapping it."""
-        w = (t[:-2] * 23 + t[1:-1]) * 23 + t[2:]
-        n = self.ends[w + 1] - self.ends[w]
-        ends = np.cumsum(n)
-        q = self.places[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends[w] - ends + n, n)]
-        p = np.repeat(np.arange(len(w)), n)
-        width = len(t) + HIT_WINDOW + 1
-        # A number for the diagonal of a query, then the place; sorted, so that hits within reach are counted by search.
-        key = (self.owner[q] * (len(self.codes) + len(t) + 1) + (q - p + len(t))) * width + p
-        order = np.argsort(key)
-        key = key[order]
-        first = np.searchsorted(key, key - np.minimum(HIT_WINDOW - 1, p[order]))
-        last = np.searchsorted(key, key - WORD, side="right")
-        for k in order[(last > first) & (p[order] >= WORD)].tolist():
-            yield int(self.owner[q[k]]), int(q[k] - self.starts[self.owner[q[k]]]), int(p[k])
-
-    def query(self, k: int) -> np.ndarray:
-        return self.codes[self.starts[k] : self.starts[k] + self.lengths[k]]
-
-
-def ungapped(query: np.ndarray, t: np.ndarray, q: int, p: int) -> int:
-    """Score of extending a word both ways until it falls DROP below the best."""
-
-    def way(a, b):
-        run = np.cumsum(SCORES[a, b])
-        if not len(run):
-            return 0
-        top = np.maximum.accumulate(np.maximum(run, 0))
-        stop = np.flatnonzero(top - run > DROP)
-        run = run[: stop[0]] if len(stop) else run
-        return max(int(run.max()), 0) if len(run) else 0
-
-    n, m = min(len(query) - q, len(t) - p), min(q, p)
-    return way(query[q : q + n], t[p : p + n]) + way(query[q - m : q][::-1], t[p - m : p][::-1])
-
-
-def local(query: np.ndarray, t: np.ndarray) -> tuple[int, list[tuple[int | None, int | None]]]:
-    """The best local score with affine gaps, a row of the whole table at a time, and the way to it as pairs of places."""
-    m, n = len(query), len(t)
-    h, down = np.zeros(n + 1), np.full(n + 1, -1e9)
-    k = np.arange(n + 1) * EXTEND
-    ways, longer_down = np.zeros((m + 1, n + 1), np.int8), np.zeros((m + 1, n + 1), bool)
-    rights = np.zeros((m + 1, n + 1), np.int32)
-    best = (0.0, 0, 0)
-    for i, c in enumerate(query):
-        fresh = h - OPEN - EXTEND
-        longer_down[i + 1] = down - EXTEND > fresh
-        down = np.maximum(down - EXTEND, fresh)
-        step = np.concatenate([[0.0], h[:-1] + SCORES[c, t]])
-        cell = np.maximum(np.maximum(step, down), 0)
-        cell[0] = 0
-        # The best cell to the left to open a gap from.
-        lift = cell + k
-        top = np.maximum.accumulate(lift)
-        source = np.maximum.accumulate(np.where(lift == top, np.arange(n + 1), 0))
-        gap = np.concatenate([[-1e9], top[:-1] - k[1:] - OPEN])
-        rights[i + 1, 1:] = source[:-1]
-        h = np.maximum(cell, gap)
-        ways[i + 1] = np.where(h <= 0, 0, np.where(h == step, 1, np.where(h == down, 2, 3)))
-        j = int(h.argmax())
-        if h[j] > best[0]:
-            best = (float(h[j]), i + 1, j)
-    _, i, j = best
-    path: list[tuple[int | None, int | None]] = []
-    while i > 0 and j > 0 and ways[i, j]:
-        if ways[i, j] == 1:
-            i, j = i - 1, j - 1
-            path.append((i, j))
-        elif ways[i, j] == 2:
-            more = True
-            while more:
-                more = bool(longer_down[i, j])
-                i -= 1
-                path.append((i, None))
-        else:
-            to = int(rights[i, j])
-            path += [(None, x) for x in range(j - 1, to - 1, -1)]
-            j = to
-    return int(best[0]), path[::-1]
-
-
-def search(queries: DataFrame, databank: DataFrame, expect: float = 10.0) -> DataFrame:
-    """(query_id, target_id, score, bits, expect, q_start, q_end, t_start, t_end, identical, aligned_query, aligned_target) of the hits;
-    both tables have id and seq, places count from 1.
-
-    Queries come in blocks of about QUERY_BYTES, each with one scan of the databank: a task looks the words of a target up in an
-    index of the whole block, keeps those with a second hit on their diagonal, and aligns the pairs whose ungapped score
-    reaches TRIGGER. Alignments fill the whole table, so none ends early by a drop-off.
-    """
-    stats = databank.agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("letters")).first()
-    size = queries.agg(F.sum(F.length("seq")).alias("s")).first()["s"] or 0
-    blocks = max(1, math.ceil(size / QUERY_BYTES))
-    found = None
-    for b in range(blocks):
-        room = search_space(F.length("seq"), F.lit(stats["letters"] or 0), F.lit(stats["n"]))
-        some = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", seg_mask("seq").alias("seq"), room.alias("room")).collect()
-        part = _scan([(r["id"], r["seq"], r["room"]) for r in some], databank, expect)
-        found = part if found is None else found.unionByName(part)
-    return found
 
-
-def _scan(queries: list[tuple], databank: DataFrame, expect: float) -> DataFrame:
-    shared = databank.sparkSession.sparkContext.broadcast(queries)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        some = [q for q in shared.value if len(q[1]) >= WORD]
-        block = Block(some) if some else None
-        for part in parts:
-            out = []
-            for target, seq in zip(part["id"], part["seq"]):
-                t = coded(seq or "")
-                if block is None or len(t) < WORD:
-                    continue
-                done: set[int] = set()
-                for k, q, p in block.seeds(t):
-                    if k in done or ungapped(block.query(k), t, q, p) < TRIGGER:
-                        continue
-                    done.add(k)
-                    query = block.query(k)
-                    score, path = local(query, t)
-                    bits = math.floor((LAMBDA * score - math.log(KAPPA)) / math.log(2))
-                    if (e := block.rooms[k] / 2**bits) <= expect:
-                        pairs = [(i, j) for i, j in path if i is not None and j is not None]
-                        rows = ["".join("-" if x is None else RESIDUES[c[x]] for x in side) for side, c in zip(zip(*path), (query, t))]
-                        same = sum(int(query[i] == t[j]) for i, j in pairs)
-                        out.append((block.names[k], target, score, bits, e, pairs[0][0] + 1, pairs[-1][0] + 1, pairs[0][1] + 1, pairs[-1][1] + 1, same, *rows))
-            yield pd.DataFrame(out, columns=NAMES)
-
-    NAMES = ["query_id", "target_id", "score", "bits", "expect", "q_start", "q_end", "t_start", "t_end", "identical", "aligned_query", "aligned_target"]
-    return databank.select("id", "seq").mapInPandas(run, "query_id long, target_id long, score long, bits long, expect double, q_start long, q_end long, t_start long, t_end long, identical long, aligned_query string, aligned_target string")
+BOX = "struct<score: long, q_start: int, q_end: int, t_start: int, t_end: int>"
+HSP = "struct<score: long, q_start: int, q_end: int, t_start: int, t_end: int, identical: int, aligned_query: string, aligned_target: string>"
+
+
+def _overlap(a: dict, b: dict) -> bool:
+    return a["q_end"] >= b["q_start"] and a["q_start"] <= b["q_end"] and a["t_end"] >= b["t_start"] and a["t_start"] <= b["t_end"]
+
+
+def _scored(scoring: Scoring, key: pa.DataType):
+    """Rows of pairs with their seeds to rows of pairs with stretches, each with the score of the gapped alignment through its middle."""
+    cut = scoring.cut_offs()
+    kind = pa.schema([("query_id", pa.int64()), ("target_id", key), ("query", pa.string()), ("target", pa.string()), ("boxes", pa.list_(pa.struct([("score", pa.int64()), *((c, pa.int32()) for c in ("q_start", "q_end", "t_start", "t_end"))])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            ids = batch.column("target_id").to_pylist()
+            for k, target_id in enumerate(ids):
+                query, target = batch.column("query")[k].as_py(), batch.column("target")[k].as_py()
+                x, y = coded(query), coded(target)
+                found: list[dict] = []
+                places = [batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("diagonals", "places")]
+                for q_start, q_end, t_start, t_end in ungapped_hsps(x, y, *places, WORD, HIT_WINDOW, cut["drop_ungapped"], cut["least_ungapped"]):
+                    score = from_seed(x, y, (q_start + q_end) // 2, (t_start + t_end) // 2, scoring.opening + scoring.extension, scoring.extension, cut["drop_gapped"])
+                    box = {"score": score, "q_start": q_start, "q_end": q_end, "t_start": t_start, "t_end": t_end}
+                    # Of stretches that overlap, the best scoring one stays.
+                    other = next((i for i, f in enumerate(found) if _overlap(box, f)), None)
+                    if other is None:
+                        found.append(box)
+                    elif found[other]["score"] < score:
+                        found[other] = box
+                if found:
+                    rows.append({"query_id": batch.column("query_id")[k].as_py(), "target_id": target_id, "query": query, "target": target, "boxes": found})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, kind)
+
+    return run
+
+
+def _aligned(scoring: Scoring, key: pa.DataType):
+    """Rows of pairs with stretches to rows of pairs with aligned parts."""
+    cut = scoring.cut_offs()
+    kind = pa.schema([("query_id", pa.int64()), ("target_id", key), ("hsps", pa.list_(pa.struct([("score", pa.int64()), *((c, pa.int32()) for c in ("q_start", "q_end", "t_start", "t_end", "identical")), ("aligned_query", pa.string()), ("aligned_target", pa.string())])))])
+
+    def one(query: str, target: str, box: dict) -> dict:
+        x, y = coded(query), coded(target)
+        score, q, q_end, t, t_end, steps = traced(x, y, (box["q_start"] + box["q_end"]) // 2, (box["t_start"] + box["t_end"]) // 2, scoring.opening + scoring.extension, scoring.extension, cut["drop_final"])
+        out, rows, same, i, j = {"score": score, "q_start": q, "q_end": q_end, "t_start": t, "t_end": t_end}, ([], []), 0, q, t
+        for step in steps:
+            rows[0].append(RESIDUES[x[i]] if step >= 0 else "-")
+            rows[1].append(RESIDUES[y[j]] if step <= 0 else "-")
+            same += step == 0 and x[i] == y[j]
+            i, j = i + (step >= 0), j + (step <= 0)
+        return out | {"identical": int(same), "aligned_query": "".join(rows[0]), "aligned_target": "".join(rows[1])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 50):
+                rows = batch.slice(at, 50).to_pylist()
+                yield pa.RecordBatch.from_pylist([{"query_id": r["query_id"], "target_id": r["target_id"], "hsps": [one(r["query"], r["target"], b) for b in r["boxes"]]} for r in rows], kind)
+
+    return run
+
+
+def first_rows(rows: DataFrame, group: str, order: list, most: int, key: str) -> DataFrame:
+    """The first `most` rows of each group: drawn in SALTS parts of a group by key first, so that no task reads all of one."""
+    parts = Window.partitionBy(group, F.pmod(F.xxhash64(key), F.lit(SALTS))).orderBy(*order)
+    few = rows.withColumn("_nr", F.row_number().over(parts)).filter(F.col("_nr") <= most)
+    return few.withColumn("_nr", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_nr") <= most).drop("_nr")
+
+
+def search(queries: DataFrame, *databanks: DataFrame, expect: float = 10.0, most: int = 0, scoring: Scoring = Scoring(), masked: bool = True, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, databank, target_id, nr, score, bits, expect, q_start, q_end, t_start, t_end, identical, aligned_query, aligned_target)
+    of the parts (HSPs) of all hits; all tables have id (long) and seq, places count from 1, databanks from 0.
+
+    Seeds come from joins of words; pairs with a second hit on some diagonal are joined with their sequences. A stretch that
+    reaches the ungapped cut-off is aligned from its middle, with a drop-off, for its score; of each query's targets the best `most` by that
+    (0: all) are aligned with the larger drop-off of the final pass. Parts that overlap a better one of the same target go;
+    expectations count all databanks as one. Nulls and sequences shorter than a word have no hits.
+
+    index: word_index of the databanks' union, if it is stored; its ids are (databank, id).
+    """
+    bank = None
+    for k, df in enumerate(databanks):
+        own = df.select(F.struct(F.lit(k).alias("databank"), F.col("id").alias("id")).alias("id"), "seq")
+        bank = own if bank is None else bank.unionByName(own)
+    there = bank.filter(F.length("seq") > 0)
+    stats = there.agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("letters")).first()
+    n, letters = stats["n"], stats["letters"] or 0
+    asked = queries.filter(F.length("seq") > 0).select(F.col("id").cast("long").alias("id"), (seg_mask("seq") if masked else F.col("seq")).alias("seq"))
+    size = queries.agg(F.sum(F.length("seq"))).first()[0] or 0
+    pairs = pair_seeds(seeds(asked, word_index(there) if index is None else index, size), HIT_WINDOW)
+    few = F.broadcast if size <= 4 << 20 else lambda df: df  # of queries' letters
+    joined = pairs.join(few(asked.select(F.col("id").alias("query_id"), F.col("seq").alias("query"))), "query_id").join(there.select(F.col("id").alias("target_id"), F.col("seq").alias("target")), "target_id")
+    key = pa.struct([("databank", pa.int32()), ("id", pa.int64())])
+    rows = joined.select("query_id", "target_id", "query", "target", "diagonals", "places").mapInArrow(_scored(scoring, key), f"query_id long, target_id struct<databank: int, id: long>, query string, target string, boxes array<{BOX}>")
+    if most:
+        rows = first_rows(rows.withColumn("_best", F.array_max("boxes.score")), "query_id", [F.desc("_best"), "target_id"], most, "target_id").drop("_best")
+    hits = rows.mapInArrow(_aligned(scoring, key), f"query_id long, target_id struct<databank: int, id: long>, hsps array<{HSP}>")
+    spaces = queries.select(F.col("id").alias("query_id"), search_space(F.length("seq"), F.lit(letters), F.lit(n), scoring).alias("room"))
+    hits = hits.join(few(spaces), "query_id").select("query_id", "target_id", merged_hits(F.col("hsps"), F.col("room"), expect, scoring).alias("hsps"))
+    out = hits.select("query_id", "target_id.*", F.posexplode("hsps").alias("nr", "h"))
+    return out.select("query_id", "databank", F.col("id").alias("target_id"), (F.col("nr") + 1).alias("nr"), "h.score", "h.bits", "h.expect", (F.col("h.q_start") + 1).alias("q_start"), "h.q_end", (F.col("h.t_start") + 1).alias("t_start"), "h.t_end", "h.identical", "h.aligned_query", "h.aligned_target")

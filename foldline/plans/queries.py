@@ -16,6 +16,7 @@ from foldline.operators.helices import helix_marks, turn_flags
 from foldline.operators.msa import progressive
 from foldline.operators.range_join import within
 from foldline.operators.search import search, seg_mask
+from foldline.operators.seeds import second_hits, seeds, word_index
 from foldline.operators.sheets import bridges, ladders, sheets, strands, strongest, surface
 from foldline.operators.store import get_or_create, updated
 from foldline.plans import output as O
@@ -137,10 +138,11 @@ def gap_counts(spark, d):
 
 
 LETTER_LIST = ", ".join(f"('{c}')" for c in A.RESIDUES)
+BLOSUM, PAM = (f"(select * from (values {A.score_values(text)}) as v(a, b, s))" for text in (A.BLOSUM62, A.PAM250))
 
 
-@query(f"""with {ITEMS}, {columns('items')}, w as (select pos, res, sum(1.0 / (1 + id % 7)) as w from cols group by 1, 2), l as (select * from (values {LETTER_LIST}) as v(a))
-select pos, a as res, round(sum(w * {A.score_case('a', 'w.res')}) / sum(w), 6) + 0.0 as score from w, l group by 1, 2""")
+@query(f"""with {ITEMS}, {columns('items')}, w as (select pos, res, sum(1.0 / (1 + id % 7)) as w from cols group by 1, 2)
+select pos, m.a as res, round(sum(w * s) / sum(w), 6) + 0.0 as score from w join {PAM} m on m.b = w.res group by 1, 2""")
 def weighted_column_score(spark, d):
     t = items(spark, d).withColumn("weight", 1.0 / (1 + F.col("id") % 7))
     return P.weighted_scores(t, "id", "seq", "weight").withColumn("pos", F.col("pos").cast("long"))
@@ -152,7 +154,8 @@ def pairwise_identity(spark, d):
 
 
 @query(f"""with {ITEMS}, {columns('items')}, d as (select a.id as a, b.id as b, 1 - avg(case when a.res = b.res then 1.0 else 0.0 end) as d from cols a join cols b using (pos) where a.id < b.id group by 1, 2),
-s as (select pos, sum(d * 1.5 * {A.score_case('x.res', 'y.res')} / sqrt(cast({A.score_case('x.res', 'x.res')} * {A.score_case('y.res', 'y.res')} as double))) as s, sum(d * 1.5) as t from cols x join cols y using (pos) join d on d.a = x.id and d.b = y.id where x.res not in ('B', 'Z', 'X') and y.res not in ('B', 'Z', 'X') group by 1)
+m as {BLOSUM}, sim as (select m.a, m.b, 1.5 * m.s / sqrt(cast(x.s * y.s as double)) as sim from m join m x on x.a = m.a and x.b = m.a join m y on y.a = m.b and y.b = m.b where m.a not in ('B', 'Z', 'X') and m.b not in ('B', 'Z', 'X')),
+s as (select pos, sum(d * sim) as s, sum(d * 1.5) as t from cols x join cols y using (pos) join d on d.a = x.id and d.b = y.id join sim on sim.a = x.res and sim.b = y.res group by 1)
 select pos, round(case when t > 0 then least(1.0, s / t) else 1.0 end, 5) as weight from s""")
 def conservation_weight(spark, d):
     return P.conservation(items(spark, d), "id", "seq").withColumn("pos", F.col("pos").cast("long"))
@@ -172,9 +175,8 @@ def kmer_seed_join(spark, d):
     return joined.groupBy("p_name", "id").agg(F.count("*").alias("seeds"), F.min("pos").cast("long").alias("first_pos"))
 
 
-@query(f"""with l as (select * from (values {LETTER_LIST}) as v(a)), q as (select distinct substring(p_name, 1, 2) as word from (select upper(p_name) as p_name from part) where regexp_matches(substring(p_name, 1, 2), '^[A-IK-NP-TV-Z]{{2}}$'))
-select word, x.a || y.a as neighbour, {A.score_case('substring(word, 1, 1)', 'x.a')} + {A.score_case('substring(word, 2, 1)', 'y.a')} as score from q, l x, l y
-where {A.score_case('substring(word, 1, 1)', 'x.a')} + {A.score_case('substring(word, 2, 1)', 'y.a')} >= 5""")
+@query(f"""with q as (select distinct substring(p_name, 1, 2) as word from (select upper(p_name) as p_name from part) where regexp_matches(substring(p_name, 1, 2), '^[A-IK-NP-TV-Z]{{2}}$')), m as {BLOSUM}
+select word, x.b || y.b as neighbour, x.s + y.s as score from q join m x on x.a = substring(word, 1, 1) join m y on y.a = substring(word, 2, 1) where x.s + y.s >= 5""")
 def kmer_neighbourhood(spark, d):
     """Two-letter words that score 5 or more against the first two letters of part names, by joins on letters."""
     q = table(spark, d, "part").select(F.upper("p_name").substr(1, 2).alias("word")).distinct().filter(F.col("word").rlike("^[A-IK-NP-TV-Z]{2}$"))
@@ -213,6 +215,29 @@ def databank_search(spark, d):
     return search(items(spark, d), items(spark, d)).withColumn("expect", F.format_string("%.3e", "expect"))
 
 
+@query()
+def document_search(spark, d):
+    """Items whose id is divisible by 100 searched in two databanks, all documents and all items; the best 500 targets of each."""
+    return search(items(spark, d).filter("id % 100 = 0"), documents(spark, d), items(spark, d), most=500).withColumn("expect", F.format_string("%.3e", "expect"))
+
+
+@query(f"""with {DOCS}, {ITEMS}, m as {BLOSUM},
+q as (select id as query_id, pos - 1 as q, substring(seq, pos, 3) as word from (select id, seq, unnest(generate_series(1, length(seq) - 2)) as pos from items where id % 100 = 0 and length(seq) >= 3)),
+w as (select distinct word from q),
+near as (select word, x.b || y.b || z.b as neighbour from w join m x on x.a = substring(word, 1, 1) join m y on y.a = substring(word, 2, 1) join m z on z.a = substring(word, 3, 1) where x.b <> 'X' and y.b <> 'X' and z.b <> 'X' and x.s + y.s + z.s >= 11),
+t as (select id as target_id, pos - 1 as t, substring(seq, pos, 3) as word from (select id, seq, unnest(generate_series(1, length(seq) - 2)) as pos from docs where length(seq) >= 3)),
+s as (select query_id, target_id, q, t.t as t from q join near using (word) join t on t.word = neighbour),
+hits as (select query_id, target_id, q - t as d, q, count(*) over (partition by query_id, target_id, q - t order by q range between 39 preceding and 4 preceding) as earlier from s)
+select query_id, target_id, count(*) as seeds, count(*) filter (where earlier > 0) as second_hits, count(distinct case when earlier > 0 then d end) as diagonals from hits group by 1, 2""")
+def word_seeds(spark, d):
+    """Neighbouring words of items in the index of all documents, and seeds with an earlier one near on their diagonal."""
+    queries = items(spark, d).filter("id % 100 = 0")
+    letters = queries.agg(F.sum(F.length("seq"))).first()[0] or 0
+    found = second_hits(seeds(queries, word_index(documents(spark, d)), letters))
+    diagonal = F.when(F.col("second"), F.col("q") - F.col("t"))
+    return found.groupBy("query_id", "target_id").agg(F.count("*").alias("seeds"), F.count_if("second").alias("second_hits"), F.count_distinct(diagonal).alias("diagonals"))
+
+
 @query()
 def progressive_alignment(spark, d):
     """Items of one remainder by 20 aligned to the first of them, closest first."""

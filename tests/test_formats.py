@@ -19,12 +19,28 @@ def frame(spark, lines, file="f"):
 
 
 def test_matrix_values(spark):
-    m = alphabet.MATRIX
-    assert all(m[a, b] == m[b, a] for a, b in m) and len(m) == 23 * 23
-    assert (m["W", "W"], m["A", "R"], m["B", "D"], m["B", "N"], m["Z", "C"], m["X", "A"], m["X", "X"], m["K", "B"]) == (11, -1, 4, 3, -3, 0, -1, 0)
-    assert alphabet.score("?", "W") == m["X", "W"]
-    got = spark.sql("select " + alphabet.score_case("'W'", "'Y'") + " as a, " + alphabet.score_case("'X'", "'X'") + " as b").first()
-    assert (got.a, got.b) == (2, -1)
+    """Whole published rows, the sum of each row, symmetry, and what a matrix file gives."""
+    head = "A R N D C Q E G H I L K M F P S T W Y V B Z X".split()
+    rows = {
+        "A": "4 -1 -2 -2 0 -1 -1 0 -2 -1 -1 -1 -1 -2 -1 1 0 -3 -2 0 -2 -1 0",
+        "G": "0 -2 0 -1 -3 -2 -2 6 -2 -4 -4 -2 -3 -3 -2 0 -2 -2 -3 -3 -1 -2 -1",
+        "W": "-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11 2 -3 -4 -3 -2",
+        "B": "-2 -1 3 4 -3 0 1 -1 0 -3 -4 0 -3 -3 -2 0 -1 -4 -3 -3 4 1 -1",
+        "Z": "-1 0 0 1 -3 3 4 -2 0 -3 -3 1 -1 -3 -1 0 -1 -3 -2 -2 1 4 -1",
+        "X": "0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2 0 0 -2 -1 -1 -1 -1 -1",
+    }
+    m, p = alphabet.MATRIX, alphabet.PAM250_SCORES
+    for scores in (m, p):
+        assert all(scores[a, b] == scores[b, a] for a, b in scores) and len(scores) == 23 * 23
+    assert all([m[a, b] for b in head] == [int(x) for x in row.split()] for a, row in rows.items())
+    # What the lines of the published tables add up to.
+    sums = dict(zip(head, "-19 -23 -16 -22 -39 -10 -13 -38 -18 -34 -33 -17 -18 -32 -37 -11 -16 -41 -22 -28 -21 -12 -23".split()))
+    assert {a: sum(m[a, b] for b in head) for a in head} == {a: int(n) for a, n in sums.items()}
+    assert (p["W", "W"], p["C", "C"], p["Y", "F"], p["W", "R"], p["B", "D"], p["Z", "Q"], p["X", "C"], p["V", "I"], p["L", "L"], p["G", "A"]) == (17, 12, 7, 2, 3, 3, -3, 4, 6, 1)
+    lines = ["# a comment", "   " + "  ".join(head), *(f"{a} {' '.join(f'{m[a, b]:2d}' for b in head)}" for a in head)]
+    assert {(r.a, r.b): r.score for r in alphabet.substitution_text(frame(spark, lines)).collect()} == m
+    assert {(r.a, r.b): r.score for r in alphabet.substitution(spark, p).collect()} == p
+    assert {(r.a, r.b): r.s for r in spark.sql(f"select * from (values {alphabet.score_values(alphabet.BLOSUM62)}) as v(a, b, s)").collect()} == m
 
 
 def test_length_adjustment_brute(spark):
@@ -60,53 +76,6 @@ def test_merged_hits_brute(spark):
     assert all(x.bits == bits(x.score) and x.expect == pytest.approx(1e6 / 2**x.bits) for x in got)
 
 
-def _slow_local(a, b):
-    """Best local score with affine gaps, a cell at a time."""
-    low, best = -(10**9), 0
-    h = {(i, j): 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
-    e, f = dict.fromkeys(h, low), dict.fromkeys(h, low)
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            e[i, j] = max(h[i - 1, j] - 12, e[i - 1, j] - 1)
-            f[i, j] = max(h[i, j - 1] - 12, f[i, j - 1] - 1)
-            h[i, j] = max(0, h[i - 1, j - 1] + alphabet.score(a[i - 1], b[j - 1]), e[i, j], f[i, j])
-            best = max(best, h[i, j])
-    return best
-
-
-def test_local_alignment_brute():
-    rng = random.Random(5)
-    letters = "ACDEFGHIKLMNPQRSTVWY"
-    for _ in range(30):
-        a = [rng.choice(letters) for _ in range(40)]
-        b = list(a)
-        for _ in range(rng.randrange(6)):
-            at = rng.randrange(len(b))
-            b[at : at + rng.randrange(5)] = [rng.choice(letters) for _ in range(rng.randrange(5))]
-        b = [rng.choice(letters) for _ in range(8)] + b
-        score, path = search.local(search.coded("".join(a)), search.coded("".join(b)))
-        assert score == _slow_local(a, b)
-        total, before = 0, None
-        for i, j in path:
-            kind = "m" if i is not None and j is not None else "q" if j is None else "t"
-            total += alphabet.score(a[i], b[j]) if kind == "m" else -1 if kind == before else -12
-            before = kind
-        assert total == score
-
-
-def test_seeds_brute():
-    rng = random.Random(6)
-    seqs = ["".join(rng.choice("ACDEFW") for _ in range(n)) for n in (30, 18, 3, 25)]
-    block = search.Block([(k, s, 1.0) for k, s in enumerate(seqs)])
-    t = search.coded("".join(rng.choice("ACDEFW") for _ in range(60)))
-    hits = set()
-    for k, s in enumerate(seqs):
-        c = search.coded(s)
-        hits |= {(k, q, p) for q in range(len(c) - 2) for p in range(len(t) - 2) if sum(search.SCORES[c[q + x], t[p + x]] for x in range(3)) >= search.WORD_SCORE}
-    want = {(k, q, p) for k, q, p in hits if any((k, q - x, p - x) in hits for x in range(search.WORD, search.HIT_WINDOW))}
-    assert set(block.seeds(t)) == want and len(want) > 5
-
-
 def test_superposition_brute(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(size=(20, 3))
