@@ -99,27 +99,39 @@ def extension(a: np.ndarray, b: np.ndarray, opening: int, extend: int, drop: int
     gap_b[0] = best - opening
     low = 0
     ways = [(0, np.where(np.arange(width) == 0, 0, 10).astype(np.int8))] if trace else []
+    steps = extend * np.arange(n + 1)
     for i in range(1, m):
-        alive = np.flatnonzero(cell >= best - drop)
-        if not len(alive):
+        alive = cell >= best - drop
+        first = int(alive.argmax())
+        if not alive[first]:
             break
-        start, stop = low + int(alive[0]), low + int(alive[-1]) + 1
-        high = min(n, stop + reach)
+        stop = low + len(alive) - int(alive[::-1].argmax())
+        start = low + first
+        size = min(n, stop + reach) - start
         # Pairs come from the cell before, on the diagonal; gaps in b from the same place.
-        many = min(stop + 1, high) - (start + 1)
-        pair = np.full(high - start, LOW)
-        pair[1 : 1 + many] = cell[start - low : start - low + many] + SCORES[a[i], b[start + 1 : start + 1 + many]]
-        down = np.full(high - start, LOW)
-        down[: stop - start] = gap_b[start - low : stop - low]
-        k = np.arange(high - start) * extend
-        lift = np.maximum.accumulate(pair + k)
-        right = np.full(high - start, LOW)
-        right[1:] = lift[:-1] - k[:-1] - opening
-        row = np.maximum(np.maximum(pair, down), right)
+        many = min(stop - start, size - 1)
+        pair = np.empty(size, np.int64)
+        pair[0] = LOW
+        pair[1 : 1 + many] = cell[first : first + many]
+        pair[1 : 1 + many] += SCORES[a[i]].take(b[start + 1 : start + 1 + many])
+        pair[1 + many :] = LOW
+        down = np.empty(size, np.int64)
+        down[: stop - start] = gap_b[first : stop - low]
+        down[stop - start :] = LOW
+        lift = pair + steps[:size]
+        np.maximum.accumulate(lift, out=lift)
+        right = np.empty(size, np.int64)
+        right[0] = LOW
+        right[1:] = lift[:-1]
+        right[1:] -= steps[: size - 1] + opening
+        row = np.maximum(pair, down)
+        np.maximum(row, right, out=row)
+        opened = pair - opening
+        longer = down - extend
         if trace:
             kind = np.where(pair >= row, 0, np.where(down >= row, 1, 2))
-            ways.append((start, (kind + 4 * (down - extend > pair - opening) + 8 * (right - extend > pair - opening)).astype(np.int8)))
-        gap_b = np.maximum(pair - opening, down - extend)
+            ways.append((start, (kind + 4 * (longer > opened) + 8 * (right - extend > opened)).astype(np.int8)))
+        gap_b = np.maximum(opened, longer)
         j = int(row.argmax())
         if row[j] > best:
             best, best_i, best_j = int(row[j]), i + 1, start + j + 1

@@ -118,8 +118,9 @@ def _scored(scoring: Scoring, key: pa.DataType):
                 query, target = batch.column("query")[k].as_py(), batch.column("target")[k].as_py()
                 x, y = coded(query), coded(target)
                 found: list[dict] = []
-                places = [batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("diagonals", "places")]
-                for q_start, q_end, t_start, t_end in ungapped_hsps(x, y, *places, WORD, HIT_WINDOW, cut["drop_ungapped"], cut["least_ungapped"]):
+                diagonals, places, second = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("diagonals", "places", "second"))
+                some = np.isin(diagonals, diagonals[second])  # those with a second hit
+                for q_start, q_end, t_start, t_end in ungapped_hsps(x, y, diagonals[some], places[some], WORD, HIT_WINDOW, cut["drop_ungapped"], cut["least_ungapped"]):
                     score = from_seed(x, y, (q_start + q_end) // 2, (t_start + t_end) // 2, scoring.opening + scoring.extension, scoring.extension, cut["drop_gapped"])
                     box = {"score": score, "q_start": q_start, "q_end": q_end, "t_start": t_start, "t_end": t_end}
                     # Of stretches that overlap, the best scoring one stays.
@@ -192,9 +193,13 @@ def search(queries: DataFrame, *databanks: DataFrame, expect: float = 10.0, most
     few = F.broadcast if size <= 4 << 20 else lambda df: df  # of queries' letters
     joined = pairs.join(few(asked.select(F.col("id").alias("query_id"), F.col("seq").alias("query"))), "query_id").join(there.select(F.col("id").alias("target_id"), F.col("seq").alias("target")), "target_id")
     key = pa.struct([("databank", pa.int32()), ("id", pa.int64())])
-    rows = joined.select("query_id", "target_id", "query", "target", "diagonals", "places").mapInArrow(_scored(scoring, key), f"query_id long, target_id struct<databank: int, id: long>, query string, target string, boxes array<{BOX}>")
+    # Aligning a pair takes far longer than moving it.
+    spark = queries.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = joined.select("query_id", "target_id", "query", "target", "diagonals", "places", "second").repartition(tasks, "query_id", "target_id")
+    rows = dealt.mapInArrow(_scored(scoring, key), f"query_id long, target_id struct<databank: int, id: long>, query string, target string, boxes array<{BOX}>")
     if most:
-        rows = first_rows(rows.withColumn("_best", F.array_max("boxes.score")), "query_id", [F.desc("_best"), "target_id"], most, "target_id").drop("_best")
+        rows = first_rows(rows.withColumn("_best", F.array_max("boxes.score")), "query_id", [F.desc("_best"), "target_id"], most, "target_id").drop("_best").repartition(tasks, "query_id", "target_id")
     hits = rows.mapInArrow(_aligned(scoring, key), f"query_id long, target_id struct<databank: int, id: long>, hsps array<{HSP}>")
     spaces = queries.select(F.col("id").alias("query_id"), search_space(F.length("seq"), F.lit(letters), F.lit(n), scoring).alias("room"))
     hits = hits.join(few(spaces), "query_id").select("query_id", "target_id", merged_hits(F.col("hsps"), F.col("room"), expect, scoring).alias("hsps"))

@@ -14,11 +14,21 @@ SALTS = 8
 BROADCAST_WORDS = 1_000_000
 
 
+def words_of(sequences: DataFrame, *names: str) -> DataFrame:
+    """The columns named, place (from 0) and word of all words of the sequences in seq; in one pass over the letters of each."""
+    letters = sequences.filter(F.length("seq") >= WORD).select(*names, F.split("seq", "").alias("_c"), (F.length("seq") - WORD).alias("_last"))
+    word = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda k: F.concat(*[F.get("_c", k + x) for x in range(WORD)]))
+    return letters.select(*names, F.posexplode(word).alias("place", "word"))
+
+
 def word_index(sequences: DataFrame) -> DataFrame:
-    """(word, id, place) of all words of sequences (id, seq), places from 0; words with X aren't indexed, since no neighbour has one."""
-    places = F.explode(F.sequence(F.lit(0), F.length("seq") - WORD))
-    words = sequences.filter(F.length("seq") >= WORD).select("id", "seq", places.alias("place"))
-    return words.select(F.expr(f"substring(seq, place + 1, {WORD})").alias("word"), "id", "place").filter(~F.contains("word", F.lit("X")))
+    """(word, id, place) of all words of sequences (id, seq); words with X aren't indexed, since no neighbour has one.
+
+    A row becomes as many as it has letters: sequences in fewer partitions than there are cores are dealt out first."""
+    cores = sequences.sparkSession.sparkContext.defaultParallelism
+    if sequences.rdd.getNumPartitions() < cores:
+        sequences = sequences.repartition(4 * cores)
+    return words_of(sequences, "id").select("word", "id", "place").filter(~F.contains("word", F.lit("X")))
 
 
 def write_word_index(sequences: DataFrame, name: str, buckets: int = 64) -> DataFrame:
@@ -31,10 +41,8 @@ def neighbours(words: DataFrame, least: int = WORD_SCORE, scores: dict = MATRIX)
     """(word, neighbour) of the distinct words in a column word and all words of the 22 residues that score enough against them.
 
     Letter by letter, with the most that the letters after it can add: there are under 24^3 distinct words."""
-    spark = words.sparkSession
     out = words.select("word").distinct().withColumn("neighbour", F.lit("")).withColumn("total", F.lit(0))
-    pairs = substitution(spark, scores)
-    best = pairs.groupBy("a").agg(F.max("score").alias("best"))
+    pairs = substitution(words.sparkSession, scores)
     for k in range(WORD):
         letter = F.col("word").substr(k + 1, 1)
         cells = F.broadcast(pairs.filter("b <> 'X'").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "score"))
@@ -49,8 +57,7 @@ def neighbours(words: DataFrame, least: int = WORD_SCORE, scores: dict = MATRIX)
 
 def query_words(queries: DataFrame, least: int = WORD_SCORE) -> DataFrame:
     """(word, query_id, q) of everything that a word of a sequence to be searched may hit; q is the place in the query, from 0."""
-    places = F.explode(F.sequence(F.lit(0), F.length("seq") - WORD))
-    words = queries.filter(F.length("seq") >= WORD).select(F.col("id").alias("query_id"), "seq", places.alias("q")).select("query_id", "q", F.expr(f"substring(seq, q + 1, {WORD})").alias("own"))
+    words = words_of(queries, "id").select(F.col("id").alias("query_id"), F.col("place").alias("q"), F.col("word").alias("own"))
     near = neighbours(words.select(F.col("own").alias("word")), least).withColumnRenamed("word", "own")
     return words.join(near, "own").select(F.col("neighbour").alias("word"), "query_id", "q")
 
@@ -75,16 +82,16 @@ def seeds(queries: DataFrame, index: DataFrame, letters: int | None = None, leas
 def second_hits(found: DataFrame, window: int = HIT_WINDOW) -> DataFrame:
     """Adds `second` to seeds: whether an earlier one is on its diagonal, not overlapping it and nearer than the window.
 
-    Rows are dealt by query and target, which serves what comes after as well."""
-    diagonal = Window.partitionBy("query_id", "target_id", F.col("q") - F.col("t")).orderBy("q").rangeBetween(1 - window, -WORD - 1)
-    return found.repartition("query_id", "target_id").withColumn("second", F.count("*").over(diagonal) > 0)
+    Diagonals lie one after another on one axis, further apart than the window reaches, so that a window's partition is a pair and
+    not a diagonal, of which there are as many as letters. Rows are dealt by pair, which serves what comes after as well."""
+    axis = F.shiftleft((F.col("q") - F.col("t")).cast("long"), 32) + F.col("q")
+    pair = Window.partitionBy("query_id", "target_id").orderBy(axis).rangeBetween(1 - window, -WORD - 1)
+    return found.withColumn("second", F.count("*").over(pair) > 0)
 
 
 def pair_seeds(found: DataFrame, window: int = HIT_WINDOW) -> DataFrame:
-    """(query_id, target_id, diagonals, places) of the seeds on diagonals that have a second hit, sorted by diagonal (q - t) and place in the
-    query: a row a pair, with four bytes a seed and list at most as long as the two sequences allow."""
-    d = (F.col("q") - F.col("t")).alias("d")
-    any_second = F.max("second").over(Window.partitionBy("query_id", "target_id", F.col("q") - F.col("t")))
-    kept = second_hits(found, window).withColumn("_any", any_second).filter("_any")
-    rows = kept.groupBy("query_id", "target_id").agg(F.array_sort(F.collect_list(F.struct(d, "q"))).alias("s"))
-    return rows.select("query_id", "target_id", F.col("s.d").alias("diagonals"), F.col("s.q").alias("places"))
+    """(query_id, target_id, diagonals, places, second) of the seeds of pairs that have a second hit, sorted by diagonal (q - t) and place in the
+    query: a row a pair, with nine bytes a seed and lists at most as long as the two sequences allow."""
+    seed = F.struct((F.col("q") - F.col("t")).alias("d"), "q", "second")
+    rows = second_hits(found, window).groupBy("query_id", "target_id").agg(F.sort_array(F.collect_list(seed)).alias("s"), F.max("second").alias("_any")).filter("_any")
+    return rows.select("query_id", "target_id", F.col("s.d").alias("diagonals"), F.col("s.q").alias("places"), F.col("s.second").alias("second"))

@@ -155,12 +155,12 @@ def test_seeds_by_hand(spark):
         assert Counter((r.query_id, r.target_id, r.q, r.t) for r in found) == Counter(want) and len(want) > 100
         second = {(k, t, i, p) for k, t, i, p in want if any((k, t, i - x, p - x) in want for x in range(4, 40))}
         assert {(r.query_id, r.target_id, r.q, r.t) for r in found if r.second} == second
-    lists = {(r.query_id, r.target_id): list(zip(r.diagonals, r.places)) for r in seeds.pair_seeds(seeds.seeds(q, seeds.word_index(b), 80)).collect()}
-    alive = {(k, t, i - p) for k, t, i, p in second}
+    lists = {(r.query_id, r.target_id): list(zip(r.diagonals, r.places, r.second)) for r in seeds.pair_seeds(seeds.seeds(q, seeds.word_index(b), 80)).collect()}
+    pairs = {(k, t) for k, t, _, _ in second}
     expected = defaultdict(list)
     for k, t, i, p in sorted(want, key=lambda s: (s[2] - s[3], s[2])):
-        if (k, t, i - p) in alive:
-            expected[k, t].append((i - p, i))
+        if (k, t) in pairs:
+            expected[k, t].append((i - p, i, (k, t, i, p) in second))
     assert lists == dict(expected)
 
 
