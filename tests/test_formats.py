@@ -99,7 +99,7 @@ def test_gap_costs_agree(spark):
     columns = [("q", k + 1, "H" if k < 4 else " ", int(rows[0][k] == "."), sum(r[k] == "." for r in rows)) for k in range(len(rows[0]))]
     df = spark.createDataFrame(columns, "q string, pos int, ss string, inserted int, gaps int")
     got = msa.column_gap_costs(df, "q", F.lit(3)).orderBy("pos").collect()
-    opening, extension = msa.gap_costs_of(rows, "HHHH" + " " * (len(rows[0]) - 4))
+    opening, extension = msa.gap_costs_of("HHHH" + " " * (len(rows[0]) - 4), np.array([int(c == ".") for c in rows[0]]), np.array([sum(r[k] == "." for r in rows) for k in range(len(rows[0]))]), 3)
     assert [r.open_cost for r in got] == pytest.approx(list(opening)) and [r.extend_cost for r in got] == pytest.approx(list(extension))
     assert len({round(x, 3) for x in opening}) > 5
 
