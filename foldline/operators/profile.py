@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.functions.alphabet import PAM250_SCORES, RESIDUES, is_gap, substitution
+from foldline.functions.alphabet import GAPS, PAM250_SCORES, RESIDUES, substitution
 
 PIECE = 2_000_000  # letters counted at once
 FULL = 1.5  # similarity of equal residues
@@ -75,11 +75,67 @@ def weighted_scores(aligned: DataFrame, id_col: str, seq_col: str, weight_col: s
     return pairs.groupBy("pos", F.col("a").alias("res")).agg((F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 6) + 0.0).alias("score"))
 
 
+TILE, STRIP = 256, 512  # rows of a block, columns compared at once
+GAP = len(RESIDUES)
+
+
+def _tiles(aligned: DataFrame, group: str | None, id_col: str, seq_col: str) -> DataFrame:
+    """(g, block_a, ids_a, rows_a, block_b, ids_b, rows_b): each pair of blocks of a group's rows once, a block also with itself.
+
+    Rows are dealt to blocks of about TILE by hash, so a task holds two blocks, whatever the number of rows; n rows are n / TILE blocks, which
+    are moved n / TILE times, in place of a row for each pair and column."""
+    g = F.col(group) if group else F.lit(0)
+    rows = aligned.filter(F.length(seq_col) > 0).select(g.alias("g"), F.col(id_col).alias("id"), F.col(seq_col).alias("seq"))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / TILE).alias("blocks")).select(F.col("g").alias("_g"), "blocks")
+    dealt = rows.join(sizes, F.col("g").eqNullSafe(F.col("_g"))).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    blocks = dealt.groupBy("g", "block").agg(F.collect_list("id").alias("ids"), F.collect_list("seq").alias("rows"))
+    a, b = (blocks.select(F.col("g").alias(f"g_{x}"), F.col("block").alias(f"block_{x}"), F.col("ids").alias(f"ids_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
+    pairs = a.join(b, F.col("g_a").eqNullSafe(F.col("g_b")) & (F.col("block_a") <= F.col("block_b")))
+    return pairs.select(F.col("g_a").alias("g"), "block_a", "ids_a", "rows_a", "block_b", "ids_b", "rows_b").repartition(max(8, 4 * aligned.sparkSession.sparkContext.defaultParallelism), "g", "block_a", "block_b")
+
+
+def _coded_rows(rows: list[str], width: int) -> np.ndarray:
+    number = np.full(256, RESIDUES.index("X"), np.int64)
+    number[[ord(c) for c in RESIDUES]] = np.arange(len(RESIDUES))
+    number[[ord(c) for c in GAPS]] = GAP
+    out = np.full((len(rows), width), GAP)
+    for k, row in enumerate(rows):
+        out[k, : len(row)] = number[np.frombuffer(row.encode("latin-1", "replace"), np.uint8)]
+    return out
+
+
+def _strips(a: np.ndarray, b: np.ndarray):
+    """(first column, letters of a and of b as 0 and 1 by row, column and residue) in strips."""
+    kinds = np.arange(GAP)
+    for at in range(0, a.shape[1], STRIP):
+        yield at, *((x[:, at : at + STRIP, None] == kinds).astype(np.float32) for x in (a, b))
+
+
+def _agreements(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many columns two rows have letters in, and how many equal ones, by row of a and of b."""
+    both, same = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+    for _, x, y in _strips(a, b):
+        both += x.sum(2) @ y.sum(2).T
+        same += x.reshape(len(a), -1) @ y.reshape(len(b), -1).T
+    return both, same
+
+
 def pair_identity(aligned: DataFrame, id_col: str, seq_col: str) -> DataFrame:
-    """(a, b, compared, identity) of all pairs a < b; for the bounded number of rows of one alignment."""
-    c = columns_of(aligned, id_col, seq_col)
-    a, b = c.select(F.col(id_col).alias("a"), "pos", F.col("res").alias("ra")), c.select(F.col(id_col).alias("b"), "pos", F.col("res").alias("rb"))
-    return a.join(b, "pos").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("compared"), F.round(F.avg((F.col("ra") == F.col("rb")).cast("double")), 6).alias("identity"))
+    """(a, b, compared, identity) of all pairs a < b of rows that have letters in a common column; by tiles of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in (x for k in range(len(batch)) for x in batch.slice(k, 1).to_pylist()):
+                width = max(map(len, (*r["rows_a"], *r["rows_b"])))
+                both, same = _agreements(_coded_rows(r["rows_a"], width), _coded_rows(r["rows_b"], width))
+                x, y = np.array(r["ids_a"]), np.array(r["ids_b"])
+                ok = (both > 0) & ((x[:, None] < y[None, :]) if r["block_a"] == r["block_b"] else (x[:, None] != y[None, :]))
+                i, j = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j])), pa.array(both[i, j].astype(np.int64)), pa.array(same[i, j] / both[i, j])], ["a", "b", "compared", "identity"])
+
+    kind = aligned.schema[id_col].dataType.simpleString()
+    rows = _tiles(aligned, None, id_col, seq_col).mapInArrow(run, f"a {kind}, b {kind}, compared long, identity double")
+    return rows.withColumn("identity", F.round("identity", 6))
 
 
 def similarity(spark: SparkSession) -> DataFrame:
@@ -90,15 +146,47 @@ def similarity(spark: SparkSession) -> DataFrame:
     return s.join(own.select("a", F.col("score").alias("sa")), "a").join(own.select("b", F.col("score").alias("sb")), "b").select("a", "b", (FULL * F.col("score") / F.sqrt(F.col("sa") * F.col("sb"))).alias("score"))
 
 
-def conservation(aligned: DataFrame, id_col: str, seq_col: str, scores: DataFrame | None = None) -> DataFrame:
-    """(pos, weight): least(1, sum of d * similarity over sum of d * FULL) over pairs that have a similarity there, d their distance; 1 where undefined.
+def conservation(aligned: DataFrame, id_col: str, seq_col: str, scores: DataFrame | None = None, group: str | None = None) -> DataFrame:
+    """(pos, weight), with a group's column first if there are groups: least(1, sum of d * similarity over sum of d * FULL) over pairs that have
+    a similarity there, d their distance; 1 where undefined.
+
+    Gaps are compared with nothing. Tiles of rows give sums by column, which are added up; a column of n rows is n^2 pairs, but no row of any table."""
+    table = np.zeros((GAP, GAP), np.float32)
+    known = np.zeros((GAP, GAP), np.float32)
+    for a, b, s in (similarity(aligned.sparkSession) if scores is None else scores).collect():  # under 600 rows
+        table[RESIDUES.index(a), RESIDUES.index(b)], known[RESIDUES.index(a), RESIDUES.index(b)] = s, 1
 
-    Gaps are compared with nothing."""
-    scores = similarity(aligned.sparkSession) if scores is None else scores
-    c = columns_of(aligned, id_col, seq_col).filter(~is_gap(F.col("res")))
-    a, b = c.select(F.col(id_col).alias("a"), "pos", F.col("res").alias("ra")), c.select(F.col(id_col).alias("b"), "pos", F.col("res").alias("rb"))
-    both = a.join(b, "pos").filter("a < b")
-    d = both.groupBy("a", "b").agg((1 - F.avg((F.col("ra") == F.col("rb")).cast("double"))).alias("d"))
-    scored = both.join(d, ["a", "b"]).join(F.broadcast(scores.toDF("ra", "rb", "sim")), ["ra", "rb"])
-    sums = scored.groupBy("pos").agg(F.sum(F.col("d") * F.col("sim")).alias("s"), F.sum(F.col("d") * FULL).alias("t"))
-    return sums.select("pos", F.round(F.when(F.col("t") > 0, F.least(F.lit(1.0), F.col("s") / F.col("t"))).otherwise(1.0), 5).alias("weight"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                r = batch.slice(k, 1).to_pylist()[0]
+                width = max(map(len, (*r["rows_a"], *r["rows_b"])))
+                a, b = _coded_rows(r["rows_a"], width), _coded_rows(r["rows_b"], width)
+                both, same = _agreements(a, b)
+                d = np.where(both > 0, 1 - same / np.maximum(both, 1), 0).astype(np.float32)
+                if r["block_a"] == r["block_b"]:
+                    d = np.triu(d, 1)
+                s, t = np.zeros(width), np.zeros(width)
+                for at, x, y in _strips(a, b):
+                    near = (d @ y.reshape(len(b), -1)).reshape(len(a), -1, GAP)
+                    size = x.shape[1]
+                    # For each column: how much distance is between each two letters.
+                    between = np.einsum("ikc,ike->kce", x, near, optimize=True)
+                    s[at : at + size], t[at : at + size] = (between * table).sum((1, 2)), (between * known).sum((1, 2))
+                    keep = np.flatnonzero(_met(x, None if r["block_a"] == r["block_b"] else y, known))
+                    yield pa.RecordBatch.from_arrays([pa.array([r["g"]] * len(keep), batch.schema.field("g").type), pa.array(keep + at + 1), pa.array(s[keep + at]), pa.array(t[keep + at])], ["g", "pos", "s", "t"])
+
+    tiles = _tiles(aligned, group, id_col, seq_col)
+    sums = tiles.mapInArrow(run, f"g {tiles.schema['g'].dataType.simpleString()}, pos long, s double, t double").groupBy("g", "pos").agg(F.sum("s").alias("s"), (F.sum("t") * FULL).alias("t"))
+    weight = F.round(F.when(F.col("t") > 0, F.least(F.lit(1.0), F.col("s") / F.col("t"))).otherwise(1.0), 5).alias("weight")
+    return sums.select(F.col("g").alias(group), "pos", weight) if group else sums.select("pos", weight)
+
+
+def _met(x: np.ndarray, y: np.ndarray | None, known: np.ndarray) -> np.ndarray:
+    """By column, whether a row of x and one of y (None: another one of x) have letters with a similarity there."""
+    n = x.sum(0)
+    if y is None:
+        pairs = n[:, :, None] * n[:, None, :] - np.eye(GAP, dtype=np.float32)[None] * n[:, :, None]
+    else:
+        pairs = n[:, :, None] * y.sum(0)[:, None, :]
+    return (pairs * known).sum((1, 2)) > 0

@@ -139,6 +139,34 @@ def test_conservation_invariants(spark):
     assert p[1].entropy == 0 and p[3].nocc == 3 and p[3].entropy == pytest.approx(1.098612)
 
 
+def test_tiles_brute(spark, monkeypatch):
+    """Many small tiles and strips, gaps, groups and letters without similarity, against loops over all pairs."""
+    rng = random.Random(12)
+    monkeypatch.setattr(profile, "TILE", 4)
+    monkeypatch.setattr(profile, "STRIP", 3)
+    rows = [(g, k, "".join(rng.choice("ACDWXB.-") for _ in range(rng.choice((7, 10))))) for g in ("p", None) for k in range(21)] + [("p", 50, ""), ("q", 1, "AC")]
+    df = spark.createDataFrame(rows, "g string, id long, seq string")
+    sim = {(r.a, r.b): r.score for r in profile.similarity(spark).collect()}
+    pairs, s, t = {}, {}, {}
+    for g in ("p", None):
+        own = [(k, r) for h, k, r in rows if h == g and r]
+        for x, (i, a) in enumerate(own):
+            for j, b in own[x + 1 :]:
+                both = [(c, d) for c, d in zip(a, b) if c not in ".-" and d not in ".-"]
+                if both:
+                    pairs[g, i, j] = (len(both), sum(c == d for c, d in both) / len(both))
+                for p, (c, d) in enumerate(zip(a, b)):
+                    if (c, d) in sim:
+                        far = 1 - pairs[g, i, j][1]
+                        s[g, p + 1] = s.get((g, p + 1), 0) + far * sim[c, d]
+                        t[g, p + 1] = t.get((g, p + 1), 0) + far * 1.5
+    got = {(r.g, r.pos): r.weight for r in profile.conservation(df, "id", "seq", group="g").collect()}
+    assert got.keys() == s.keys() and all(got[k] == pytest.approx(min(1.0, s[k] / t[k]) if t[k] > 0 else 1.0, abs=2e-5) for k in s)
+    found = {(r.a, r.b): (r.compared, r.identity) for r in profile.pair_identity(df.filter("g = 'p'"), "id", "seq").collect()}
+    want = {(i, j): v for (g, i, j), v in pairs.items() if g == "p"}
+    assert found.keys() == want.keys() and all(found[k][0] == want[k][0] and found[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
+
+
 def test_helix_of_bonds(spark):
     rows = [("a", i, False, i < 6, False, False) for i in range(12)]
     df = spark.createDataFrame(rows, "chain string, ord int, bond3 boolean, bond4 boolean, bond5 boolean, bend boolean")
