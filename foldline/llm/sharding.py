@@ -10,10 +10,11 @@ A version comes about by one small file, v<number>, made without overwriting, th
 which was written before. Whoever finds the number taken starts again from the newer version. A writer that dies before
 that leaves only files that no version names. One that dies while writing those few bytes leaves a file without a whole line:
 no reader counts it, and once it is older than the grace time the next writer moves it away (so that a late
-writer's bytes are lost) and takes the number.
+writer's bytes are lost) and takes the number. That a file is made without overwriting is up to the file system: HDFS assures
+it; Hadoop's local file system and most object stores look first and write then, so that there only one writer may commit at a time.
 
-Expiry deletes runs that an earlier version lists and the last two don't, and those earlier manifests; not
-before the grace time, so that readers can finish. Runs that no version ever listed may be another writer's: they go after ORPHAN_S only.
+Expiry deletes runs that an earlier version lists and the last two don't, and those earlier manifests; not before the grace time has
+passed since a version was superseded, so that whoever began to read it while it was the newest can finish. Runs that no version ever listed may be another writer's: they go after ORPHAN_S only.
 
 Defined cases: nulls in any column and repeated rows are kept as they are; an empty batch adds a
 version without shards; columns of any name may be stored except arrival, run and tier, which are
@@ -200,7 +201,8 @@ class ShardStore:
         """Deletes earlier versions than the last two and their runs, and runs that never became part of one for ORPHAN_S."""
         versions = self._versions()
         whole = [v for v in versions if self._named(v)]
-        old = [v for v in whole[2:] if self._age(self._path(f"{self.path}/manifest/v{v:012d}")) >= self.grace_s]
+        # A version's time runs from the commit of the one after it.
+        old = [v for later, v in zip(whole[1:], whole[2:]) if self._age(self._path(f"{self.path}/manifest/v{later:012d}")) >= self.grace_s]
         runs = {v: {r["run"] for r in self.manifest(v).select("run").distinct().collect()} for v in whole}
         kept = {run for v in whole if v not in old for run in runs[v]}
         for run in {run for v in old for run in runs[v]} - kept:

@@ -41,6 +41,27 @@ def test_store_keeps_rows_and_merges(spark, tmp_path):
         sharding.ShardStore(spark, str(tmp_path / "t"), spark.createDataFrame([], "run int").schema)
 
 
+def test_readers_of_a_superseded_version_can_finish(spark, tmp_path):
+    import time
+
+    df = spark.createDataFrame([(i, "x" * 50, i, "t") for i in range(120)], "doc_id long, text string, path int, bytes string")
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), df.schema, target_bytes=1 << 14, grace_s=4.0)
+    first = store.append(df, F.pmod("doc_id", F.lit(8)))
+    time.sleep(4.5)  # the version is older than the grace time, but still the newest
+    reader = store.read(first)
+    store.append(df.limit(0), F.lit(0))
+    last = store.compact()
+    assert last == first + 2
+    store.expire()
+    assert reader.count() == 120 and {r["doc_id"] for r in reader.collect()} == set(range(120))
+    time.sleep(4.5)
+    store.append(df, F.lit(0))
+    store.expire()
+    assert first not in store._versions() and store.read().count() == 240 and store.read(last).count() == 120
+    with pytest.raises(Exception):
+        reader.collect()
+
+
 def test_store_survives_dead_and_concurrent_writers(spark, tmp_path):
     df = spark.createDataFrame([(i, "x" * 500) for i in range(300)], "doc_id long, text string")
     store = sharding.ShardStore(spark, str(tmp_path / "a b"), df.schema, target_bytes=1 << 14, grace_s=1.0)
