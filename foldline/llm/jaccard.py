@@ -8,6 +8,11 @@ unless a set has hardly anything else. Which shingles are common is counted over
 (the counts of less than LEAST in BATCH shingles are left out); the order decides about the
 work alone, never about what is found: any order that all sets share gives the same links.
 
+Of two linked sets the one that isn't larger, x, shares at least ceil(2 t / (1 + t) |x|) shingles with the other, so the shared
+key is among its first |x| - ceil(2 t / (1 + t) |x|) + 1, its short keys. A key that is nobody's short key joins nobody, nor
+does one join a set with smaller ones of which it is no short key. Texts of one template that differ too much to link thus share no block:
+what makes them differ are rare shingles, which take up their short keys.
+
 Sets that share a key form a block, cut where neighbours in size are too far apart to link. Each
 set has a sketch: the parity of the number of its shingles in each of some bits. Two sets differ in
 at least as many shingles as their sketches differ in bits, so pairs whose sketches differ
@@ -137,11 +142,15 @@ def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefixes:
-    """The keys of a set: its first shingles in an order that has the common ones last."""
+    """The keys of a set: its first shingles in an order that has the common ones last. Its short keys are the first ones of these."""
 
     def __init__(self, num: int, den: int, common: np.ndarray, rank: np.ndarray):
         self.num, self.den, self.common, self.rank = num, den, common, rank
 
+    def short(self, n: int) -> int:
+        """How many keys of a set of n shingles are short ones."""
+        return n - -(-2 * self.num * n // (self.den + self.num)) + 1
+
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         n = len(shingles)
         if self.den * n < self.num * (n + 1):  # links with equal sets only
@@ -183,7 +192,7 @@ class Sketches:
 
 
 def signatures(num: int, den: int, k: int, common: tuple[np.ndarray, np.ndarray], spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Turns (node, text) into (node, n, sketch, keys) of the sets that have keys."""
+    """Turns (node, text) into (node, n, sketch, keys, short) of the sets that have keys; the first `short` of these are short ones."""
     ranked = spark.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +208,9 @@ def signatures(num: int, den: int, k: int, common: tuple[np.ndarray, np.ndarray]
                     nodes, sizes, sketches, keys = zip(*rows, strict=True)
                     ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists], ["node", "n", "sketch", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists, pa.array([keys_of.short(n) for n in sizes], pa.int32())], ["node", "n", "sketch", "keys", "short"])
 
-    return lambda df: df.mapInArrow(run, "node long, n long, sketch binary, keys array<long>")
+    return lambda df: df.mapInArrow(run, "node long, n long, sketch binary, keys array<long>, short int")
 
 
 def shingle_sets(k: int) -> Callable[[DataFrame], DataFrame]:
@@ -318,8 +327,11 @@ def _chunk(n_col: str, id_col: str):
 
 
 def blocks_of(keyed: DataFrame, num: int, den: int) -> DataFrame:
-    """(block, node, size): the nodes that share a key and that other nodes of like size share it with."""
-    rows = keyed.select("node", "n", F.explode("keys").alias("key")).repartition("key")
+    """(block, node, size): the nodes that share a key and that other nodes of like size share it with, if it is a short key of the smaller ones."""
+    rows = keyed.select("node", "n", "short", F.posexplode("keys").alias("at", "key")).repartition("key")
+    own = F.col("at") < F.col("short")
+    upwards = Window.partitionBy("key").orderBy("n").rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("smaller", F.max(F.when(own, F.col("n"))).over(upwards)).filter(den * F.col("smaller") >= num * F.col("n")).select("node", "n", "key")
     by_size = Window.partitionBy("key").orderBy("n", "node")
     before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
     rows = rows.select("key", "n", "node", before.alias("before"), after.alias("after"), F.lag("node").over(by_size).alias("last"))

@@ -22,6 +22,31 @@ def plain(rng, n):
     return [f"the{rng.randrange(9)}" if rng.random() < 0.33 else f"w{rng.randrange(3000)}" for _ in range(n)]
 
 
+def test_templates_that_do_not_link_share_no_block(spark):
+    """24 equal words and two own ones: any two texts have a similarity of about 0.7, below 0.8. And the same with texts that do link."""
+    template = [f"t{i}" for i in range(24)]
+
+    def texts(n, own):
+        out = []
+        for k in range(n):
+            words = list(template)
+            for j in range(own):
+                words.insert(12, f"own{k}x{j}") if own == 2 else words.append(f"own{k}")
+            out.append((k, " ".join(words)))
+        return spark.createDataFrame(out, "doc_id long, text string")
+
+    def keyed(df):
+        common = jaccard.common_shingles(jaccard.outlines(df, 5).filter("times is not null").select("shingle", "times"))
+        return jaccard.signatures(8, 10, 5, common, spark)(df.select(F.col("doc_id").alias("node"), "text"))
+
+    far, near = texts(6000, 2), texts(500, 1)
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (r.text.split() for r in far.limit(2).collect()))
+    assert 0.5 < len(a & b) / len(a | b) < 0.8
+    assert jaccard.blocks_of(keyed(far), 8, 10).count() == 0
+    assert jaccard.jaccard_components(far, 5, 8, 10).filter("doc_id <> component_id").count() == 0
+    assert {r.component_id for r in jaccard.jaccard_components(near, 5, 8, 10).collect()} == {0}
+
+
 def test_store_keeps_rows_and_merges(spark, tmp_path):
     schema = "doc_id long, text string, path string"
     df = spark.createDataFrame([(i, None if i % 7 == 0 else f"t{i % 5}", "p") for i in range(200)] + [(None, None, None), (1, "t1", "p")], schema)
