@@ -127,7 +127,9 @@ def legacy(proteins: DataFrame, residues: DataFrame, hits: DataFrame, cells: Dat
     n = ranked.groupBy("query_id").agg(F.count("*").alias("n_hits"))
     p = proteins.join(n, "query_id", "left").na.fill(0, ["n_hits"])
     used = F.when(F.size("used") < F.col("n_chain"), F.concat(F.lit("KCHAIN     "), _number(F.size("used"), 4), F.lit(" chain(s) used here ; chains(s) : "), F.array_join("used", ",")))
-    head = F.filter(F.array(F.concat(F.lit("PDBID      "), "pdb_id"), F.col("description"), F.concat(F.lit("SEQLENGTH "), _number(F.col("seq_length"), 5)), F.concat(F.lit("NCHAIN     "), _number(F.col("n_chain"), 4), F.lit(" chain(s) in "), "pdb_id", F.lit(" data set")), used, F.concat(F.lit("NALIGN     "), _number(F.col("n_hits"), 4)), F.lit("## PROTEINS : identifier and alignment statistics"), F.lit("  NR.    ID         STRID   %IDE %WSIM IFIR ILAS JFIR JLAS LALI NGAP LGAP LSEQ2 ACCNUM     PROTEIN")), lambda x: F.length(x) > 0)
+    about = F.split("description", "\n")  # a line each
+    rest = F.array(F.concat(F.lit("SEQLENGTH "), _number(F.col("seq_length"), 5)), F.concat(F.lit("NCHAIN     "), _number(F.col("n_chain"), 4), F.lit(" chain(s) in "), "pdb_id", F.lit(" data set")), used, F.concat(F.lit("NALIGN     "), _number(F.col("n_hits"), 4)), F.lit("## PROTEINS : identifier and alignment statistics"), F.lit("  NR.    ID         STRID   %IDE %WSIM IFIR ILAS JFIR JLAS LALI NGAP LGAP LSEQ2 ACCNUM     PROTEIN"))
+    head = F.filter(F.concat(F.array(F.concat(F.lit("PDBID      "), "pdb_id")), about, rest), lambda x: F.length(x) > 0)
     top = _lines(p.select("query_id", F.posexplode(head).alias("k", "line")), 0, F.col("k"), F.lit(0), F.col("line"))
     spans = [_number(F.col(c), 5) for c in ("ifir", "ilas", "jfir", "jlas", "length", "gaps", "gap_letters", "seq_len")]
     protein = F.concat(_number(F.col("hit_nr"), 5), F.lit(" : "), F.rpad(F.substring("id", 1, 12), 12, " "), F.rpad(F.coalesce("pdb", F.lit("")), 4, " "), F.format_string("    %4.2f  %4.2f", F.col("identity").cast("double"), F.col("similarity").cast("double")), *spans, F.lit("  "), F.rpad(F.substring("accession", 1, 10), 10, " "), F.lit(" "), F.col("descr"))

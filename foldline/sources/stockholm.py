@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from foldline.functions.alphabet import PROFILE_ORDER
+
 SAME = r"^#=GF CC Chain (.+) is considered to be the same as (.+)$"
 NUMBERS = ("score", "similarity")
 SPANS = r"HSSP score=([\d.]+)/([\d.]+) aligned=(\d+)-(\d+)/(\d+)-(\d+) length=(\d+) ngaps=(\d+) gaplen=(\d+) seqlen=(\d+)"
@@ -44,6 +46,18 @@ def residues(rows: DataFrame) -> DataFrame:
     return t.select("file", "block", cut(9, 5, "long").alias("seq_nr"), cut(15, 5, "long").alias("pdb_nr"), v.substr(21, 1).alias("chain"), v.substr(23, 1).alias("letter"), v.substr(26, 9).alias("structure"), cut(36, 4, "long").alias("bp1"), cut(40, 4, "long").alias("bp2"), cut(44, 5, "long").alias("accessibility"), cut(50, 5, "long").alias("nocc"), cut(55, 4, "long").alias("variability"), (v.substr(23, 1) == "!").alias("is_break"))
 
 
+def profiles(rows: DataFrame) -> DataFrame:
+    """(file, block, seq_nr, pdb_nr, shares, nocc, ndel, nins, entropy, relent, weight) of the PR lines; shares has a per cent for each residue."""
+    v = F.col("value")
+
+    def cut(a: int, n: int, kind: str) -> Column:
+        return F.trim(v.substr(a, n)).try_cast(kind)
+
+    shares = F.create_map(*[x for k, c in enumerate(PROFILE_ORDER) for x in (F.lit(c), cut(22 + 4 * k, 4, "long"))])
+    t = rows.filter(v.startswith("#=GF PR "))
+    return t.select("file", "block", cut(9, 5, "long").alias("seq_nr"), cut(15, 5, "long").alias("pdb_nr"), shares.alias("shares"), *[cut(a, 4, "long").alias(n) for a, n in ((104, "nocc"), (109, "ndel"), (114, "nins"))], cut(120, 6, "double").alias("entropy"), cut(129, 4, "long").alias("relent"), cut(134, 5, "double").alias("weight"))
+
+
 def aligned(rows: DataFrame) -> DataFrame:
     """(file, block, query_id, id, aligned): the alignment's rows, their pieces joined in order; a row is as long as the query."""
     t = rows.filter(~F.col("value").startswith("#") & (F.col("value") != "//"))
