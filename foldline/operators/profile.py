@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foldline.functions.alphabet import GAPS, PAM250_SCORES, RESIDUES, substitution
 
-PIECE = 2_000_000  # letters counted at once
+PIECE, NEAR = 2_000_000, 1 << 17  # letters counted at once; columns whose counts a task keeps
 FULL = 1.5  # similarity of equal residues
 
 
@@ -20,46 +20,85 @@ def columns_of(aligned: DataFrame, id_col: str, seq_col: str) -> DataFrame:
     return aligned.select(id_col, F.posexplode(F.split(seq_col, "")).alias("pos", "res")).filter("res <> ''").withColumn("pos", F.col("pos") + 1)
 
 
-def column_counts(aligned: DataFrame, seq_col: str) -> DataFrame:
-    """(pos, res, n): how often each residue stands in each column, pos from 1.
+def _numbers(raw: bool) -> np.ndarray:
+    """The residue number of each byte, 255 for none; of any text (raw), small letters count too and U as X."""
+    out = np.full(256, 255, np.uint8)
+    out[[ord(c) for c in RESIDUES]] = np.arange(len(RESIDUES))
+    if raw:
+        out[[ord(c.lower()) for c in RESIDUES]] = np.arange(len(RESIDUES))
+        out[[ord("U"), ord("u")]] = RESIDUES.index("X")
+    return out
 
-    Letters are counted in a task before any row leaves it; a long sequence is counted in pieces.
-    """
-    number = np.full(256, 255, np.uint8)
-    number[[ord(c) for c in RESIDUES]] = np.arange(len(RESIDUES))
+
+def _letters(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, bytes of each text) of parts of a string array, of about PIECE bytes."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
+        yield data[offsets[at] : offsets[to]], np.diff(offsets[at : to + 1])
+        at = to
+
+
+def residue_counts(rows: DataFrame, text_col: str) -> DataFrame:
+    """(number, n): how often each residue number occurs in any texts; a row for each number leaves a task."""
+    number = _numbers(True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(256, np.int64)
+        for batch in batches:
+            for data, _ in _letters(batch.column(0)):
+                counts += np.bincount(number[data], minlength=256)
+        found = np.flatnonzero(counts[: len(RESIDUES)])
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["number", "n"])
+
+    return rows.select(text_col).mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+
+
+def column_counts(aligned: DataFrame, seq_col: str, raw: bool = False) -> DataFrame:
+    """(pos, res, n): how often each residue stands in each column, pos from 1. Of raw texts, only residues count as columns.
+
+    Letters are counted in a task before any row leaves it: those of the first NEAR columns in a table of a fixed size, those
+    beyond, in long sequences, in pieces."""
+    number = _numbers(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        table = np.zeros(0, np.int64)
 
-        def counted() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            letters = pa.array(list(RESIDUES)).take(pa.array(keys & 31))
-            return pa.RecordBatch.from_arrays([pa.array(keys >> 5), letters, pa.array(n)], ["pos", "res", "n"])
+        def counted(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((keys >> 5) + 1), pa.array(list(RESIDUES)).take(pa.array(keys & 31)), pa.array(n)], ["pos", "res", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                raw = np.frombuffer((text or "").encode("latin-1", "replace"), np.uint8)
-                for at in range(0, len(raw), PIECE):
-                    codes = number[raw[at : at + PIECE]].astype(np.int64)
-                    keys = (np.arange(at + 1, at + 1 + len(codes)) << 5) | codes
-                    held.append(keys[codes < 255])
-                    size += len(codes)
-                    if size >= PIECE:
-                        yield counted()
-                        held, size = [], 0
-        if held:
-            yield counted()
+            for data, lengths in _letters(batch.column(0)):
+                codes = number[data]
+                known = codes < 255
+                if raw:
+                    ends = np.concatenate([[0], np.cumsum(known)])[np.cumsum(lengths)]
+                    codes, lengths, known = codes[known], np.diff(ends, prepend=0), None
+                place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                keys = (place << 5) | codes
+                keys = keys if known is None else keys[known]
+                near = keys < NEAR << 5
+                n = np.bincount(keys[near])
+                if len(n) > len(table):
+                    table = np.concatenate([table, np.zeros(len(n) - len(table), np.int64)])
+                table[: len(n)] += n
+                if not near.all():
+                    yield counted(*np.unique(keys[~near], return_counts=True))
+        found = np.flatnonzero(table)
+        yield counted(found, table[found])
 
     return aligned.select(seq_col).mapInArrow(run, "pos long, res string, n long").groupBy("pos", "res").agg(F.sum("n").alias("n"))
 
 
-def column_profile(aligned: DataFrame, id_col: str, seq_col: str) -> DataFrame:
-    """(pos, nocc, n_residues, top_freq, entropy, relent) of each column; X doesn't count as occupied.
+def column_profile(aligned: DataFrame, id_col: str, seq_col: str, raw: bool = False) -> DataFrame:
+    """(pos, nocc, n_residues, top_freq, entropy, relent) of each column; X doesn't count as occupied. Of raw texts only residues are columns.
 
     Counts by column and letter are combined before they are shuffled, so a shuffled row is a
     column and letter of a task, however many rows are aligned.
     """
-    counts = column_counts(aligned, seq_col).filter("res <> 'X'")
+    counts = column_counts(aligned, seq_col, raw).filter("res <> 'X'")
     n = F.col("n").cast("double")
     # With N = sum n: -sum(n/N ln(n/N)) = ln N - sum(n ln n) / N, from one aggregation.
     sums = counts.groupBy("pos").agg(F.sum("n").alias("nocc"), F.count("*").alias("n_residues"), F.max("n").alias("most"), F.sum(n * F.log(n)).alias("s"))

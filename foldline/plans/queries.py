@@ -68,16 +68,13 @@ round(greatest(0.0, ln(nocc) - s / nocc), 6) as entropy, round(100 * greatest(0.
 @query(f"with {DOCS}, {columns('docs')}{PROFILE_SQL}")
 def column_profile(spark, d):
     """Residue counts, frequency and entropy of each column of the left-aligned documents."""
-    return P.column_profile(documents(spark, d), "id", "seq").withColumn("pos", F.col("pos").cast("long"))
+    return P.column_profile(table(spark, d, "documents"), "doc_id", "text", raw=True).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"with {DOCS}, {columns('docs')} select instr('{A.RESIDUES}', res) - 1 as number, count(*) as n from cols group by 1")
 def encode_letters(spark, d):
-    """How often each residue number occurs: letters are counted by what is left when they are taken out, one row a task."""
-    seq = documents(spark, d).select("seq")
-    sums = seq.agg(*[F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(c), F.lit("")))).alias(c) for c in A.RESIDUES])
-    each = sums.select(F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("number"), F.col(c).alias("n")) for k, c in enumerate(A.RESIDUES)])).alias("e"))
-    return each.select("e.number", "e.n").filter("n > 0")
+    """How often each residue number occurs."""
+    return P.residue_counts(table(spark, d, "documents"), "text")
 
 
 DEFLINE = r"^(\w+)\|(\w*)\|(\S*)"
