@@ -177,3 +177,13 @@ def surface(atoms: DataFrame, near: DataFrame) -> DataFrame:
         return pd.DataFrame({"atom": [group["atom"].iloc[0]], "area": [free.sum() * weight * r * r]})
 
     return rows.groupBy("atom").applyInPandas(area, "atom long, area double")
+
+
+def statistics(best: DataFrame, residues: DataFrame) -> DataFrame:
+    """(protein, residues, chains, bonds, and a count for each distance in number from donor to acceptor, -5 to 5) of each protein and, with
+    protein null, of all; best from strongest(), residues as for bridges(). One pass over residues and bonds together; counts are combined before the shuffle."""
+    offset = F.col("acceptor") - F.col("donor")
+    rows = residues.select("protein", "segment", F.lit(None).cast("long").alias("k")).unionByName(best.select("protein", F.lit(None).cast(residues.schema["segment"].dataType).alias("segment"), offset.cast("long").alias("k")))
+    names = [(k, f"minus_{-k}" if k < 0 else f"plus_{k}") for k in range(-5, 6)]
+    each = rows.groupBy("protein", "segment").agg(F.count_if(F.col("segment").isNotNull()).alias("residues"), F.count("k").alias("bonds"), *[F.count_if(F.col("k") == k).alias(n) for k, n in names])
+    return each.rollup("protein").agg(F.sum("residues").alias("residues"), F.count("segment").alias("chains"), F.sum("bonds").alias("bonds"), *[F.sum(n).alias(n) for _, n in names])

@@ -12,10 +12,10 @@ from foldline.functions.alphabet import PROFILE_ORDER
 from foldline.operators import msa
 from foldline.operators.cluster import clustered
 from foldline.operators.search import DUST, seg_mask_with
-from foldline.operators.sheets import ladders, sheets
+from foldline.operators.sheets import ladders, sheets, statistics, strongest
 from foldline.operators.store import counted, exported, looked_up, same_as
 from foldline.plans import report
-from foldline.plans.queries import DOCS, ITEMS, _bridges, _dist, _p, by_user, chain_residues, documents, items, query, table
+from foldline.plans.queries import BRIDGE_SQL, DOCS, ITEMS, _bonds, _bridges, _dist, _p, by_user, chain_residues, documents, items, query, table
 from foldline.sources import stockholm as sto
 
 # -- letters, names and numbers ---------------------------------------------------------------
@@ -203,6 +203,17 @@ def code_counts(spark, d):
     return counted(table(spark, d, "customer"), "c_mktsegment", ["BUILDING", "MACHINERY"])
 
 
+_OFFSETS = ", ".join(f"count(*) filter (where k = {k}) as {f'minus_{-k}' if k < 0 else f'plus_{k}'}" for k in range(-5, 6))
+
+
+@query(f"""with {BRIDGE_SQL}, rows as (select chain as protein, 1 as residue, null as k from r union all select protein, null, a - d from best)
+select protein, count(residue) as residues, count(distinct case when residue = 1 then protein end) as chains, count(k) as bonds, {_OFFSETS} from rows group by rollup(protein)""")
+def structure_statistics(spark, d):
+    """Residues, chains and strong bonds of proteins, and how far apart the bonds' ends are in the chain."""
+    best = strongest(_bonds(spark, d).select("protein", F.col("d").alias("donor"), F.col("a").alias("acceptor"), "energy"))
+    return statistics(best, chain_residues(spark, d).select(F.col("chain").alias("protein"), F.lit(1).alias("segment")))
+
+
 # -- reports, and reading them back -----------------------------------------------------------
 
 QUERIES_OF = 4
