@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -160,23 +161,50 @@ def sphere(n: int = SPHERE) -> tuple[np.ndarray, float]:
     return np.stack([np.sin(lon) * np.cos(lat), np.cos(lon) * np.cos(lat), np.sin(lat)], 1), 4 * np.pi / (2 * n + 1)
 
 
-def surface(atoms: DataFrame, near: DataFrame) -> DataFrame:
-    """(atom, area): accessible area of each atom (atom, x, y, z, radius), where near (a, b) has all
-    pairs whose spheres may touch; a group is one atom with its neighbours."""
-    pair = near.select(F.col("a").alias("atom"), F.col("b").alias("other")).union(near.select("b", "a"))
-    other = atoms.select(F.col("atom").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("x", "y", "z", "radius")])
-    rows = atoms.join(pair.join(other, "other"), "atom", "left")
+def surface(atoms: DataFrame, side: float = 16.0) -> DataFrame:
+    """(protein, atom, area): accessible area of each of the atoms (protein, atom, x, y, z, radius); those without a place are left out.
 
-    def area(group: pd.DataFrame) -> pd.DataFrame:
+    Space is cut into cubes; a task gets a cube's atoms with those around it whose spheres may touch them, in one Arrow group, and
+    tries the dots of each atom's sphere against its neighbours, the nearest first. Atoms of a cube are as many as fit into it.
+    """
+    placed = atoms.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull() & F.col("radius").isNotNull())
+    largest = placed.agg(F.max("radius")).first()[0] or 0.0
+    reach = 2 * (largest + PROBE)
+
+    def cubes(c: str):
+        return F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side)))
+
+    rows = placed.select("protein", "atom", "x", "y", "z", "radius")
+    for c in "xyz":
+        rows = rows.withColumn(f"cube_{c}", cubes(c))
+    own = F.lit(True)
+    for c in "xyz":
+        own = own & (F.col(f"cube_{c}") == F.floor(F.col(c) / side))
+    keys = ["protein", "cube_x", "cube_y", "cube_z"]
+    kind = atoms.schema
+
+    def areas(group: pa.Table) -> pa.Table:
+        mine = np.flatnonzero(group.column("own").to_numpy())
+        at = np.stack([group.column(c).to_numpy() for c in "xyz"], 1)
+        radius = group.column("radius").to_numpy() + PROBE
         dots, weight = sphere()
-        r = group["radius"].iloc[0] + PROBE
-        at = group[["x", "y", "z"]].iloc[0].to_numpy(float) + dots * r
-        free = np.ones(len(dots), bool)
-        for o in group.dropna(subset=["other"])[["ox", "oy", "oz", "oradius"]].to_numpy(float):
-            free &= ((at - o[:3]) ** 2).sum(1) >= (o[3] + PROBE) ** 2
-        return pd.DataFrame({"atom": [group["atom"].iloc[0]], "area": [free.sum() * weight * r * r]})
-
-    return rows.groupBy("atom").applyInPandas(area, "atom long, area double")
+        out = []
+        for k in mine:
+            far = ((at - at[k]) ** 2).sum(1)
+            near = np.flatnonzero((far < (radius + radius[k]) ** 2) & (far > 0.0001))
+            near = near[np.argsort(far[near], kind="stable")]
+            free = dots * radius[k]
+            for i in range(0, len(near), 8):
+                some = near[i : i + 8]
+                hidden = ((free[:, None, :] - (at[some] - at[k])[None]) ** 2).sum(2) <= radius[some] ** 2
+                free = free[~hidden.any(1)]
+                if not len(free):
+                    break
+            out.append(len(free) * weight * radius[k] ** 2)
+        return pa.table({"protein": group.column("protein").take(pa.array(mine)), "atom": group.column("atom").take(pa.array(mine)), "area": pa.array(out, pa.float64())})
+
+    types = f"protein {kind['protein'].dataType.simpleString()}, atom {kind['atom'].dataType.simpleString()}, area double"
+    return rows.withColumn("own", own).groupBy(*keys).applyInArrow(areas, types)
 
 
 def statistics(best: DataFrame, residues: DataFrame) -> DataFrame:

@@ -607,10 +607,21 @@ def hbond_distance_hist(spark, d):
 
 @query()
 def surface_area(spark, d):
-    """Accessible area of points with a carbon's radius; partners come from the grid join."""
-    t = points(spark, d)
-    atoms = t.select(F.col("vec_id").alias("atom"), *[F.col(f"ca.{c}").alias(c) for c in "xyz"], F.lit(1.87).alias("radius"))
-    return surface(atoms, within(t, "vec_id", "ca", 2 * (1.87 + 1.4)).select("a", "b")).withColumn("area", F.round("area", 4))
+    """Accessible area of points with a carbon's radius, all in one space."""
+    atoms = points(spark, d).select(F.lit(0).alias("protein"), F.col("vec_id").alias("atom"), *[F.col(f"ca.{c}").alias(c) for c in "xyz"], F.lit(1.87).alias("radius"))
+    return surface(atoms).select("atom", F.round("area", 4).alias("area"))
+
+
+# The radii of a residue's atoms.
+RADII = {"n": 1.65, "ca": 1.87, "c": 1.76, "o": 1.4}
+
+
+@query()
+def residue_accessibility(spark, d):
+    """Accessible area of residues, the sum of their four atoms'; atoms of other chains hide nothing."""
+    four = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(n).alias("p"), F.lit(r).alias("radius")) for k, (n, r) in enumerate(RADII.items())]))
+    atoms = points(spark, d).select(F.col("chain").alias("protein"), "vec_id", four.alias("a")).select("protein", (F.col("vec_id") * 4 + F.col("a.k")).alias("atom"), "a.p.x", "a.p.y", "a.p.z", "a.radius")
+    return surface(atoms).groupBy("protein", F.expr("atom div 4").alias("vec_id")).agg(F.round(F.sum("area"), 4).alias("area"))
 
 
 # -- further steps of reading and numbering ---------------------------------------------------

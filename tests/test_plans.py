@@ -215,10 +215,25 @@ def test_bridges_brute(spark):
 def test_free_surface(spark):
     import math
 
-    atoms = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.87), (2, 50.0, 0.0, 0.0, 1.0), (3, 50.0, 0.5, 0.0, 1.0)], "atom long, x double, y double, z double, radius double")
-    got = {r.atom: r.area for r in sheets.surface(atoms, spark.createDataFrame([(2, 3)], "a long, b long")).collect()}
-    assert got[1] == pytest.approx(4 * math.pi * (1.87 + 1.4) ** 2, rel=1e-6)
+    atoms = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 1.87), (0, 2, 50.0, 0.0, 0.0, 1.0), (0, 3, 50.0, 0.5, 0.0, 1.0), (1, 4, 0.1, 0.0, 0.0, 1.87), (0, 5, None, 0.0, 0.0, 1.0)], "protein int, atom long, x double, y double, z double, radius double")
+    got = {r.atom: r.area for r in sheets.surface(atoms).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and got[1] == got[4] == pytest.approx(4 * math.pi * (1.87 + 1.4) ** 2, rel=1e-6)
     assert 0 < got[2] < 4 * math.pi * 2.4**2 and got[2] == pytest.approx(got[3], rel=0.05)
+    # Many atoms, cubes of any size: against all pairs.
+    rng = random.Random(5)
+    rows = [(k % 2, k, *(rng.uniform(-9, 9) for _ in range(3)), rng.choice((1.4, 1.65, 1.87))) for k in range(150)]
+    dots, weight = sheets.sphere()
+    want = {}
+    for p, k, *at, r in rows:
+        free = 0
+        for dot in dots.tolist():
+            spot = [a + (r + 1.4) * x for a, x in zip(at, dot)]
+            free += all(sum((a - b) ** 2 for a, b in zip(spot, o[2:5])) > (o[5] + 1.4) ** 2 for o in rows if o[0] == p and o[1] != k)
+        want[k] = free * weight * (r + 1.4) ** 2
+    df = spark.createDataFrame(rows, atoms.schema)
+    for side in (3.0, 16.0, 100.0):
+        got = {r.atom: r.area for r in sheets.surface(df, side).collect()}
+        assert got == pytest.approx(want, abs=weight * 12)  # a dot on a border
 
 
 def test_search_and_alignment(spark):
