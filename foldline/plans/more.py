@@ -9,6 +9,7 @@ from foldline.functions import alphabet as A
 from foldline.functions import geometry as G
 from foldline.functions import statistics as S
 from foldline.functions.alphabet import PROFILE_ORDER
+from foldline.functions.deflines import QUERY_LINE, query_defline
 from foldline.operators import msa
 from foldline.operators.cluster import clustered
 from foldline.operators.search import DUST, seg_mask_with
@@ -54,6 +55,18 @@ def chain_sequences(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(letters, lambda x: x["c"]), "").alias("seq"))
 
 
+@query(f"""with t as (select p_partkey, p_brand, case p_partkey % 4 when 0 then '>sp|P' || p_partkey || '|' || replace(p_brand, '#', '_') || ' ' || p_name || chr(10) when 1 then '>word ' || p_name || chr(10) when 2 then '>part' || p_partkey || chr(10) else '' end || p_type || chr(10) || p_name as s from part)
+select p_partkey, case when not starts_with(s, '>') then 'query' when regexp_matches(s, '{QUERY_LINE}') then case when regexp_extract(s, '{QUERY_LINE}', 3) <> '' then regexp_extract(s, '{QUERY_LINE}', 3) else regexp_extract(s, '{QUERY_LINE}', 1) end else regexp_extract(split_part(s, chr(10), 1), '^>([^ ]*)', 1) end as id,
+case when not starts_with(s, '>') then '' when regexp_matches(s, '{QUERY_LINE}') then regexp_extract(s, '{QUERY_LINE}', 6) else regexp_extract(split_part(s, chr(10), 1), '^>[^ ]* (.*)$', 1) end as descr,
+case when not starts_with(s, '>') then s when regexp_matches(s, '{QUERY_LINE}') then regexp_replace(s, '{QUERY_LINE}', '') else substring(s, length(split_part(s, chr(10), 1)) + 2) end as seq from t""")
+def query_deflines(spark, d):
+    """Names, descriptions and sequences of queries with and without a line for them."""
+    k, end = F.col("p_partkey"), F.lit("\n")
+    line = F.when(k % 4 == 0, F.concat(F.lit(">sp|P"), k, F.lit("|"), F.replace(F.col("p_brand"), F.lit("#"), F.lit("_")), F.lit(" "), F.col("p_name"), end)).when(k % 4 == 1, F.concat(F.lit(">word "), F.col("p_name"), end)).when(k % 4 == 2, F.concat(F.lit(">part"), k, end)).otherwise("")
+    text = F.concat(line, F.col("p_type"), end, F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", query_defline(text).alias("q")).select("p_partkey", "q.*")
+
+
 # -- statistics of searches -------------------------------------------------------------------
 
 _SPACE = "0.041 * (m - l) * (n - c * l)"

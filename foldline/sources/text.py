@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foldline.functions.alphabet import residue_of
+from foldline.functions.alphabet import known_element, residue_of
 from foldline.functions.geometry import distance
 
 
@@ -23,7 +23,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def atoms(lines: DataFrame) -> DataFrame:
-    """Atom rows from the lines (file, line_no, value) of PDB files: first model only, no hydrogens, no short lines."""
+    """Atom rows from the lines (file, line_no, value) of PDB files: first model only, no hydrogens, no unknown elements, no short lines."""
     first_end = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = lines.withColumn("ended", F.coalesce(F.max(F.col("value").startswith("ENDMDL")).over(first_end), F.lit(False))).filter(~F.col("ended"))
     v = F.col("value")
@@ -33,7 +33,7 @@ def atoms(lines: DataFrame) -> DataFrame:
         return F.trim(v.substr(a, b - a + 1))
 
     parsed = rows.select("file", "line_no", cut(1, 6).alias("record"), cut(7, 11).cast("int").alias("serial"), cut(13, 16).alias("name"), v.substr(17, 1).alias("altloc"), cut(18, 20).alias("resname"), v.substr(22, 1).alias("chain"), cut(23, 26).cast("int").alias("resseq"), F.nullif(cut(27, 27), F.lit("")).alias("icode"), cut(31, 38).cast("double").alias("x"), cut(39, 46).cast("double").alias("y"), cut(47, 54).cast("double").alias("z"), cut(77, 78).alias("element"))
-    return parsed.filter("element <> 'H' and x is not null and y is not null and z is not null")
+    return parsed.filter(known_element(F.col("element"))).filter("upper(element) <> 'H' and x is not null and y is not null and z is not null")
 
 
 def residues(atom_rows: DataFrame) -> DataFrame:

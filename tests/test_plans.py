@@ -60,7 +60,7 @@ def test_residues_from_structure_lines(spark):
             for n in ("N", "CA", "C", "O"):
                 k += 1
                 lines.append(_atom(k, n, alt, "SER", "A", seq, k))
-    lines += [_atom(90, "H", " ", "SER", "A", 125, 1.0, "H"), _atom(91, "CA", " ", "SER", "A", 125, 1.0), "ATOM short", "ENDMDL", _atom(99, "N", " ", "SER", "A", 130, 1.0)]
+    lines += [_atom(90, "H", " ", "SER", "A", 125, 1.0, "H"), _atom(91, "CA", " ", "SER", "A", 125, 1.0), _atom(92, "N", " ", "SER", "A", 126, 1.0, "QQ"), "ATOM short", "ENDMDL", _atom(99, "N", " ", "SER", "A", 130, 1.0)]
     df = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)], "file string, line_no int, value string")
     got = text.residues(text.atoms(df)).orderBy("ord").collect()
     assert [r.resseq for r in got] == [120, 123, 124] and got[2].n.x == 9.0
