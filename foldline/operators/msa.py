@@ -206,7 +206,10 @@ PATHS_SQL = f"query_id long, hit_id long, {', '.join(f'{f} int' for f in FACTS)}
 def paths(hits: DataFrame, **options) -> DataFrame:
     """Paths of the hits (query_id, query, states, hit_id, seq, distance), a row each, length null where one is rejected; and for each query a row with null
     hit_id: the numbers of its columns in order, their letters (. where a hit has inserted one), insertions behind and deletions at each."""
-    rows = hits.select("query_id", "query", "states", "hit_id", "seq", "distance").repartition("query_id").sortWithinPartitions("query_id", "distance", "hit_id")
+    # A number of its own, since small tables would be put together into one task, though aligning takes long.
+    spark = hits.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = hits.select("query_id", "query", "states", "hit_id", "seq", "distance").repartition(tasks, "query_id").sortWithinPartitions("query_id", "distance", "hit_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, profile, out = None, None, []
@@ -270,5 +273,5 @@ def progressive(hits: DataFrame, max_hits: int = 5000, **options) -> DataFrame:
     out = found.mapInArrow(_written, kind).withColumn("accepted", F.col("length").isNotNull())
     if not max_hits:
         return out
-    kept = out.filter("accepted").withColumn("nr", F.row_number().over(drawn)).filter(F.col("nr") <= max_hits).drop("nr")
-    return kept.unionByName(out.filter("not accepted"))
+    among = Window.partitionBy("query_id", "accepted").orderBy(F.xxhash64("hit_id"), "hit_id")
+    return out.withColumn("nr", F.row_number().over(among)).filter(~F.col("accepted") | (F.col("nr") <= max_hits)).drop("nr")

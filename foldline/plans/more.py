@@ -220,11 +220,12 @@ _OFFSETS = ", ".join(f"count(*) filter (where k = {k}) as {f'minus_{-k}' if k <
 
 
 @query(f"""with {BRIDGE_SQL}, rows as (select chain as protein, 1 as residue, null as k from r union all select protein, null, a - d from best)
-select protein, count(residue) as residues, count(distinct case when residue = 1 then protein end) as chains, count(k) as bonds, {_OFFSETS} from rows group by rollup(protein)""")
+select coalesce(cast(protein as varchar), 'all') as protein, count(residue) as residues, count(distinct case when residue = 1 then protein end) as chains, count(k) as bonds, {_OFFSETS} from rows group by rollup(rows.protein)""")
 def structure_statistics(spark, d):
     """Residues, chains and strong bonds of proteins, and how far apart the bonds' ends are in the chain."""
     best = strongest(_bonds(spark, d).select("protein", F.col("d").alias("donor"), F.col("a").alias("acceptor"), "energy"))
-    return statistics(best, chain_residues(spark, d).select(F.col("chain").alias("protein"), F.lit(1).alias("segment")))
+    found = statistics(best, chain_residues(spark, d).select(F.col("chain").alias("protein"), F.lit(1).alias("segment")))
+    return found.withColumn("protein", F.coalesce(F.col("protein").cast("string"), F.lit("all")))
 
 
 # -- reports, and reading them back -----------------------------------------------------------

@@ -111,7 +111,7 @@ def _slow_identical(a, b):
     for t in range(2, len(a) + len(b) + 1):
         for i in range(max(1, t - len(b)), min(len(a), t - 1) + 1):
             j = t - i
-            m = (s[i - 1, j - 1][0] + alphabet.score(a[i - 1], b[j - 1]), s[i - 1, j - 1][1] + (a[i - 1] == b[j - 1]))
+            m = (s[i - 1, j - 1][0] + alphabet.PAM250_SCORES[a[i - 1], b[j - 1]], s[i - 1, j - 1][1] + (a[i - 1] == b[j - 1]))
             x, y = s[i - 1, j], down.get((i - 1, j), (low, 0))
             d = (x[0] - 10, x[1]) if x[0] - 10 >= y[0] - 0.2 else (y[0] - 0.2, y[1])
             x, y = s[i, j - 1], right.get((i, j - 1), (low, 0))
