@@ -23,7 +23,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foldline.llm.common import table
+from foldline.llm.common import table, tidy
 
 NAME = "op3_byte_level_bpe"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -121,6 +121,10 @@ class ByteBPE:
             self.kept_matches = {m: of(m) for m in distinct if len(m) <= LONGEST_KEPT}
         return ids
 
+    def forget(self) -> None:
+        """Empties what is remembered of texts, which is large; a worker keeps the codec itself for its next task."""
+        self.kept, self.kept_matches = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         out, at = [], 0
@@ -188,6 +192,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
                     columns += [pa.array([p[k].tolist() for p in pairs], pa.list_(pa.int32())) for k in (0, 1)]
                     names += ["starts", "ends"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        made.forget()
+        tidy()
 
     kind = df.schema[id_col].dataType.simpleString()
     more = ", starts array<int>, ends array<int>" if offsets else ""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,14 @@ class Memo(dict):
         return value
 
 
+def tidy() -> None:
+    """Gives back to the system what a task has freed: a worker goes on to other tasks, and its size counts in the executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def pieces(batch, size: int = 500):
     """Parts of an Arrow batch with a bounded number of rows."""
     for at in range(0, len(batch), size):
