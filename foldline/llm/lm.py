@@ -31,17 +31,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.llm.common import Memo, crc_mod, pieces, stored, table
+from foldline.llm.common import crc_mod, pieces, stored, table, tidy
 
 NAME = "op5_context_mixing_lm"
 SYMBOLS, HOT, CLASSES, LONGEST = 2047, 1 << 17, 128, 64
 BITS, ORDERS, GATES, STEPS = 20, 3, 16, 64
 BLOCK = 1 << 15
 FIRST, BATCH = 20_000, 80_000  # decisions learnt from at once, at first and at most
+SLICE = 1 << 15  # of these worked on at once, for the processor's cache
 PART = 40_000  # symbols of a text learnt from at once
 SHARD = 2_000_000  # tokens that a shard has at least
 DISCOUNT, SMOOTH = 0.6, 0.1
@@ -76,30 +78,39 @@ class Decisions:
     """Turns symbol sequences into binary decisions with the slots of their predictors."""
 
     def __init__(self, weights: np.ndarray, first_order: int):
-        self.begins, self.sizes, self.nodes, self.bits = huffman(weights)
+        self.begins, self.sizes, nodes, self.bits = huffman(weights)
         self.first_order = first_order
+        self.nodes = nodes * np.uint32(0x9E3779B1)
+        self.alone = slot_of(self.nodes).astype(np.intp)  # without any symbol before
 
     def of(self, symbols: np.ndarray, lengths: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Bits, slots for each predictor and symbol index of each decision; lengths are those of the sequences.
 
         The first symbols of a sequence, as many as known says, are context alone."""
         place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        before = [np.where(place >= k, np.roll(symbols, k) + 1, 0).astype(np.uint32) for k in (1, 2, 3)]
-        n = self.sizes[symbols]
+        n = self.sizes.take(symbols)
         if known is not None and known.any():
             n = np.where(place < np.repeat(known, lengths), 0, n)
         ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begins[symbols] - ends + n, n)
-        nodes = self.nodes[at] * np.uint32(0x9E3779B1)
-        slots, context = [], np.zeros(len(symbols), np.uint32)
-        for k in range(self.first_order + ORDERS):
-            if k:
-                context = (context + before[k - 1] + np.uint32(k)) * np.uint32(0x85EBCA6B)
-                context ^= context >> np.uint32(15)
+        at = np.arange(int(ends[-1]) if len(ends) else 0)
+        at += np.repeat(self.begins.take(symbols) - ends + n, n)
+        nodes = self.nodes.take(at)
+        slots, context = [] if self.first_order else [self.alone.take(at)], np.zeros(len(symbols), np.uint32)
+        for k in range(1, self.first_order + ORDERS):
+            before = np.where(place >= k, np.roll(symbols, k) + 1, 0).astype(np.uint32)
+            context = (context + before + np.uint32(k)) * np.uint32(0x85EBCA6B)
+            context ^= context >> np.uint32(15)
             if k >= self.first_order:
-                h = (nodes ^ np.repeat(context, n)) * np.uint32(0xC2B2AE35)
-                slots.append(((h ^ (h >> np.uint32(16))) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS))
-        return self.bits[at], slots, np.repeat(np.arange(len(symbols)), n)
+                slots.append(slot_of(nodes ^ np.repeat(context, n)).astype(np.intp))
+        return self.bits.take(at), slots, np.repeat(np.arange(len(symbols)), n)
+
+
+def slot_of(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x27D4EB2F)
+    h >>= np.uint32(32 - BITS)
+    return h
 
 
 @dataclass
@@ -114,21 +125,40 @@ class Mixer:
     @staticmethod
     def view(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log odds and a confidence from 0 to 3 of slots with counts (outcome 0, outcome 1)."""
-        c = counts.astype(np.float32)
-        total = c[:, 0] + c[:, 1]
-        return np.log((c[:, 1] + np.float32(0.2)) / (c[:, 0] + np.float32(0.2))), ((total > 0).astype(np.uint8) + (total > 3) + (total > 30))
+        total = counts[:, 0] + counts[:, 1]
+        return Mixer.log_odds(counts), (total > 0).view(np.uint8) + (total > 3) + (total > 30)
+
+    @staticmethod
+    def log_odds(counts: np.ndarray) -> np.ndarray:
+        odds = counts[:, 1] + np.float32(0.2)
+        odds /= counts[:, 0] + np.float32(0.2)
+        return np.log(odds, out=odds)
 
     def bits_cost(self, bits: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
         """Natural log of the probability of each decision's outcome."""
-        gate = self.seen[-2].take(slots[-2]) * np.uint8(4) + self.seen[-1].take(slots[-1])
+        gate = (self.seen[-2].take(slots[-2]) * np.uint8(4) + self.seen[-1].take(slots[-1])).astype(np.intp)
         z = mixed_odds(self.weights, gate, [o.take(s) for o, s in zip(self.odds, slots)])
-        p = np.float32(0.5) / (1 + np.exp(-z)) + np.float32(0.5) * self.refined.take(step(z))
-        return np.log(np.abs(p - (1 - bits)))
+        p = (chance(z) + self.refined.take(step(z))) * np.float32(0.5)
+        p -= 1 - bits
+        return np.log(np.abs(p, out=p), out=p)
 
 
 def mixed_odds(weights: np.ndarray, gate: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
     """The predictors' log odds combined by the weights of each decision's gate."""
-    return np.clip(sum(weights[:, k].take(gate) * a for k, a in enumerate(x)), -12, 12)
+    z = weights[:, 0].take(gate)
+    z *= x[0]
+    for k, a in enumerate(x[1:], 1):
+        w = weights[:, k].take(gate)
+        w *= a
+        z += w
+    return np.clip(z, -12, 12, out=z)
+
+
+def chance(z: np.ndarray) -> np.ndarray:
+    """Of outcome 1 at these log odds."""
+    p = np.exp(-z)
+    p += 1
+    return np.reciprocal(p, out=p)
 
 
 def step(z: np.ndarray) -> np.ndarray:
@@ -143,19 +173,24 @@ def learn(batches: Iterator[tuple[np.ndarray, ...]], decisions: Decisions) -> tu
         bits, slots, _ = decisions.of(*batch)
         if not len(bits):
             continue
-        view = [Mixer.view(c.view(np.int64).ravel().take(s).view(np.int32).reshape(-1, 2)) for c, s in zip(counts, slots)]
-        x = [v[0] for v in view]
-        gate = view[-2][1] * np.uint8(4) + view[-1][1]
-        z = mixed_odds(weights.astype(np.float32), gate, x)
-        error = bits - 1 / (1 + np.exp(-z))
-        n = np.bincount(gate, minlength=GATES)
-        power = np.bincount(gate, sum(a * a for a in x), GATES) + 1.0
+        n, power, pull = np.zeros(GATES), np.ones(GATES), np.zeros((ORDERS, GATES))
+        for at in range(0, len(bits), SLICE):
+            part = slice(at, at + SLICE)
+            found = [c.view(np.int64).ravel().take(s[part]).view(np.int32).reshape(-1, 2).astype(np.float32) for c, s in zip(counts, slots)]
+            view = [Mixer.view(c) for c in found[-2:]]
+            x = [*map(Mixer.log_odds, found[:-2]), *(v[0] for v in view)]
+            gate = (view[0][1] * np.uint8(4) + view[1][1]).astype(np.intp)
+            z = mixed_odds(weights.astype(np.float32), gate, x)
+            error = bits[part] - chance(z)
+            n += np.bincount(gate, minlength=GATES)
+            power += np.bincount(gate, sum(a * a for a in x[1:]) + x[0] * x[0], GATES)
+            pull += [np.bincount(gate, error * a, GATES) for a in x]
+            hits += np.bincount(step(z) * np.uint8(2) + bits[part], minlength=2 * STEPS).reshape(STEPS, 2)
         for k in range(ORDERS):
-            weights[:, k] += rate * np.bincount(gate, error * x[k], GATES) / power * 4 * (n > 0)
+            weights[:, k] += rate * pull[k] / power * 4 * (n > 0)
         rate = max(0.05, rate * 0.97)
-        hits += np.bincount(step(z) * np.uint8(2) + bits, minlength=2 * STEPS).reshape(STEPS, 2)
         for c, s in zip(counts, slots):
-            np.add.at(c.reshape(-1), (s << np.uint32(1)) | bits, np.int32(1))
+            np.add.at(c.reshape(-1), (s << 1) | bits, np.int32(1))
         total += len(bits)
     return counts, weights, hits, total
 
@@ -164,8 +199,7 @@ def emitted(shard: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> Iterator[p
     """Rows (block, values): the counts in blocks, and at -1 the weights times their decisions, the refining counts and the decisions."""
     counts, weights, hits, total = shard
     if total:
-        flat = counts.reshape(-1, BLOCK).astype("<f8")
-        for k, part in enumerate(flat):
+        for k, part in enumerate(counts.reshape(-1, BLOCK)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())], ["block", "values"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.concatenate([(weights * total).ravel(), hits.ravel(), [total]]).astype("<f8").tobytes()], pa.binary())], ["block", "values"])
@@ -197,12 +231,48 @@ def merged(shards: DataFrame) -> Mixer:
     return Mixer([v[0] for v in views], [v[1] for v in views], weights.astype(np.float32), ((hits[:, 1] + 8 * middle) / (hits.sum(1) + 8)).astype(np.float32))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: crc32 of four bytes is the xor of what each of them gives at its place.
+AFFIX = np.array([[zlib.crc32(bytes(k) + bytes([x]) + bytes(3 - k)) ^ (zlib.crc32(bytes(4)) if k else 0) for x in range(256)] for k in range(4)], np.uint32)
+SINGLE = np.array([zlib.crc32(bytes([x, x])) for x in range(256)], np.uint32)
+
+
+def words_in(texts: pa.Array) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of all texts in one array, and how many each text has."""
+    raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+    data = np.frombuffer(b" ".join([b"", *raw, b""]).lower(), np.uint8)
+    inside = ~SPACE.take(data)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    counts = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in raw)])))
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]), counts
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[:2] + word[-2:]) % CLASSES
+def parts_of(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes of text, or one longer text."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def letters_of(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, and where each word begins and the last one ends."""
+    _, offsets, data = words.buffers()
+    return np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+
+
+def classes_of(words: pa.BinaryArray) -> np.ndarray:
+    """crc32 of the words' first two and last two bytes, modulo CLASSES; no word is empty."""
+    letters, offsets = letters_of(words)
+    first, last = offsets[:-1], offsets[1:] - 1
+    more = (last > first).astype(np.int32)
+    a = letters.take(first)
+    h = AFFIX[0].take(a) ^ AFFIX[1].take(letters.take(first + more)) ^ AFFIX[2].take(letters.take(last - more)) ^ AFFIX[3].take(letters.take(last))
+    return (np.where(more, h, SINGLE.take(a)) % CLASSES).astype(np.int64)
 
 
 def key_of(word: bytes) -> bytes:
@@ -215,6 +285,7 @@ class Lexicon:
 
     def __init__(self, hot: list[tuple[bytes, int, int]], n: int, v: int, ends: int, class_counts: dict[int, tuple[int, int]]):
         self.index = {w: k for k, (w, _, _) in enumerate(hot)}
+        self.keys = pa.array([w for w, _, _ in hot], pa.binary())
         self.counts = np.array([c for _, c, _ in hot], np.int64)
         self.classes = np.array([k for _, _, k in hot], np.int64)
         self.n, self.v, self.ends = n, v, ends
@@ -224,15 +295,18 @@ class Lexicon:
         weights[SYMBOLS : SYMBOLS + CLASSES] += self.class_n
         weights[END] += ends
         self.weights = weights
-        self.packed = Memo(self._packed)
 
-    def _packed(self, word: bytes) -> int:
-        """The word's place among the frequent ones plus one (0: none) above 16 bits of its symbol."""
-        k = self.index.get(key_of(word), -1)
-        return (k + 1) << 16 | (k if 0 <= k < SYMBOLS else SYMBOLS + class_of(word))
-
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.packed.__getitem__, words), np.int64, len(words))
+    def codes(self, words: pa.BinaryArray | list[bytes], most: int = HOT) -> np.ndarray:
+        """Each word's place among the first `most` of the frequent ones plus one (0: none) above 16 bits of its symbol."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        place = pc.fill_null(pc.index_in(words, self.keys[:most]), -1).to_numpy().astype(np.int64)
+        for i in np.flatnonzero(np.diff(letters_of(words)[1]) > LONGEST).tolist():
+            k = self.index.get(key_of(words[i].as_py()), -1)
+            place[i] = k if k < most else -1
+        symbol = np.where(place < SYMBOLS, place, -1)
+        other = np.flatnonzero(symbol < 0)
+        symbol[other] = SYMBOLS + classes_of(words.take(pa.array(other)))
+        return (place + 1) << 16 | symbol
 
 
 def symbol_batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -241,9 +315,10 @@ def symbol_batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, column:
     known: list[int] = []
     size, most = 0, FIRST // 8
     for batch in batches:
-        for part in pieces(batch):
-            for text in part.column(column).to_pylist():
-                codes = np.append(lexicon.codes(words_of(text)) & 0xFFFF, END)
+        for part in parts_of(batch, column):
+            words, counts = words_in(part.column(column))
+            flat = np.insert(lexicon.codes(words, SYMBOLS) & 0xFFFF, np.cumsum(counts), END)
+            for codes in np.split(flat, np.cumsum(counts + 1)[:-1]):
                 for at in range(0, len(codes), PART):
                     known.append(min(at, ORDERS))
                     parts.append(codes[at - known[-1] : at + PART])
@@ -258,17 +333,22 @@ def symbol_batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, column:
 BYTE_END = 256
 
 
-def spelling_batches(words: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    parts: list[np.ndarray] = []
-    size, most = 0, FIRST // 8
-    for w in words:
-        parts.append(np.append(np.frombuffer(w, np.uint8).astype(np.int64), BYTE_END))
-        size += len(w) + 1
-        if size >= most:
-            yield np.concatenate(parts), np.array([len(p) for p in parts])
-            parts, size, most = [], 0, min(most * 5 // 4, BATCH // 8)
-    if parts:
-        yield np.concatenate(parts), np.array([len(p) for p in parts])
+def spelling_batches(words: Iterator[pa.BinaryArray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes with an end behind each word, and the words' lengths with it."""
+    symbols, lengths, most = np.zeros(0, np.int64), np.zeros(0, np.int64), FIRST // 8
+    for part in words:
+        letters, offsets = letters_of(part)
+        symbols = np.append(symbols, np.insert(letters[offsets[0] : offsets[-1]].astype(np.int64), offsets[1:] - offsets[0], BYTE_END))
+        lengths = np.append(lengths, np.diff(offsets) + 1)
+        ends = np.cumsum(lengths)
+        first = begin = 0
+        while (last := int(np.searchsorted(ends, begin + most))) < len(ends):
+            end = int(ends[last])
+            yield symbols[begin:end], lengths[first : last + 1]
+            first, begin, most = last + 1, end, min(most * 5 // 4, BATCH // 8)
+        symbols, lengths = symbols[begin:], lengths[first:]
+    if len(lengths):
+        yield symbols, lengths
 
 
 @dataclass
@@ -284,22 +364,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over all texts; partial counts leave a task whenever they have grown large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        waiting: list[pa.Array] = []
+        counts = none = pa.table({"word": pa.array([], pa.binary()), "c": pa.array([], pa.int64())})
 
-        def out():
-            items = list(counts.items())
-            counts.clear()
-            for at in range(0, len(items), 50_000):
-                part = items[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], ["word", "c"])
+        def added() -> pa.Table:
+            word, c = pc.value_counts(pa.chunked_array(waiting, pa.binary())).flatten()
+            waiting.clear()
+            both = pa.concat_tables([counts, pa.table({"word": word, "c": c})])
+            return both.group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
         for batch in batches:
-            for part in pieces(batch):
-                for text in part.column(0).to_pylist():
-                    counts.update(words_of(text))
-                if len(counts) > 500_000:
-                    yield from out()
-        yield from out()
+            for part in parts_of(batch, 0):
+                waiting.append(words_in(part.column(0))[0])
+                if sum(map(len, waiting)) > 1_000_000:
+                    counts = added()
+                    if len(counts) > 500_000:
+                        yield from counts.to_batches(50_000)
+                        counts = none
+        counts = added()
+        yield from counts.to_batches(50_000)
+        counts = none
+        tidy()
 
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -325,6 +410,7 @@ def fit(training: DataFrame) -> Model:
     def learn_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         yield from emitted(learn(symbol_batches(batches, lex, 0), Decisions(lex.weights, 0)))
+        tidy()
 
     def byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BYTE_END + 1, np.int64)
@@ -344,7 +430,8 @@ def fit(training: DataFrame) -> Model:
         weights[r["byte"]] += r["n"]
 
     def learn_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from emitted(learn(spelling_batches(w for b in batches for w in b.column(0).to_pylist()), Decisions(weights, 1)))
+        yield from emitted(learn(spelling_batches(b.column(0) for b in batches), Decisions(weights, 1)))
+        tidy()
 
     return Model(lexicon, words, merged(few.coalesce(shards).mapInArrow(learn_bytes, "block int, values binary")), weights, counts)
 
@@ -367,37 +454,43 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         other = np.arange(len(lexicon.counts)) >= SYMBOLS
         inside[:-1][other] = np.log10((lexicon.counts[other] - DISCOUNT) / lexicon.class_n[lexicon.classes[other]])
         for batch in batches:
-            for part in pieces(batch, 200):
-                texts = [words_of(t) for t in part.column(1).to_pylist()]
-                lengths = np.array([len(t) + 1 for t in texts])
-                codes = [np.append(lexicon.codes(t), END) for t in texts]
-                flat = np.concatenate(codes)
+            for part in parts_of(batch, 1):
+                words, counts = words_in(part.column(1))
+                lengths = counts + 1
+                codes = lexicon.codes(words)
+                flat = np.insert(codes, np.cumsum(counts), END)
                 place, end = (flat >> 16) - 1, np.cumsum(lengths) - 1
-                row = np.repeat(np.arange(len(texts)), lengths)
-                logp = np.zeros(len(texts))
+                row = np.repeat(np.arange(len(part)), lengths)
+                logp = np.zeros(len(part))
                 edges = [0]
-                for k in range(len(texts)):  # about BATCH decisions at a time, whole texts
-                    if k == len(texts) - 1 or end[k + 1] + 1 - edges[-1] > BATCH // 8:
+                for k in range(len(part)):  # about SLICE decisions at a time, whole texts
+                    if k == len(part) - 1 or end[k + 1] + 1 - edges[-1] > SLICE // 8:
                         edges.append(int(end[k]) + 1)
                 for a, b in zip(edges, edges[1:]):
                     first, last = row[a], row[b - 1]
                     bits, slots, of = made.of(flat[a:b] & 0xFFFF, lengths[first : last + 1])
-                    logp += np.bincount(row[a:b][of], mixer.bits_cost(bits, slots), len(texts))
+                    logp += np.bincount(row[a:b][of], mixer.bits_cost(bits, slots), len(part))
                 known = place >= 0
-                b0 = np.bincount(row, base[place], len(texts)) + math.log10(lexicon.ends + SMOOTH)
-                s0 = logp / math.log(10) + np.bincount(row, inside[place], len(texts))
-                rare = [Counter(t[i] for i in np.flatnonzero(c[:-1] < 1 << 16).tolist()) for t, c in zip(texts, codes)]
-                held = part.column(2).to_pylist()
-                flat_words = [w for r in rare for w in r]
+                b0 = np.bincount(row, base[place], len(part)) + math.log10(lexicon.ends + SMOOTH)
+                s0 = logp / math.log(10) + np.bincount(row, inside[place], len(part))
+                # Of the other words each text has one row: by text, then by word.
+                other = np.flatnonzero(codes < 1 << 16)
+                coded = pc.dictionary_encode(words.take(pa.array(other)))
+                names = coded.dictionary
+                texts, c = np.unique(np.repeat(np.arange(len(part)), counts)[other] * max(1, len(names)) + coded.indices.to_numpy(), return_counts=True)
+                texts, name = np.divmod(texts, max(1, len(names)))
+                held = part.column(2).to_numpy(zero_copy_only=False).astype(bool)[texts]
                 values = [
-                    pa.array(np.array([xxhash.xxh64_intdigest(w, 42) for w in flat_words], np.uint64).view(np.int64)),
-                    pa.array([m for r in rare for m in r.values()], pa.int32()),
-                    pa.array([class_of(w) for w in flat_words], pa.int32()),
-                    pa.array([w if hold else None for r, hold in zip(rare, held) for w in r], pa.binary()),
+                    pa.array(np.array([xxhash.xxh64_intdigest(w, 42) for w in names.to_pylist()], np.uint64).view(np.int64)[name]),
+                    pa.array(c.astype(np.int32)),
+                    pa.array(classes_of(names)[name].astype(np.int32)),
+                    names.take(pa.array(np.where(held, name, 0), mask=~held)),
                 ]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.StructArray.from_arrays(values, ["h", "m", "k", "word"]))
-                found = np.bincount(row, known, len(texts)).astype(np.int64) + (lexicon.ends > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), pa.array(found), pa.array(b0), pa.array(s0), pa.array([len(b" ".join(t)) + 1 for t in texts], pa.int64()), lists], NAMES)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(texts, np.arange(len(part) + 1)).astype(np.int32)), pa.StructArray.from_arrays(values, ["h", "m", "k", "word"]))
+                found = np.bincount(row, known, len(part)).astype(np.int64) + (lexicon.ends > 0)
+                n_bytes = np.diff(letters_of(words)[1][np.cumsum([0, *counts])]).astype(np.int64) + np.maximum(counts, 1)  # spaces, and an end
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), pa.array(found), pa.array(b0), pa.array(s0), pa.array(n_bytes), lists], NAMES)
+        tidy()
 
     NAMES = [id_col, "n_tokens", "known", "base", "part", "n_bytes", "rare"]
     kind = documents.schema[id_col].dataType.simpleString()
@@ -419,9 +512,8 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         made = Decisions(weights, 1)
         for batch in batches:
             for part in pieces(batch, 2000):
-                words = [w or b"" for w in part.column(2).to_pylist()]
                 logs: list[float] = []
-                for symbols, lengths in spelling_batches(iter(words)):
+                for symbols, lengths in spelling_batches(iter([pc.fill_null(part.column(2), b"")])):
                     bits, slots, of = made.of(symbols, lengths)
                     word = np.repeat(np.arange(len(lengths)), lengths)
                     logs += np.bincount(word[of], mixer.bits_cost(bits, slots), len(lengths)).tolist()

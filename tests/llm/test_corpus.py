@@ -509,6 +509,51 @@ def test_long_words_and_texts_are_learnt_whole(spark, monkeypatch):
         assert np.array_equal(a, b)
 
 
+def test_words_are_found_without_a_python_call_each():
+    """Words, their symbols and classes agree with plain Python's, and Python calls don't grow with the words."""
+    import sys
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    many = [bytes(rng.choices(b"abcdefghij", k=rng.randrange(1, 9))).decode() for _ in range(4000)]
+    texts = [None, "", " \t\n", "A b\x0bCD\x0cefg\rhijk\n", "Ünseen\xa0Straße\x1c\x85 x", "Q" * 500 + " " + "q" * 64, *(" ".join(many[i : i + 400]) for i in range(0, 4000, 400)), " end"]
+    tokens = [(t or "").encode().lower().split() for t in texts]
+    counts = Counter(w for t in tokens for w in t)
+    hot = [(lm.key_of(w), c, 0) for w, c in counts.most_common(3000)]
+    lex = lm.Lexicon(hot, sum(counts.values()), len(counts), len(texts), {})
+    calls = []
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        got = list(lm.symbol_batches(iter([batch]), lex, 0))
+    finally:
+        sys.setprofile(None)
+    place = {w: k for k, (w, _, _) in enumerate(hot)}
+    symbol = lambda w: k if (k := place.get(lm.key_of(w), lm.SYMBOLS)) < lm.SYMBOLS else lm.SYMBOLS + zlib.crc32(w[:2] + w[-2:]) % lm.CLASSES
+    assert [s for g in got for s in g[0].tolist()] == [s for t in tokens for s in [*map(symbol, t), lm.END]]
+    assert [n for g in got for n in g[1].tolist()] == [len(t) + 1 for t in tokens]
+    assert [k - 1 for k in (lex.codes([w for t in tokens for w in t]) >> 16).tolist()] == [place.get(lm.key_of(w), -1) for t in tokens for w in t]
+    assert len(calls) < len(counts) / 4
+    rare = pa.array(sorted(counts), pa.binary())
+    got = list(lm.spelling_batches(iter([rare[:7], rare[7:7], rare[7:]])))
+    assert len(got) > 1 and [s for g in got for s in g[0].tolist()] == [s for w in sorted(counts) for s in [*w, lm.BYTE_END]]
+    assert [n for g in got for n in g[1].tolist()] == [len(w) + 1 for w in sorted(counts)]
+
+
+def test_language_model_without_words(spark):
+    """With no training text, or none that has words, everything is scored."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", " ", "a b a", "x" * 200])], "doc_id long, text string")
+    for training, n in ((df.select("text").limit(0), 0), (df.filter("doc_id < 3").select("text"), 3)):
+        got = {r.doc_id: r for r in lm.score(df, lm.fit(training)).collect()}
+        assert [got[i].n_tokens for i in range(5)] == [1, 1, 1, 4, 2]
+        for r in got.values():
+            assert (r.train_tokens, r.n_known) == (n, n > 0)
+            v = n > 0
+            base = math.log10((n + 0.1) / (n + 0.1 * (v + 1))) + (r.n_tokens - 1) * math.log10(0.1 / (n + 0.1 * (v + 1)))
+            assert r.base_score == pytest.approx(base, rel=1e-9) and math.isfinite(r.score) and math.isfinite(r.bits_per_byte)
+
+
 def test_mixing_is_a_distribution():
     """Over all symbols, coded probabilities add up to one."""
     import numpy as np
