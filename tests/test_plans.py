@@ -36,6 +36,26 @@ def test_query(spark, sf, duck, name):
         assert rows(got) == rows(want)
 
 
+def same_as_sql(spark, name, folder, **tables):
+    """The query and its SQL on the tables given have the same rows; returns the query's, sorted."""
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    df = queries.QUERIES[name](spark, str(folder))
+    columns = sorted(df.columns)
+    got, want = (sorted(map(tuple, rows), key=repr) for rows in (df.select(columns).collect(), con.execute(f"select {', '.join(columns)} from ({queries.SQL[name]})").fetchall()))
+    assert got == want
+    return got
+
+
+def test_label_remap_many_parts(spark, tmp_path):
+    rows = [(1, 1, 1_500_000, 7), (1, 2, 10, 8), (2, 1, 10, 9), (2, 2, 1_500_000, 10), (3, 1, None, 11), (3, 2, 5, None), (4, 3, 5, 12), (4, 3, 5, 13), (6, 1, 1, 1)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    orders = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5)], "o_orderkey long")
+    assert same_as_sql(spark, "label_remap_last_wins", tmp_path, lineitem=lines, orders=orders) == [(10, 2), (13, 4), (7, 1), (None, 3)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
