@@ -5,9 +5,11 @@ import random
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from foldline.functions import alphabet, geometry
 from foldline.operators import distance, helices, msa, profile, search, sheets, store
+from foldline.operators.bonds import likely_bonds
 from foldline.operators.range_join import within
 from foldline.plans import output, queries
 from foldline.sources import mmcif, text
@@ -56,6 +58,30 @@ def test_label_remap_many_parts(spark, tmp_path):
     assert same_as_sql(spark, "label_remap_last_wins", tmp_path, lineitem=lines, orders=orders) == [(10, 2), (13, 4), (7, 1), (None, 3)]
 
 
+def close_residues(spark, n, chains=2):
+    """Embeddings of residues that nearly all see each other; some are copies, some have no label or miss numbers."""
+    rng = random.Random(n)
+    rows = [[k, [rng.gauss(0, 0.03) for _ in range(12)], k % chains] for k in range(n)]
+    for k in range(10, n, 10):
+        rows[k][1] = rows[10][1]
+    rows[5][2], rows[7][1], rows[9][1][11] = None, None, None
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def test_two_best_bonds(spark, tmp_path):
+    n = 300
+    assert len(same_as_sql(spark, "hbond_top2", tmp_path, embeddings=close_residues(spark, n))) > 3 * n
+    # Whatever the blocks, a few rows a residue are ranked, not all that are near.
+    residues = queries.chain_residues(spark, str(tmp_path)).cache()
+    every = queries._bonds(spark, str(tmp_path)).filter("energy < 0").cache()
+    best = [(F.col(x), F.row_number().over(Window.partitionBy(x).orderBy("energy", y))) for x, y in (("donor", "acceptor"), ("acceptor", "donor"))]
+    want = [{(r.donor, r.acceptor, r.energy) for r in every.withColumn("k", k).filter("k <= 2").collect()} for _, k in best]
+    for block, most in ((4096, 5), (40, 20)):
+        likely = likely_bonds(residues, both=True, block=block)
+        got = [{(r.donor, r.acceptor, r.energy) for r in likely.filter(f"for_{side} and energy < 0").withColumn("k", k).filter("k <= 2").collect()} for side, (_, k) in zip(("donor", "acceptor"), best)]
+        assert got == want and likely.count() < most * n < every.count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
