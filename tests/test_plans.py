@@ -82,6 +82,23 @@ def test_two_best_bonds(spark, tmp_path):
         assert got == want and likely.count() < most * n < every.count()
 
 
+@pytest.mark.parametrize("name", ["beta_bridges"])
+def test_bridges_of_best_bonds(spark, tmp_path, monkeypatch, name):
+    """From all near pairs the same comes out as without listing them."""
+    close_residues(spark, 300, 1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    every = queries._bonds(spark, str(tmp_path)).cache()
+    assert every.count()
+    query = queries.QUERIES[name]
+
+    def rows():
+        return sorted(map(repr, query(spark, str(tmp_path)).collect()))
+
+    monkeypatch.setattr(queries, "within", None)
+    got = rows()
+    monkeypatch.setattr(queries, "likely_bonds", lambda residues: every)
+    assert got == rows() and got
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
