@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from foldline.functions import alphabet, geometry
-from foldline.operators import distance, helices, msa, profile, search, sheets, store
+from foldline.operators import distance, helices, msa, profile, search, seeds, sheets, store
 from foldline.operators.bonds import likely_bonds
 from foldline.operators.range_join import within
 from foldline.plans import output, queries
@@ -99,6 +99,24 @@ def test_bridges_of_best_bonds(spark, tmp_path, monkeypatch, name):
     assert got == rows() and got
 
 
+def test_word_seeds_stay(spark, tmp_path, monkeypatch):
+    """Rows of one id count together; texts of one row are counted where they are."""
+    rng = random.Random(8)
+
+    def text(n):
+        return "".join(rng.choice("acdefghiklmnpqrstvwyABCDEFGHIKLMNPQRSTVWXYZ uj-0é") for _ in range(n))
+
+    items = [(k, text(n)) for k, n in ((0, 90), (100, 160), (200, 2), (300, 60), (7, 50))]
+    long = text(3000) + items[0][1] + text(40_000)
+    docs = [(1, long), (2, items[1][1]), (3, items[0][1] + text(5)), (3, items[0][1]), (4, None), (5, ""), (6, "ac"), (None, items[3][1] * 2), (None, text(80)), *((k, text(70)) for k in range(10, 60))]
+    tables = {"documents": spark.createDataFrame(docs, "doc_id long, text string"), "benchmark": spark.createDataFrame(items, "item_id long, text string")}
+    assert len(same_as_sql(spark, "word_seeds", tmp_path, **tables)) > 30
+    tables["documents"].filter("doc_id <> 3").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(seeds, "second_hits", None)  # no seed is sent to a window
+    monkeypatch.setattr(seeds, "SORTED", 500)
+    assert queries.word_seeds(spark, str(tmp_path)).filter("target_id = 1 and seeds > 500").count() == 3
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
