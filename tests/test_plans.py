@@ -82,7 +82,7 @@ def test_two_best_bonds(spark, tmp_path):
         assert got == want and likely.count() < most * n < every.count()
 
 
-@pytest.mark.parametrize("name", ["beta_bridges", "ladder_histograms", "sheet_components"])
+@pytest.mark.parametrize("name", ["beta_bridges", "ladder_histograms", "sheet_components", "strand_partners"])
 def test_bridges_of_best_bonds(spark, tmp_path, monkeypatch, name):
     """From all near pairs the same comes out as without listing them."""
     close_residues(spark, 300, 1).write.parquet(f"{tmp_path}/embeddings.parquet")
