@@ -114,6 +114,7 @@ def test_word_seeds_stay(spark, tmp_path, monkeypatch):
     tables["documents"].filter("doc_id <> 3").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(seeds, "second_hits", None)  # no seed is sent to a window
     monkeypatch.setattr(seeds, "SORTED", 500)
+    monkeypatch.setattr(seeds, "LETTERS", 1000)
     assert queries.word_seeds(spark, str(tmp_path)).filter("target_id = 1 and seeds > 500").count() == 3
 
 
